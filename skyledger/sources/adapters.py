@@ -117,3 +117,37 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("patch_id").alias("frame_id"), F.col("class_id"), x.cast("int").alias("x"), y.alias("y"), "kelvin",
         band(1, 17).alias("b08"), band(3, 13).alias("b13"), band(5, 11).alias("b15"),
     )
+
+
+def raw_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Write the events as a tree ``year/region/month/day`` of CSV files with differing headers.
+
+    ``east`` files have reordered columns and no key, ``broken`` files lack a required column,
+    and rows of ``signup`` events carry an unreadable time.
+    """
+    from skyledger.session import scratch_path
+
+    root = scratch_path(spark, "raw")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z"))
+    user = F.col("source_user")
+    rows = strikes(spark, sf_dir).withColumn(
+        "source_user", F.regexp_extract("source_file", "([0-9])", 1).cast("int")
+    ).select(
+        F.when(F.col("event_type") == "signup", "unknown").otherwise(stamp).alias("Date/Time"),
+        F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), F.col("amplitude").alias("Amplitude"),
+        F.col("kind").alias("Cloud or Ground"), F.col("solution_key").alias("Solution Key"),
+        F.when(user < 2, "east").when(user < 3, "broken").otherwise("peninsula").alias("region"),
+        F.date_format("ts", "yyyy").alias("year"), F.date_format("ts", "MM").alias("month"),
+        F.date_format("ts", "dd").alias("day"),
+    ).repartition("year", "region", "month", "day")
+    parts = ["year", "region", "month", "day"]
+    columns = {
+        "peninsula": ["Date/Time", "Latitude", "Longitude", "Amplitude", "Cloud or Ground", "Solution Key"],
+        "east": ["Longitude", "Latitude", "Cloud or Ground", "Date/Time", "Amplitude"],
+        "broken": ["Date/Time", "Latitude", "Longitude", "Amplitude"],
+    }
+    for region, names in columns.items():
+        rows.where(F.col("region") == region).select(*names, *parts).write.mode("append").partitionBy(*parts).option(
+            "header", True
+        ).csv(root)
+    return root

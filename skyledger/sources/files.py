@@ -141,3 +141,32 @@ def fingerprint(df: DataFrame) -> DataFrame:
         (F.sum(F.col("h").cast("decimal(38,0)")) % modulus).cast("bigint").alias("hash_a"),
         (F.sum(F.col("t").cast("decimal(38,0)")) % modulus).cast("bigint").alias("hash_b"),
     )
+
+
+def write_csv_runs(predictions: DataFrame, root: str) -> str:
+    predictions.write.mode("errorifexists").partitionBy("run_name").option("header", True).csv(root)
+    return root
+
+
+def scan_predictions(spark: SparkSession, root: str) -> DataFrame:
+    """Prediction files of all runs; the run comes from the path, its threshold from the file."""
+    rows = (
+        spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+        .schema("path string, label int, probability double, threshold double").csv(root)
+        .withColumn("run_name", F.regexp_extract("_metadata.file_path", "run_name=([^/]+)", 1))
+    )
+    threshold = rows.groupBy("run_name").agg(F.min("threshold").alias("threshold"))
+    return rows.drop("threshold").join(threshold, "run_name")
+
+
+def write_json_ledger(ledger: DataFrame, root: str, metadata: dict[str, str]) -> DataFrame:
+    """Records as JSON lines plus a one-row metadata document; returns the metadata read back."""
+    spark = ledger.sparkSession
+    ledger.write.mode("errorifexists").json(f"{root}/records")
+    records = spark.read.json(f"{root}/records")
+    summary = records.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    meta = summary.agg(
+        F.sum("n").alias("records"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories")
+    ).withColumns({k: F.lit(v) for k, v in metadata.items()})
+    meta.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(f"{root}/metadata")
+    return spark.read.text(f"{root}/metadata")
