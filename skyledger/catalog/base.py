@@ -13,11 +13,12 @@ ORACLE: dict[str, str] = {}
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    """Zone-free timestamps, so results do not depend on the reader's time zone."""
+    """Zone-free timestamps and ISO date strings, the same in every engine and time zone."""
+    target = {T.TimestampType: "timestamp_ntz", T.DateType: "string"}
     return df.select(
         *[
-            F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name)
-            if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")
+            F.col(f"`{f.name}`").cast(target[type(f.dataType)]).alias(f.name)
+            if type(f.dataType) in target else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )

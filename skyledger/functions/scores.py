@@ -70,14 +70,15 @@ def expected_random() -> Column:
 
 
 def probability_bin(p: Column, bins: int) -> Column:
-    """Bin number by comparison with the bin edges ``i / bins``; the last bin is closed.
+    """Bin number by comparison with the edges ``i * (1 / bins)``; the last bin is closed.
 
     The guess ``floor(p * bins)`` is corrected against the edges themselves, because the
     product may round across an edge.
     """
+    width = F.lit(1.0 / bins)
     guess = F.least(F.floor(p * bins), F.lit(bins - 1))
-    down = guess / F.lit(float(bins)) > p
-    up = ((guess + 1) / F.lit(float(bins)) <= p) & (guess < bins - 1)
+    down = (guess * width > p) & (guess > 0)
+    up = ((guess + 1) * width <= p) & (guess < bins - 1)
     return (guess + F.when(down, -1).when(up, 1).otherwise(0)).cast("int")
 
 
