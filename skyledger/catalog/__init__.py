@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingest", "columns", "pairing", "verify")
+MODULES = ("ingest", "columns", "pairing", "verify", "clusters", "picks")
 
 
 def load():

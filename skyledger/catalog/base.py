@@ -39,6 +39,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def steady(c, digits=6):
+    """Round with a tiny shift, so exact decimal ties do not depend on summation order."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 10.0 ** -(digits + 3), digits)
+
+
+def rounded(df, names, digits=6):
+    return df.withColumns({n: steady(n, digits) for n in names})
+
+
+def rr(expr: str, digits: int = 6) -> str:
+    return f"round(({expr}) + 1e-{digits + 3}::double, {digits})"
+
+
+def r(names, digits: int = 6) -> str:
+    return ", ".join(f"{rr(n, digits)} as {n}" for n in names)
+
+
 def u(seed: str, *keys: str) -> str:
     """SQL text of a uniform draw."""
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 8))::bigint / 4294967296.0::double)"
@@ -64,6 +81,17 @@ def split_sql(ts: str) -> str:
 
 
 CTE: dict[str, str] = {
+    "manifest": f"""manifest as (select *, x - 32 as x0, y - 32 as y0, x + 32 as x1, y + 32 as y1,
+  md5(concat_ws('|', 'sha', (x // 3)::varchar, (y // 3)::varchar)) as sha256 from (select 'p' || solution_key as path, (kind = 'Ground')::int as label, ts, slot as frame_time,
+  'H09_' || strftime(slot, '%Y%m%d_%H%M') as frame_id, strftime(slot, '%Y-%m-%d') as date,
+  source_file || '_' || strftime(slot, '%Y%m%d') as storm_id, 'hsd_' || strftime(slot, '%Y%m%d_%H') || ';aux_' || source_file as source_files,
+  case when {u('fc', "strftime(slot, '%Y%m%d_%H%M')")} < 0.6::double then 'active' else 'zero_recorded' end as frame_category,
+  case when {u('nz', 'solution_key')} < 0.002::double then 'test' else {split_sql('slot')} end as split, lat, lon, amplitude,
+  round_even((lon - 99.7::double) / (104.4::double - 99.7::double) * 234, 0)::int as x, round_even((6.8::double - lat) / (6.8::double - 1.2::double) * 279, 0)::int as y,
+  floor((lat - 1.2::double) / 0.5::double)::bigint::varchar || '_' || floor((lon - 99.7::double) / 0.5::double)::bigint::varchar as grid_cell,
+  least(lat - 1.2::double, 6.8::double - lat, lon - 99.7::double, 104.4::double - lon) * 111.0::double as boundary_km,
+  ((hour(slot) + 8) % 24)::int as local_hour, month(slot)::int as month
+  from (select *, time_bucket(interval '10 minutes', ts) as slot from strikes)))""",
     "strikes": """strikes as (select cast(event_id as varchar) as solution_key, ts::timestamp as ts,
   1.2::double + ((user_id*53 + event_id*29) % 560) / 100.0::double as lat,
   99.7::double + ((user_id*37 + event_id*13) % 470) / 100.0::double as lon,
@@ -111,7 +139,7 @@ CTE: dict[str, str] = {
 
 
 _NEEDS = {
-    "ground": ("strikes",), "candidates": ("strikes",), "summary": ("ground",), "calendar": ("strikes",),
+    "ground": ("strikes",), "manifest": ("strikes",), "candidates": ("strikes",), "summary": ("ground",), "calendar": ("strikes",),
     "ledger": ("calendar", "summary"), "scored": ("predictions",), "pixels": ("pixels0",),
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog.base import hav, query, sql_with, u
+from skyledger.catalog.base import hav, query, rr, sql_with, steady, u
 from skyledger.catalog.columns import OBJECTS, ground_frames
 from skyledger.functions import geo, timegrid
 from skyledger.functions.hashing import uniform
@@ -72,13 +72,13 @@ def patch_clear(spark, sf):
 @query("nearest_strike", sql_with("candidates ground", f"""+p as (select c.candidate_id, c.frame_time, g.ts, g.lat, g.lon, {hav('g.lat', 'g.lon', 'c.lat', 'c.lon')} as km
   from candidates c join ground g on g.ts >= c.frame_time - interval '20 minutes' and g.ts < c.frame_time + interval '30 minutes'),
 b as (select *, row_number() over (partition by candidate_id order by km, ts, lat, lon) as rn from p)
-select c.candidate_id, round(b.km, 6) as nearest_distance_km, round((epoch_us(b.ts) - epoch_us(c.frame_time)) / 60000000.0::double, 6) as nearest_minutes
+select c.candidate_id, {rr('b.km')} as nearest_distance_km, {rr('(epoch_us(b.ts) - epoch_us(c.frame_time)) / 60000000.0::double')} as nearest_minutes
   from candidates c left join b on c.candidate_id = b.candidate_id and b.rn = 1"""))
 def nearest_strike(spark, sf):
     rows = joins.nearest_strike(A.candidates(spark, sf), A.ground(spark, sf), -20, 30)
     return rows.select(
-        "candidate_id", F.round("nearest_distance_km", 6).alias("nearest_distance_km"),
-        F.round("nearest_minutes", 6).alias("nearest_minutes"),
+        "candidate_id", steady("nearest_distance_km").alias("nearest_distance_km"),
+        steady("nearest_minutes").alias("nearest_minutes"),
     )
 
 

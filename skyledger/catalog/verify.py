@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog.base import query, sql_with, u
+from skyledger.catalog.base import query, r, rounded, sql_with, steady, u
 from skyledger.functions import scores as S
 from skyledger.operators import joins, metrics as M
 from skyledger.sources import adapters as A
@@ -21,10 +21,6 @@ def counts(spark, sf):
     return M.score_counts(A.predictions(spark, sf), KEYS)
 
 
-def rounded(df, names, digits=6):
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
-
 def d(a: str, b: str) -> str:
     return f"coalesce(({a})::double / nullif(({b})::double, 0), 0)"
 
@@ -62,10 +58,6 @@ e_ as (select {keys}, sum(abs(sp - sy)) / sum(sn) as expected_calibration_error
 fm as (select * , {', '.join(f'{v} as {n}' for n, v in COUNT_METRICS.items())} from m_ join e_ using ({using}))"""
 
 
-def r(names, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) as {n}" for n in names)
-
-
 CONF = """cm as (select run_name, split, (count(*) filter (label = 0 and probability < 0.5::double))::bigint as tn, (count(*) filter (label = 0 and probability >= 0.5::double))::bigint as fp,
   (count(*) filter (label = 1 and probability < 0.5::double))::bigint as fn, (count(*) filter (label = 1 and probability >= 0.5::double))::bigint as tp from predictions group by all)"""
 

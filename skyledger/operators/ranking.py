@@ -19,9 +19,16 @@ from pyspark.sql import functions as F
 from skyledger.session import cut
 
 
+# largest window rank limit that Spark's optimizer turns into a map-side cut by default
+GROUP_LIMIT = 1000
+
+
 def take_per_group(df: DataFrame, keys: Sequence, order: Sequence, n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per group; Spark trims each map task before the shuffle."""
     name = rank or "_take"
+    if n > GROUP_LIMIT:
+        ranked = global_rank(df, list(keys), list(order), name).where(F.col(name) <= n)
+        return ranked if rank else ranked.drop(name)
     window = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
     return out if rank else out.drop(name)
@@ -65,55 +72,60 @@ def global_rank(
     )
 
 
-def logit_buckets(score: str, descending: bool = False) -> list[Column]:
-    """Coarse-to-fine monotone buckets of a probability, even near 0 and 1."""
+def logit_buckets(score: str, descending: bool = False) -> Column:
+    """Monotone bucket of a probability, fine near 0 and 1; at most some 75,000 values."""
     p = F.col(score).cast("double")
     z = (
         F.when(p.isNull() | (p <= 0), F.lit(-1000.0))
         .when(p >= 1, F.lit(1000.0))
         .otherwise(F.ln(p / (F.lit(1.0) - p)))
     )
-    sign = -1 if descending else 1
-    return [F.floor(z * 4).cast("int") * sign, F.floor(z * 1024).cast("int") * sign]
+    return F.floor(z * 1024).cast("int") * (-1 if descending else 1)
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], buckets: Sequence[Column],
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], bucket: Column, descending: bool = False
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` inside ``keys``.
 
-    ``df`` must hold one row per (keys, order). ``buckets`` are monotone coarse versions of
-    ``order``, coarsest first: sums are built per bucket level and added, so no window
-    partition is larger than the finest bucket or the number of buckets at one level.
+    ``df`` must hold one row per (keys, order). ``bucket`` is a monotone coarse version of
+    ``order`` with a bounded number of values: rows are summed inside their bucket and
+    shifted by the totals of the buckets before it, so no window holds a whole group.
     """
-    names = [f"_b{i}" for i in range(len(buckets))]
-    out = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
+    out = df.withColumn("_b", bucket)
     direction = F.desc if descending else F.asc
     window = (
-        Window.partitionBy(*keys, *names).orderBy(direction(order))
+        Window.partitionBy(*keys, "_b").orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    base = out
-    out = out.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
-    for level in range(len(names), 0, -1):
-        upper, at = names[: level - 1], names[:level]
-        totals = base.groupBy(*keys, *at).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-        prior = Window.partitionBy(*keys, *upper).orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *keys, *at, *[F.coalesce(F.sum(f"_t_{s}").over(prior), F.lit(0)).alias(f"_o_{s}") for s in sums]
-        )
-        out = out.join(offsets, [*keys, *at]).select(
-            *[c for c in out.columns if not c.startswith("cum_")],
-            *[(F.col(f"cum_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
-        )
-    return out.drop(*names)
-
-
-def _value_buckets(value: str, low: str, high: str) -> list[Column]:
+    totals = out.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(prior), F.lit(0)).alias(f"_o_{s}") for s in sums]
+    )
+    local = out.select("*", *[F.sum(s).over(window).alias(f"_c_{s}") for s in sums])
+    return local.join(offsets, [*keys, "_b"]).select(
+        *df.columns, *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums]
+    )
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], bucket: Column) -> DataFrame:
+    """Maximum of each value over the rows strictly before, split by bucket like ``running_totals``."""
+    out = df.withColumn("_b", bucket)
+    window = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = out.groupBy(*keys, "_b").agg(*[F.max(v).alias(f"_t_{v}") for v in values])
+    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select(*keys, "_b", *[F.max(f"_t_{v}").over(prior).alias(f"_o_{v}") for v in values])
+    local = out.select("*", *[F.max(v).over(window).alias(f"_c_{v}") for v in values])
+    return local.join(offsets, [*keys, "_b"]).select(
+        *df.columns, *[F.greatest(f"_c_{v}", f"_o_{v}").alias(f"prior_{v}") for v in values]
+    )
+
+
+def _value_bucket(value: str, low: str, high: str) -> Column:
     v, lo, hi = F.col(value), F.col(low), F.col(high)
     width = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return [F.floor(width * 256).cast("int"), F.floor(width * 65536).cast("int")]
+    return F.floor(width * 65536).cast("int")
 
 
 def value_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
@@ -124,7 +136,7 @@ def value_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
         *[F.sum(n).alias(f"all_{n}") for n in sums],
     )
     joined = agg.join(extent, list(keys))
-    return running_totals(joined, keys, value, list(sums), _value_buckets(value, "_lo", "_hi")).drop("_lo", "_hi")
+    return running_totals(joined, keys, value, list(sums), _value_bucket(value, "_lo", "_hi")).drop("_lo", "_hi")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -151,3 +151,33 @@ def raw_tree(spark: SparkSession, sf_dir: str) -> str:
             "header", True
         ).csv(root)
     return root
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled patch manifest: ground strikes positive, cloud strikes negative.
+
+    A few rows carry a wrong split and several share a content hash, so audits find something.
+    """
+    from skyledger.functions import geo, timegrid
+
+    slot = timegrid.floor_slot(F.col("ts"))
+    x, y = geo.to_pixel(F.col("lat"), F.col("lon"))
+    t = F.col("frame_time")
+    rows = strikes(spark, sf_dir).withColumns({"frame_time": slot, "x": x, "y": y})
+    stamp = F.date_format(t, "yyyyMMdd_HHmm")
+    return rows.select(
+        F.concat(F.lit("p"), "solution_key").alias("path"), (F.col("kind") == "Ground").cast("int").alias("label"),
+        "ts", "frame_time", F.concat(F.lit("H09_"), stamp).alias("frame_id"), F.date_format(t, "yyyy-MM-dd").alias("date"),
+        F.concat_ws("_", "source_file", F.date_format(t, "yyyyMMdd")).alias("storm_id"),
+        F.concat(F.lit("hsd_"), F.date_format(t, "yyyyMMdd_HH"), F.lit(";aux_"), "source_file").alias("source_files"),
+        F.when(uniform("fc", stamp) < 0.6, "active").otherwise("zero_recorded").alias("frame_category"),
+        F.when(uniform("nz", "solution_key") < 0.002, "test").otherwise(
+            timegrid.split_by_instant(t, TRAIN_END, VAL_END)
+        ).alias("split"),
+        "lat", "lon", "amplitude", "x", "y", (F.col("x") - 32).alias("x0"), (F.col("y") - 32).alias("y0"),
+        (F.col("x") + 32).alias("x1"), (F.col("y") + 32).alias("y1"),
+        geo.grid_label(F.col("lat"), F.col("lon")).alias("grid_cell"),
+        geo.boundary_distance_km(F.col("lat"), F.col("lon")).alias("boundary_km"),
+        timegrid.local_hour(t).alias("local_hour"), F.month(t).alias("month"),
+        F.md5(F.concat_ws("|", F.lit("sha"), F.floor(F.col("x") / 3).cast("string"), F.floor(F.col("y") / 3).cast("string")).cast("binary")).alias("sha256"),
+    )
