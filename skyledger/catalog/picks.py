@@ -280,9 +280,10 @@ b as (select *, max(q) over (partition by run_id order by epoch rows between unb
 c as (select *, case when prior is null or q > prior then epoch end as imp from b),
 d as (select *, max(imp) over (partition by run_id order by epoch) as last from c),
 s as (select run_id, min(case when epoch - last >= 3 then epoch end) as stop_epoch, max(epoch) as final from d group by run_id)
-select d.run_id, max(imp) as best_epoch, any_value(s.stop_epoch) as stop_epoch from d join s on d.run_id = s.run_id where epoch <= coalesce(stop_epoch, final) group by d.run_id"""))
+select d.run_id, max(imp) as best_epoch, coalesce(any_value(s.stop_epoch), 0) as stop_epoch from d join s on d.run_id = s.run_id where epoch <= coalesce(stop_epoch, final) group by d.run_id"""))
 def early_stop_epoch(spark, sf):
-    return P.early_stop(epochs(spark, sf), "run_id", "epoch", 3)
+    # 0 stands for a run that never stopped early
+    return P.early_stop(epochs(spark, sf), "run_id", "epoch", 3).fillna(0, ["stop_epoch"])
 
 
 

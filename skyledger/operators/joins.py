@@ -1,7 +1,7 @@
 """Spatiotemporal joins between frames or patch centres and events.
 
 Interval joins are equi-joins on ten-minute bins plus the exact time test. Box and
-nearest-event lookups go through a summary of the events per (bin, half-degree cell) whose
+nearest-event lookups go through a summary of the events per (bin, 0.75-degree cell) whose
 row nests the occupied 0.02-degree sub-cells with their true extents: whole sub-cells are
 counted or discarded by their extent, and single events are read only for the sub-cells an
 edge cuts through (or that may hold the nearest event). A crowded bin therefore never
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import geo, timegrid
 
-CELL, SUB = 0.5, 0.02
+CELL, SUB = 0.75, 0.02
 QUERY = ["frame_time", "lat", "lon", "start_min", "end_min", "margin_km"]
 SLACK_KM = 1e-6
 
@@ -73,7 +73,7 @@ def _extent(prefix: str = "") -> list[Column]:
 
 
 def _cells(points: DataFrame) -> DataFrame:
-    """Per (bin, cell): extent, count and the nested sub-cells (at most 25 x 25 of them)."""
+    """Per (bin, cell): extent, count and the nested sub-cells (at most 38 x 38 of them)."""
     subs = points.groupBy("bin", "cy", "cx", "sy", "sx").agg(*_extent(), F.sum("n").alias("n"))
     nested = F.struct("sy", "sx", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "t_lo", "t_hi", "n")
     return subs.groupBy("bin", "cy", "cx").agg(
@@ -81,10 +81,12 @@ def _cells(points: DataFrame) -> DataFrame:
     )
 
 
-def _queries(candidates: DataFrame, size: int, degrees_per_pixel: float) -> DataFrame:
-    dlat, dlon = geo.box_half_degrees(F.col("lat"), size, degrees_per_pixel, F.col("margin_km"))
-    return candidates.select(*QUERY).distinct().withColumns({
-        "dlat": dlat, "dlon": dlon,
+WINDOW = ["frame_time", "start_min", "end_min"]
+
+
+def _windows(asked: DataFrame) -> DataFrame:
+    """Distinct windows, one row per ten-minute bin they touch."""
+    return asked.select(*WINDOW).distinct().withColumns({
         "t0": F.unix_micros(timegrid.plus_minutes(F.col("frame_time"), F.col("start_min"))),
         "t1": F.unix_micros(timegrid.plus_minutes(F.col("frame_time"), F.col("end_min"))),
     }).withColumn("bin", F.explode(F.sequence(
@@ -116,7 +118,9 @@ def _outside(row: Column | None = None) -> Column:
 def box_counts(candidates: DataFrame, strikes: DataFrame, size: int = 64, degrees_per_pixel: float = 0.02) -> DataFrame:
     """``inside_count`` per distinct query: events in the widened patch box and time window."""
     points = _points(strikes)
-    queries = _queries(candidates, size, degrees_per_pixel)
+    dlat, dlon = geo.box_half_degrees(F.col("lat"), size, degrees_per_pixel, F.col("margin_km"))
+    queries = candidates.select(*QUERY).distinct().withColumns({"dlat": dlat, "dlon": dlon})
+    cells = _windows(candidates).join(_cells(points), "bin")
     eps = 1e-9
 
     def span(value: str, half: str) -> Column:
@@ -126,7 +130,7 @@ def box_counts(candidates: DataFrame, strikes: DataFrame, size: int = 64, degree
         )
 
     spread = queries.withColumn("cy", F.explode(span("lat", "dlat"))).withColumn("cx", F.explode(span("lon", "dlon")))
-    hit = spread.join(_cells(points), ["bin", "cy", "cx"]).where(~_outside())
+    hit = spread.join(cells, [*WINDOW, "cy", "cx"]).where(~_outside())
     sure = F.when(_inside(), F.col("n")).otherwise(
         F.aggregate(
             F.filter("subs", lambda s: _inside(s)), F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"]
@@ -176,7 +180,7 @@ def nearest(asked: DataFrame, strikes: DataFrame) -> DataFrame:
     upper bound of the query are dropped before single events are read.
     """
     points = _points(strikes)
-    queries = _queries(asked, 64, 0.02).drop("dlat", "dlon")
+    queries = asked.select(*QUERY).distinct().join(_windows(asked), WINDOW)
     per_query = Window.partitionBy(*QUERY)
 
     def bounded(df: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def removal_stats(strikes: DataFrame, frame: str, spacing_km: float = 30.0, cap:
     unique = dedup_strikes(strikes, frame)
     total = strikes.groupBy(frame).agg(F.count(F.lit(1)).alias("candidate"))
     left = unique.groupBy(frame).agg(F.count(F.lit(1)).alias("_u"))
-    kept = spaced_strikes(unique, frame, spacing_km, cap).select(frame, F.size("kept").alias("retained"))
+    kept = spaced_strikes(unique, frame, spacing_km, cap).select(frame, F.size("kept").cast("bigint").alias("retained"))
     return total.join(left, frame).join(kept, frame).select(
         frame, "candidate", (F.col("candidate") - F.col("_u")).alias("deduplicated"),
         (F.col("_u") - F.col("retained")).alias("spacing_or_cap_removed"), "retained",

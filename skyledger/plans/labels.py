@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ranking import global_rank
+from skyledger.functions import geo, timegrid
+from skyledger.functions.hashing import uniform
+from skyledger.operators import joins, planning, selection
+from skyledger.operators.ranking import global_rank, take_per_group
+from skyledger.session import cut
 
 
 def assign_targets(zero: DataFrame, targets: DataFrame, per_frame: int) -> DataFrame:
@@ -18,3 +24,288 @@ def assign_targets(zero: DataFrame, targets: DataFrame, per_frame: int) -> DataF
         slots.join(sizes, "split").withColumn("_j", F.pmod(F.col("_i") - 1, F.col("_m")) + 1)
         .join(ring, ["split", "_j"]).drop("_i", "_j", "_m")
     )
+
+
+# fixed order in which the cell of a target and its neighbours are tried: (rows, columns)
+OFFSETS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, 1), (-1, 1), (1, -1)]
+DRAWS = 200
+SIZE, DEGREES, GRID = 64, 0.02, 0.5
+NEGATIVE_WINDOW = (-20, 30, 10.0)
+MAX_BLACK = 0.02
+
+
+def black_fraction(bounds: Column, dark_columns: Column, size: int = SIZE) -> Column:
+    """Share of a crop lost to a dark strip over the first image columns of its frame."""
+    return F.greatest(F.least(bounds["x1"], dark_columns) - bounds["x0"], F.lit(0)) / float(size)
+
+
+def covered(dark_columns: str = "dark_columns") -> Column:
+    return black_fraction(F.col("crop"), F.col(dark_columns)) <= MAX_BLACK
+
+
+def _levels(mask=geo.MASK) -> Column:
+    """Cells to try for a target, without those that cannot hold a usable centre.
+
+    A cell is dropped when it misses the mask, when all its centres fall outside the image, or
+    when the target is itself an event of the frame whose box covers the whole cell. Every
+    draw in such a cell fails, so dropping it changes no result.
+    """
+    row = F.floor((F.col("t_lat") - mask.lat_min) / GRID)
+    col = F.floor((F.col("t_lon") - mask.lon_min) / GRID)
+    half = SIZE // 2
+    cells = []
+    for level, (dy, dx) in enumerate(OFFSETS):
+        lat0, lon0 = F.lit(mask.lat_min) + (row + dy) * GRID, F.lit(mask.lon_min) + (col + dx) * GRID
+        lat_low, lat_high = F.greatest(lat0, F.lit(mask.lat_min)), F.least(lat0 + GRID, F.lit(mask.lat_max))
+        lon_low, lon_high = F.greatest(lon0, F.lit(mask.lon_min)), F.least(lon0 + GRID, F.lit(mask.lon_max))
+        x_low, y_high = geo.to_pixel(lat_low, lon_low, mask)
+        x_high, y_low = geo.to_pixel(lat_high, lon_high, mask)
+        reachable = (x_high >= half) & (x_low < mask.width - half) & (y_high >= half) & (y_low < mask.height - half)
+        reach_lat = F.greatest(F.abs(lat_low - F.col("t_lat")), F.abs(lat_high - F.col("t_lat")))
+        reach_lon = F.greatest(F.abs(lon_low - F.col("t_lon")), F.abs(lon_high - F.col("t_lon")))
+        box = SIZE * DEGREES / 2 + NEGATIVE_WINDOW[2] / geo.KM_PER_DEGREE
+        smothered = F.col("own") & (reach_lat <= box) & (reach_lon <= box)
+        cells.append(F.when(
+            (lat_low < lat_high) & (lon_low < lon_high) & reachable & ~smothered,
+            F.struct(F.lit(level).alias("level"), lat_low.alias("la"), lat_high.alias("lb"), lon_low.alias("oa"), lon_high.alias("ob")),
+        ))
+    return F.array_compact(F.array(*cells))
+
+
+def _usable(targets: DataFrame, strikes: DataFrame, first: int, last: int | None, low: int, high: int) -> DataFrame:
+    """Usable draws ``low..high`` in the ``first..last`` live cells of each target."""
+    cells = F.slice("levels", first, last - first + 1) if last else F.slice("levels", first, len(OFFSETS))
+    spread = (
+        targets.withColumn("c", F.explode(cells))
+        .withColumn("draw", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    )
+    key = [F.unix_seconds("frame_time"), F.col("number"), F.col("c.level"), F.col("draw")]
+    lat = F.col("c.la") + (F.col("c.lb") - F.col("c.la")) * uniform("mla", *key)
+    lon = F.col("c.oa") + (F.col("c.ob") - F.col("c.oa")) * uniform("mlo", *key)
+    drawn = spread.select("frame_time", "number", "dark_columns", F.col("c.level").alias("level"), "draw", lat.alias("lat"), lon.alias("lon"))
+    half = SIZE // 2
+    mask = geo.MASK
+    inside = (
+        (F.col("x") >= half) & (F.col("y") >= half) & (F.col("x") < mask.width - half) & (F.col("y") < mask.height - half)
+    )
+    x, y = geo.to_pixel(F.col("lat"), F.col("lon"))
+    placed = drawn.withColumns({"x": x, "y": y}).where(inside).withColumn("crop", geo.crop(F.col("x"), F.col("y"), SIZE))
+    return joins.patch_clear(placed.where(covered()), strikes, *NEGATIVE_WINDOW).where("clear").drop(
+        "start_min", "end_min", "margin_km", "clear", "inside_count"
+    )
+
+
+def matched_negatives(targets: DataFrame, strikes: DataFrame) -> DataFrame:
+    """One matched empty patch per target, where one exists.
+
+    ``targets(frame_time, number, t_lat, t_lon, own, dark_columns, pos_crop)``: a target's
+    usable draws are those in the image, covered and clear, in (cell, draw) order. Within a
+    frame, targets pick in ``number`` order the first usable crop that no positive up to
+    theirs and no earlier pick already uses.
+
+    Draws are made in stages for the targets still open. Only frames in which first choices
+    collide go through the ordered pick, with the first ``2 n + 1`` distinct crops of each
+    of their ``n`` targets, which always suffices.
+    """
+    key = ["frame_time", "number"]
+    targets = cut(targets.withColumn("levels", _levels()))
+    order = F.struct("level", "draw", "lat", "lon", "x", "y", "crop")
+    stages = [(1, 1, 1, 20), (1, 2, 1, DRAWS), (1, None, 1, DRAWS)]
+    waiting, found = targets, None
+    for first, last, low, high in stages:
+        usable = _usable(waiting, strikes, first, last, low, high)
+        best = cut(usable.groupBy(*key).agg(F.min(order).alias("pick")))
+        found = best if found is None else found.unionByName(best)
+        waiting = waiting.join(best, key, "left_anti")
+    first_choice = targets.join(found, key, "left")
+    crops = first_choice.select("frame_time", F.explode(F.array_compact(F.array("pos_crop", "pick.crop"))).alias("k"))
+    clash = cut(
+        crops.groupBy("frame_time", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("frame_time").distinct()
+    )
+    out = first_choice.where("pick is not null").select(*key, "pick.*", "t_lat", "t_lon")
+    if not clash.isEmpty():
+        hard = targets.join(clash, "frame_time", "left_semi")
+        out = out.join(clash, "frame_time", "left_anti").unionByName(_ordered_picks(hard, strikes, order))
+    return out.withColumn(
+        "match_level", F.when(F.col("level") == 0, "same_grid_cell").otherwise("neighbour_grid_cell")
+    )
+
+
+def _ordered_picks(targets: DataFrame, strikes: DataFrame, order: Column) -> DataFrame:
+    """Sequential choice inside frames, over arrays bounded by the targets of a frame."""
+    key = ["frame_time", "number"]
+    size = targets.groupBy("frame_time").agg(F.count(F.lit(1)).alias("_n"))
+    usable = _usable(targets, strikes, 1, None, 1, DRAWS)
+    distinct = usable.groupBy(*key, "crop").agg(F.min(order).alias("pick")).join(size, "frame_time")
+    rank = Window.partitionBy(*key).orderBy("pick")
+    # at most len(OFFSETS) * DRAWS draws per target
+    short = distinct.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= 2 * F.col("_n") + 1)
+    options = short.groupBy(*key).agg(F.array_sort(F.collect_list("pick")).alias("options"))
+    kind = dict(distinct.dtypes)["pick"]
+    step = F.struct("number", "pos_crop", F.coalesce("options", F.array().cast(f"array<{kind}>")).alias("options"))
+    lists = targets.join(options, key, "left").groupBy("frame_time").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    crop_kind = dict(targets.dtypes)["pos_crop"]
+    start = F.struct(
+        F.array().cast(f"array<{crop_kind}>").alias("used"),
+        F.array().cast(f"array<struct<number:int,pick:{kind}>>").alias("picks"),
+    )
+
+    def choose(acc: Column, s: Column) -> Column:
+        used = F.when(s["pos_crop"].isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(s["pos_crop"])))
+        pick = F.try_element_at(F.filter(s["options"], lambda o: ~F.array_contains(used, o["crop"])), F.lit(1))
+        return F.struct(
+            F.when(pick.isNull(), used).otherwise(F.concat(used, F.array(pick["crop"]))).alias("used"),
+            F.when(pick.isNull(), acc["picks"]).otherwise(
+                F.concat(acc["picks"], F.array(F.struct(s["number"].alias("number"), pick.alias("pick"))))
+            ).alias("picks"),
+        ).cast(f"struct<used:array<{crop_kind}>,picks:array<struct<number:int,pick:{kind}>>>")
+
+    state = F.aggregate("steps", start, choose)
+    picked = lists.select("frame_time", F.explode(state["picks"]).alias("p")).select("frame_time", "p.number", "p.pick.*")
+    return picked.join(targets.select(*key, "t_lat", "t_lon"), key)
+
+
+def positive_patches(retained: DataFrame, frames: DataFrame) -> DataFrame:
+    """Retained strikes whose crop lies in the image and is covered."""
+    placed = planning.with_crop(retained.withColumn("number", F.col("number").cast("int")))
+    return placed.join(frames.select("frame_time", "split", "category", "dark_columns"), "frame_time").where(covered())
+
+
+def active_targets(positives: DataFrame) -> DataFrame:
+    return positives.select(
+        "frame_time", "number", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.lit(True).alias("own"),
+        "dark_columns", F.col("crop").alias("pos_crop"),
+    )
+
+
+def controlled_manifest(frames: DataFrame, strikes: DataFrame, per_zero_frame: int = 2) -> DataFrame:
+    """Positives at retained strikes, a matched negative each, and negatives in empty frames.
+
+    ``frames(frame_time, split, category, dark_columns)``; ``strikes`` are in-mask ground strikes.
+    """
+    slotted = strikes.withColumn("frame_time", timegrid.floor_slot(F.col("ts")))
+    retained = cut(selection.retained_strikes(slotted, "frame_time"))
+    positives = cut(positive_patches(retained, frames))
+    ring = retained.join(frames.select("frame_time", "split"), "frame_time").select(
+        "split", "ts", "lat", "lon", F.col("solution_key").alias("target")
+    )
+    zero = frames.where("category <> 'active'")
+    drawn = assign_targets(zero.select("frame_time", "split"), ring, per_zero_frame).join(
+        zero.select("frame_time", "dark_columns"), "frame_time"
+    )
+    nothing = F.lit(None).cast(dict(positives.dtypes)["crop"])
+    zero_targets = drawn.select(
+        "frame_time", F.col("number").cast("int").alias("number"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"),
+        F.lit(False).alias("own"), "dark_columns", nothing.alias("pos_crop"),
+    )
+    negatives = matched_negatives(active_targets(positives).unionByName(zero_targets), strikes)
+    rows = positives.select("frame_time", "number", F.lit(1).alias("label"), "lat", "lon", "x", "y", "crop").unionByName(
+        negatives.select(
+            "frame_time", "number", F.lit(0).alias("label"), "lat", "lon", "x", "y", "crop", "match_level",
+            F.col("t_lat").alias("matched_target_lat"), F.col("t_lon").alias("matched_target_lon"),
+        ), allowMissingColumns=True,
+    )
+    return planning.with_geometry(rows.join(frames.select("frame_time", "split", "category"), "frame_time"))
+
+
+def natural_grid(frames: DataFrame, mask=geo.MASK, size: int = SIZE, step: int = SIZE) -> DataFrame:
+    """Every grid centre of each frame."""
+    half = size // 2
+    centres = frames.withColumn(
+        "y", F.explode(F.sequence(F.lit(half), F.lit(mask.height - half), F.lit(step)))
+    ).withColumn("x", F.explode(F.sequence(F.lit(half), F.lit(mask.width - half), F.lit(step))))
+    lat, lon = geo.to_lonlat(F.col("x"), F.col("y"), mask)
+    return centres.withColumns({"lat": lat, "lon": lon, "crop": geo.crop(F.col("x"), F.col("y"), size)})
+
+
+def natural_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
+    """Grid patches as positive, negative or ambiguous; uncovered patches are left out."""
+    cells = natural_grid(frames).where(geo.crop_inside(F.col("crop")) & covered())
+    tests = F.array(
+        F.struct(F.lit("hit").alias("w"), F.lit(0).alias("a"), F.lit(10).alias("b"), F.lit(0.0).alias("m")),
+        F.struct(F.lit("near").alias("w"), *[F.lit(v).alias(n) for n, v in zip("abm", NEGATIVE_WINDOW)]),
+    )
+    tested = joins.patch_clear(
+        cells.withColumn("q", F.explode(tests)), strikes, F.col("q.a"), F.col("q.b"), F.col("q.m")
+    )
+    both = tested.groupBy("frame_time", "x", "y").agg(
+        F.max(F.when(F.col("q.w") == "hit", F.col("inside_count"))).alias("hits"),
+        F.max(F.when(F.col("q.w") == "near", F.col("inside_count"))).alias("near"),
+    )
+    return both.withColumn(
+        "outcome", F.when(F.col("hits") > 0, "positive").when(F.col("near") > 0, "ambiguous").otherwise("negative")
+    )
+
+
+def random_negatives(
+    frames: DataFrame, strikes: DataFrame, quota: int, attempts: int, min_km: float = 30.0, seed: str = "rn", mask=geo.MASK
+) -> DataFrame:
+    """First ``quota`` random centres per frame that are far from the frame's strikes and covered.
+
+    Attempts are drawn in growing batches for the frames that still lack centres.
+    """
+    half, waiting, found, low = SIZE // 2, frames, None, 1
+    batch = 4 * quota
+    while True:
+        high = min(low + batch - 1, attempts)
+        drawn = waiting.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        key = [F.unix_seconds("frame_time"), F.col("attempt")]
+        drawn = drawn.withColumns({
+            "x": (F.floor(uniform(f"{seed}x", *key) * (mask.width - 2 * half)) + half).cast("int"),
+            "y": (F.floor(uniform(f"{seed}y", *key) * (mask.height - 2 * half)) + half).cast("int"),
+        })
+        lat, lon = geo.to_lonlat(F.col("x"), F.col("y"), mask)
+        placed = drawn.withColumns({"lat": lat, "lon": lon, "crop": geo.crop(F.col("x"), F.col("y"), SIZE)})
+        good = joins.min_distance_filter(placed.where(covered()), strikes, 0, 10, min_km)
+        good = cut(good.select("frame_time", "attempt", "x", "y", "lat", "lon"))
+        found = good if found is None else found.unionByName(good)
+        if high >= attempts:
+            break
+        enough = found.groupBy("frame_time").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= quota)
+        waiting = cut(waiting.join(enough, "frame_time", "left_anti"))
+        if waiting.isEmpty():
+            break
+        low, batch = high + 1, batch * 5
+    return take_per_group(found, ["frame_time"], ["attempt"], quota)
+
+
+def metadata_negatives(positives: DataFrame, days: DataFrame, ratio: int = 3, per_day: int = 10) -> DataFrame:
+    """Synthetic rows on event-free days with the moments and kind mix of the positives.
+
+    Place and amplitude are normal draws (Box-Muller over hashed uniforms); the number is
+    ``min(ratio * positives, per_day * days)``, dealt to the days in turn.
+    """
+    moments = positives.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
+        F.greatest(F.stddev_pop("lat"), F.lit(0.5)).alias("lat_sd"), F.greatest(F.stddev_pop("lon"), F.lit(0.5)).alias("lon_sd"),
+        F.greatest(F.stddev_pop("amplitude") / 3.0, F.lit(1.5)).alias("amp_sd"),
+        F.avg((F.col("kind") == "Cloud").cast("double")).alias("cloud_share"),
+    ).first()
+    ranked = global_rank(days.select("date"), [], ["date"], "_d")
+    total = ranked.count()
+    count = min(ratio * moments["n"], per_day * total)
+    # day d gets the numbers d, d + total, d + 2 total, ... below count
+    rows = ranked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_day - 1)))).withColumn(
+        "i", F.col("i") * total + F.col("_d") - 1
+    ).where(F.col("i") < count)
+
+    def normal(seed: str) -> Column:
+        u1 = F.greatest(uniform(f"{seed}a", "i"), F.lit(1e-12))
+        return F.sqrt(F.ln(u1) * -2.0) * F.cos(uniform(f"{seed}b", "i") * (2.0 * math.pi))
+
+    amp = F.least(F.greatest(normal("am") * moments["amp_sd"], F.lit(-20.0)), F.lit(20.0))
+    return rows.select(
+        "i", F.lit(0).alias("label"), "date", (normal("la") * moments["lat_sd"] + moments["lat"]).alias("lat"),
+        (normal("lo") * moments["lon_sd"] + moments["lon"]).alias("lon"), amp.alias("amplitude"),
+        F.when(uniform("kd", "i") < moments["cloud_share"], "Cloud").otherwise("Ground").alias("kind"),
+    )
+
+
+def metadata_dataset(positives: DataFrame, days: DataFrame, seed: str = "meta") -> DataFrame:
+    """Positives and synthetic negatives, shuffled by hash and split by position."""
+    negatives = metadata_negatives(positives, days).withColumn("key", F.concat(F.lit("n"), F.col("i").cast("string")))
+    rows = positives.select(
+        F.concat(F.lit("p"), "solution_key").alias("key"), F.lit(1).alias("label"), F.to_date("ts").alias("date"), "lat", "lon",
+        "amplitude", "kind",
+    ).unionByName(negatives.drop("i"))
+    return planning.split_by_position(rows, seed, "key")
