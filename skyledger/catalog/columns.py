@@ -144,11 +144,11 @@ def time_features(spark, sf):
 
 @query("cyclic_features", sql_with("strikes", """+h as (select solution_key, (hour(ts) + 8) % 24 as h, month(ts) as m from strikes)
 select solution_key, round(sin(2 * pi() * h / 24.0::double), 9) as hour_sin, round(cos(2 * pi() * h / 24.0::double), 9) as hour_cos,
-  round(sin(2 * pi() * m / 12.0::double), 9) as month_sin, round(cos(2 * pi() * m / 12.0::double), 9) as month_cos from h"""))
+  round(sin(2 * pi() * (m - 1) / 12.0::double), 9) as month_sin, round(cos(2 * pi() * (m - 1) / 12.0::double), 9) as month_cos from h"""))
 def cyclic_features(spark, sf):
     ts = F.col("ts")
     turn = F.lit(2 * math.pi)
-    h, m = turn * timegrid.local_hour(ts) / 24.0, turn * F.month(ts) / 12.0
+    h, m = turn * timegrid.local_hour(ts) / 24.0, turn * (F.month(ts) - 1) / 12.0
     return A.strikes(spark, sf).select(
         "solution_key", F.round(F.sin(h), 9).alias("hour_sin"), F.round(F.cos(h), 9).alias("hour_cos"),
         F.round(F.sin(m), 9).alias("month_sin"), F.round(F.cos(m), 9).alias("month_cos"),

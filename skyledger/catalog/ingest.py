@@ -117,8 +117,8 @@ def inventory_summary(spark, sf):
         F.countDistinct("date").alias("valid_dates"), F.count_if("recorded_ground_event").alias("active_bins"),
         F.count_if(~F.col("recorded_ground_event")).alias("zero_recorded_bins"),
     )
-    # both sides are one row
-    return totals.join(bins, F.lit(True))
+    both = totals.unionByName(bins, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("manifest_scan", sql_with("predictions", "select path, label, split from predictions where split = 'test'"))

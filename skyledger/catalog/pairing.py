@@ -121,7 +121,7 @@ def no_event_days(spark, sf):
 
 @query("label_exists", sql_with("strikes", """+p as (select vec_id, (vec_id % 97) / 10.0::double as lat from embeddings),
 e as (select distinct lat from strikes where kind = 'Ground')
-select vec_id as patch_id, (exists (select 1 from e where abs(e.lat - p.lat) <= 0.5::double))::int as label from p"""))
+select vec_id as patch_id, (exists (select 1 from e where abs(e.lat - p.lat) < 0.5::double))::int as label from p"""))
 def label_exists(spark, sf):
     patches = A.patches(spark, sf).select("patch_id", ((F.col("patch_id") % 97) / 10.0).alias("lat"))
     return joins.label_exists(patches, A.ground(spark, sf)).select("patch_id", "label")

@@ -231,7 +231,7 @@ def contamination_audit(negatives: DataFrame, strikes: DataFrame, windows: list[
 
 
 def label_exists(patches: DataFrame, strikes: DataFrame, degrees: float = 0.5) -> DataFrame:
-    """1 if any event lies within ``degrees`` of latitude of the centre.
+    """1 if any event lies less than ``degrees`` of latitude from the centre.
 
     Each latitude band only needs its lowest and highest event: the centre's own band always
     matches when occupied, the neighbours match through the event nearest to the centre.
@@ -245,7 +245,7 @@ def label_exists(patches: DataFrame, strikes: DataFrame, degrees: float = 0.5) -
     )))
     lo, hi, c = F.col("low"), F.col("high"), F.col("lat")
     within = (
-        (F.abs(lo - c) <= degrees) | (F.abs(hi - c) <= degrees)
+        (F.abs(lo - c) < degrees) | (F.abs(hi - c) < degrees)
         | (F.col("band") == F.floor(c / degrees))
     )
     hits = spread.join(bands, "band").where(within).select("lat").distinct().withColumn("_hit", F.lit(1))

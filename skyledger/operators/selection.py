@@ -176,122 +176,91 @@ def _pool(rows: DataFrame, quotas: dict[str, int], size: Callable[[int], int], o
     return ranked.where((F.col("_rank") <= limit) | F.col("cached")).withColumnRenamed("_random", "random").drop("_rank")
 
 
+def mix_key() -> Column:
+    return F.concat_ws("|", "split", F.col("month").cast("string"), "local_time_block")
+
+
 def lazy_greedy(
-    pool: DataFrame, quotas: dict[str, int], score: Callable[[dict], Column], rescore: Callable[[dict, dict], float],
-    note: Callable[[dict, dict], None], state: dict, batch: int = 256,
-) -> list[tuple[str, object]]:
-    """Greedy picks per split for scores that only fall as picks accumulate.
-
-    Each round Spark scores the pool under the current state and returns the ``batch`` best
-    rows of each split. The batch is then picked from in exact greedy order for as long as
-    its best re-scored row beats every row left outside, whose scores are at most that of
-    the last row returned. Nothing but the batch reaches the driver.
+    pool: DataFrame, quotas: dict[str, int], bonus: dict[str, float], crowd: Callable[[str, str, int], float], batch: int = 64
+) -> list[tuple[str, int]]:
+    """Greedy picks per split for ``static + bonuses for unseen values + crowd(split, mix, picked)``.
+
+    ``pool`` has ``split, frame_time, mix, static`` and the columns of ``bonus``. Rows alike in
+    mix and in which of their values are still unseen keep their order by ``static`` while
+    picks accumulate, so Spark only returns the ``batch`` best rows of each such class. The
+    driver picks among these in exact greedy order until a row it has not seen could win:
+    such a row scores at most the class's last returned ``static`` plus the class's current
+    bonuses, which can only fall. Then the next batch is fetched. Classes are bounded by the
+    strata, so the pool never reaches the driver.
     """
-    pool = cut(pool)
-    chosen: list[tuple[str, object]] = []
-    taken: dict[str, set] = {s: set() for s in quotas}
+    pool = cut(pool.select("split", F.unix_seconds("frame_time").alias("epoch"), "mix", "static", *bonus))
+    seen: dict[str, set[str]] = {c: set() for c in bonus}
+    picked: Counter = Counter()
+    taken: dict[str, list[int]] = {s: [] for s in quotas}
+    chosen: list[tuple[str, int]] = []
     open_splits = {s for s, n in quotas.items() if n > 0}
+
+    def unseen(split: str, row: dict) -> tuple[bool, ...]:
+        return tuple(f"{split}|{row[c]}" not in seen[c] for c in bonus)
+
+    def worth(split: str, mix: str, flags: tuple[bool, ...], static: float) -> float:
+        return static + sum(w for w, f in zip(bonus.values(), flags) if f) + crowd(split, mix, picked[mix])
+
     while open_splits:
-        used = [t for s in open_splits for t in taken[s]]
         left = pool.where(F.col("split").isin(sorted(open_splits)))
+        used = [e for s in open_splits for e in taken[s]]
         if used:
-            left = left.where(~F.unix_seconds("frame_time").isin(used))
-        scored = left.withColumn("score", score(state))
-        top = take_per_group(scored, ["split"], [F.desc("score"), "frame_time"], batch)
-        rows = [r.asDict() for r in top.withColumn("epoch", F.unix_seconds("frame_time")).collect()]
+            left = left.where(~F.col("epoch").isin(used))
+        flags = {}
+        for c in bonus:
+            key = F.concat_ws("|", "split", F.col(c))
+            flags[f"_{c}"] = ~key.isin(sorted(seen[c])) if seen[c] else F.lit(True)
+        top = take_per_group(left.withColumns(flags), ["split", "mix", *flags], [F.desc("static"), "epoch"], batch)
+        rows = [r.asDict() for r in top.collect()]
         for split in sorted(open_splits):
             mine = [r for r in rows if r["split"] == split]
-            bound = min((r["score"] for r in mine), default=None) if len(mine) >= batch else float("-inf")
+            classes: dict[tuple, list[float]] = {}
+            for r in mine:
+                classes.setdefault((r["mix"], tuple(r[f] for f in flags)), []).append(r["static"])
+            hidden = {k: min(v) for k, v in classes.items() if len(v) >= batch}
             fresh = True
             while mine and len(taken[split]) < quotas[split]:
-                best = max(mine, key=lambda r: (rescore(r, state), -r["epoch"]))
-                if not fresh and rescore(best, state) <= bound + 1e-9:
+                value, _, best = max(
+                    ((worth(split, r["mix"], unseen(split, r), r["static"]), -r["epoch"], i) for i, r in enumerate(mine))
+                )
+                limit = max((worth(split, m, f, s) for (m, f), s in hidden.items()), default=float("-inf"))
+                if not fresh and value <= limit:
                     break
                 fresh = False
-                mine.remove(best)
-                taken[split].add(best["epoch"])
-                chosen.append((split, best["epoch"]))
-                note(best, state)
-            if len(taken[split]) >= quotas[split] or (not mine and bound == float("-inf")):
+                row = mine.pop(best)
+                taken[split].append(row["epoch"])
+                chosen.append((split, row["epoch"]))
+                picked[row["mix"]] += 1
+                for c in bonus:
+                    seen[c].add(f"{split}|{row[c]}")
+            if len(taken[split]) >= quotas[split] or (not mine and not hidden):
                 open_splits.discard(split)
     return chosen
 
 
-def _lookup(counts: dict[str, float], key: Column, default: float) -> Column:
-    if not counts:
-        return F.lit(default)
-    table = F.create_map(*[F.lit(v) for pair in counts.items() for v in pair])
-    return F.coalesce(F.element_at(table, key), F.lit(default))
-
-
-def _mix_key() -> Column:
-    return F.concat_ws("|", "split", F.col("month").cast("string"), "local_time_block")
+def _taste() -> Column:
+    return F.when(F.col("cached"), 10.0).otherwise(0.0) + F.col("random")
 
 
 def select_active(pool: DataFrame, quotas: dict[str, int]) -> list[tuple[str, int]]:
     """Diversity pick: new dates and storms first, thin strata, many positives, cached, random."""
-    state = {"dates": set(), "storms": set(), "strata": Counter()}
-
-    def score(s: dict) -> Column:
-        def new(kind: str, column: str) -> Column:
-            key = F.concat_ws("|", "split", column)
-            return F.when(key.isin(sorted(s[kind])), 0.0).otherwise(1.0) if s[kind] else F.lit(1.0)
-
-        crowd = _lookup({k: float(v) for k, v in s["strata"].items()}, _mix_key(), 0.0)
-        return (
-            new("dates", "date") * 120.0 + new("storms", "storm_id") * 80.0 - crowd * 18.0
-            + F.least(F.col("retained").cast("double"), F.lit(10.0)) * 3.0
-            + F.when(F.col("cached"), 10.0).otherwise(0.0) + F.col("random")
-        )
-
-    def keys(r: dict) -> tuple[str, str, str]:
-        return (
-            f"{r['split']}|{r['date']}", f"{r['split']}|{r['storm_id']}", f"{r['split']}|{r['month']}|{r['local_time_block']}"
-        )
-
-    def rescore(r: dict, s: dict) -> float:
-        date, storm, mix = keys(r)
-        return (
-            (date not in s["dates"]) * 120.0 + (storm not in s["storms"]) * 80.0 - s["strata"][mix] * 18.0
-            + min(float(r["retained"]), 10.0) * 3.0 + (10.0 if r["cached"] else 0.0) + r["random"]
-        )
-
-    def note(r: dict, s: dict) -> None:
-        date, storm, mix = keys(r)
-        s["dates"].add(date)
-        s["storms"].add(storm)
-        s["strata"][mix] += 1
-
-    return lazy_greedy(pool, quotas, score, rescore, note, state)
+    static = F.least(F.col("retained").cast("double"), F.lit(10.0)) * 3.0 + _taste()
+    rows = pool.withColumns({"mix": mix_key(), "static": static})
+    return lazy_greedy(rows, quotas, {"date": 120.0, "storm_id": 80.0}, lambda split, mix, n: -18.0 * n)
 
 
 def select_zero(pool: DataFrame, quotas: dict[str, int], mix: dict[str, float]) -> list[tuple[str, int]]:
     """Match the month and time-block mix of the active frames; ``mix`` maps keys to shares."""
-    state = {"dates": set(), "strata": Counter()}
-
-    def score(s: dict) -> Column:
-        quota = F.lit(1.0)
-        for split, n in quotas.items():
-            quota = F.when(F.col("split") == split, float(max(n, 1))).otherwise(quota)
-        taken = _lookup({k: float(v) for k, v in s["strata"].items()}, _mix_key(), 0.0)
-        key = F.concat_ws("|", "split", "date")
-        new = F.when(key.isin(sorted(s["dates"])), 0.0).otherwise(1.0) if s["dates"] else F.lit(1.0)
-        return (
-            (_lookup(mix, _mix_key(), 0.0) - taken / quota) * 100.0 + new * 20.0
-            + F.when(F.col("cached"), 10.0).otherwise(0.0) + F.col("random")
-        )
-
-    def rescore(r: dict, s: dict) -> float:
-        key = f"{r['split']}|{r['month']}|{r['local_time_block']}"
-        deficit = mix.get(key, 0.0) - s["strata"][key] / float(max(quotas[r["split"]], 1))
-        new = f"{r['split']}|{r['date']}" not in s["dates"]
-        return deficit * 100.0 + new * 20.0 + (10.0 if r["cached"] else 0.0) + r["random"]
-
-    def note(r: dict, s: dict) -> None:
-        s["dates"].add(f"{r['split']}|{r['date']}")
-        s["strata"][f"{r['split']}|{r['month']}|{r['local_time_block']}"] += 1
-
-    return lazy_greedy(pool, quotas, score, rescore, note, state)
+    rows = pool.withColumns({"mix": mix_key(), "static": _taste()})
+    return lazy_greedy(
+        rows, quotas, {"date": 20.0},
+        lambda split, key, n: 100.0 * (mix.get(key, 0.0) - n / float(max(quotas[split], 1))),
+    )
 
 
 def picked_rows(pool: DataFrame, picks: list[tuple[str, int]]) -> DataFrame:
@@ -303,7 +272,7 @@ def picked_rows(pool: DataFrame, picks: list[tuple[str, int]]) -> DataFrame:
 
 def active_mix(active: DataFrame) -> dict[str, float]:
     """Share of each (split, month, time block) among the selected frames of the split."""
-    rows = active.groupBy("split", _mix_key().alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = active.groupBy("split", mix_key().alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()
     totals = Counter()
     for r in rows:
         totals[r["split"]] += r["n"]
