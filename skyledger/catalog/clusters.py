@@ -40,13 +40,16 @@ def full_ledger(spark, sf):
     return components.storm_ledger(ledger(spark, sf), A.TRAIN_END, A.VAL_END)
 
 
-@query("frame_clusters", sql_with("ground", f"""+pt as (select distinct ts::date as d, lat, lon from ground), pn as (select *, row_number() over (order by d, lat, lon) as id from pt),
+CLUSTERS = f"""pt as (select distinct ts::date as d, lat, lon from ground), pn as (select *, row_number() over (order by d, lat, lon) as id from pt),
 edges as (select a.id as a, b.id as b from pn a join pn b on a.d = b.d and a.id <> b.id and {hav('a.lat', 'a.lon', 'b.lat', 'b.lon', 6371.0)} <= 20),
 reach(a, b) as (select id, id from pn union select r.a, e.b from reach r join edges e on r.b = e.a),
 comp as (select a as id, min(b) as root from reach group by a),
 cl as (select distinct d, root from pn join comp on pn.id = comp.id),
-sp as (select case when d <= date '2024-01-21' then 'train' when d <= date '2024-01-25' then 'val' else 'test' end as split from cl)
-select coalesce(split, 'all') as split, count(*) as clusters from sp group by grouping sets ((split), ())""", recursive=True))
+sp as (select case when d <= date '2024-01-21' then 'train' when d <= date '2024-01-25' then 'val' else 'test' end as split from cl),
+fc as (select coalesce(split, 'all') as split, count(*) as clusters from sp group by grouping sets ((split), ()))"""
+
+
+@query("frame_clusters", sql_with("ground", f"+{CLUSTERS} select * from fc", recursive=True))
 def frame_clusters(spark, sf):
     points = A.ground(spark, sf).withColumn("day", F.to_date("ts"))
     labels = components.frame_clusters(points, "day").select("frame", "component").distinct()
