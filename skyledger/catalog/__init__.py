@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingest", "columns", "pairing", "verify", "clusters", "picks", "labelling", "rasters", "audits")
+MODULES = ("ingest", "columns", "pairing", "verify", "clusters", "picks", "labelling", "rasters", "audits", "learned", "live")
 
 
 def load():

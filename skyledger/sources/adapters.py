@@ -19,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_strikes(table(spark, sf_dir, "events"))
+
+
+def shape_strikes(events: DataFrame) -> DataFrame:
     user, event = F.col("user_id"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         event.cast("string").alias("solution_key"),
         F.col("ts").cast("timestamp").alias("ts"),
         (F.lit(1.2) + ((user * 53 + event * 29) % 560) / F.lit(100.0)).alias("lat"),
