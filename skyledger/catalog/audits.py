@@ -289,11 +289,11 @@ def plan_checks(spark, sf):
     return out.unionByName(several(objects, "objects_in_several_splits"))
 
 
-@query("crop_uniqueness", sql_with("manifest", """select frame_id, x0, y0, count(*) as copies, count(distinct label) as labels from manifest group by all having count(*) > 1"""))
+@query("crop_uniqueness", sql_with("manifest", """select 'frame_id' as scope, frame_id as "group", x0, y0, count(*) as copies, count(distinct label) as labels from manifest group by all having count(*) > 1
+union all select 'date', date, x0, y0, count(*), count(distinct label) from manifest group by all having count(*) > 1"""))
 def crop_uniqueness(spark, sf):
-    return A.manifest(spark, sf).groupBy("frame_id", "x0", "y0").agg(
-        F.count(F.lit(1)).alias("copies"), F.countDistinct("label").alias("labels")
-    ).where("copies > 1")
+    rows = A.manifest(spark, sf)
+    return gates.crop_repeats(rows, "frame_id").unionByName(gates.crop_repeats(rows, "date"))
 
 
 @query("determinism_check", sql_with("manifest", """select count(*) as rows, true as "match", false as altered_match from manifest"""))

@@ -222,8 +222,10 @@ FULL_NAMES = [*COUNT_METRICS, *AREA_METRICS]
 
 @query("apply_frozen_threshold", sql_with("predictions", f"+{FROZEN} select {K}, threshold, tn, fp, fn, tp, {r(FULL_NAMES)} from fm where split <> 'val'"))
 def apply_frozen_threshold(spark, sf):
-    sc = M.score_counts(frozen(spark, sf).where("split <> 'val'"), [*KEYS, "threshold"])
-    return rounded(M.metric_table(sc, KEYS, F.col("threshold")), FULL_NAMES)
+    sc = counts(spark, sf)
+    chosen = M.select_threshold(sc.where("split = 'val'"), KEYS, "model").select("run_name", "threshold")
+    tests = sc.where("split <> 'val'").join(chosen, "run_name")
+    return rounded(M.metric_table(tests, KEYS, F.col("threshold")), FULL_NAMES)
 
 
 @query("recall_crossing", sql_with("predictions", f"""+{SC}, {SWEEP}, q as (select *, {COUNT_METRICS['recall_pod']} as rec, {COUNT_METRICS['f1']} as f1 from sw)

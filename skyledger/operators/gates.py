@@ -105,6 +105,13 @@ def split_overlap(manifest: DataFrame, keys: dict[str, Column], lists: dict[str,
     )
 
 
+def crop_repeats(manifest: DataFrame, scope: str) -> DataFrame:
+    """Crops that occur more than once inside a frame (or another scope)."""
+    return manifest.groupBy(F.lit(scope).alias("scope"), F.col(scope).alias("group"), "x0", "y0").agg(
+        F.count(F.lit(1)).alias("copies"), F.countDistinct("label").alias("labels")
+    ).where("copies > 1")
+
+
 def gate(checks: dict[str, Column], row: DataFrame, decision: tuple[str, str]) -> DataFrame:
     """(criterion, pass) rows plus the overall decision, from a one-row table of facts."""
     flat = row.select(F.explode(F.array(*[

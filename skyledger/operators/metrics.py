@@ -28,17 +28,23 @@ def confusion(df: DataFrame, keys: Sequence[str], threshold: Column, score: str
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "probability") -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return df.groupBy(*keys, F.col(score).alias("score")).agg(
+    """Positives and negatives per distinct score.
+
+    Curves, thresholds and areas read these counts several times, so they are written once
+    rather than scanning the predictions again.
+    """
+    return cut(df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.col("label")).cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg")
-    )
+    ))
 
 
 def curve(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts with hits and false alarms at every distinct score, highest first, and class totals."""
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    """Counts with hits and false alarms at every distinct score, highest first, and class totals.
+
+    ``counts`` is read twice (scores and buckets); pass a materialised table.
+    """
     run = running_totals(counts, keys, "score", ["pos", "neg"], logit_buckets("score", descending=True), descending=True)
-    return run.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}).join(totals, list(keys))
+    return run.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
 
 
 def area_columns() -> dict[str, Column]:

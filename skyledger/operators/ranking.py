@@ -86,7 +86,7 @@ def logit_buckets(score: str, descending: bool = False) -> Column:
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], bucket: Column, descending: bool = False
 ) -> DataFrame:
-    """Inclusive running sums of ``sums`` along ``order`` inside ``keys``.
+    """Inclusive running sums ``cum_*`` along ``order`` and group totals ``all_*`` inside ``keys``.
 
     ``df`` must hold one row per (keys, order). ``bucket`` is a monotone coarse version of
     ``order`` with a bounded number of values: rows are summed inside their bucket and
@@ -100,12 +100,15 @@ def running_totals(
     )
     totals = out.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = totals.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(prior), F.lit(0)).alias(f"_o_{s}") for s in sums]
+        *keys, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(prior), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums],
     )
     local = out.select("*", *[F.sum(s).over(window).alias(f"_c_{s}") for s in sums])
     return local.join(offsets, [*keys, "_b"]).select(
-        *df.columns, *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums]
+        *df.columns, *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
+        *[f"all_{s}" for s in sums],
     )
 
 
@@ -129,12 +132,13 @@ def _value_bucket(value: str, low: str, high: str) -> Column:
 
 
 def value_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
-    """Pre-aggregate by distinct value and attach running totals and group totals."""
-    agg = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
-    extent = agg.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        *[F.sum(n).alias(f"all_{n}") for n in sums],
-    )
+    """Pre-aggregate by distinct value and attach running totals and group totals.
+
+    The distinct values are read several times, so they are written once instead of
+    repeating the scan behind them.
+    """
+    agg = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()]))
+    extent = agg.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = agg.join(extent, list(keys))
     return running_totals(joined, keys, value, list(sums), _value_bucket(value, "_lo", "_hi")).drop("_lo", "_hi")
 
