@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ def scan_strikes(spark: SparkSession, root: str, glob: str = "raw data all.csv",
     groups = headers.groupBy("header").agg(F.collect_list("source_file").alias("files")).collect()
     parts = []
     for group in groups:
-        part = spark.read.option("header", True).csv(group["files"])
+        # file_path is percent-encoded, the reader wants plain paths
+        part = spark.read.option("header", True).csv([unquote(f) for f in group["files"]])
         parts.append(part.select("*", F.col("_metadata.file_path").alias("source_file")))
     if not parts:
         raise FileNotFoundError(f"no readable event files below {root}")
@@ -111,7 +113,7 @@ def load_valid_strikes(raw: DataFrame, inventory: DataFrame, mask) -> DataFrame:
 
 def path_parts(path: Column) -> dict[str, Column]:
     """Year, month and day from the third- to fifth-last path segments."""
-    parts = F.split(path, "/")
+    parts = F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/")
 
     def segment(position: int) -> Column:
         return F.element_at(F.split(F.element_at(parts, position), "="), -1)
