@@ -27,7 +27,9 @@ def take_per_group(df: DataFrame, keys: Sequence, order: Sequence, n: int, rank:
     """First ``n`` rows per group; Spark trims each map task before the shuffle."""
     name = rank or "_take"
     if n > GROUP_LIMIT:
-        ranked = global_rank(df, list(keys), list(order), name).where(F.col(name) <= n)
+        named = {f"_key{i}": k for i, k in enumerate(keys) if isinstance(k, Column)}
+        plain = [k for k in keys if not isinstance(k, Column)] + list(named)
+        ranked = global_rank(df.withColumns(named), plain, list(order), name).where(F.col(name) <= n).drop(*named)
         return ranked if rank else ranked.drop(name)
     window = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)

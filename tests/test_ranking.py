@@ -41,3 +41,4 @@ def test_take_per_group_is_cut_before_the_shuffle(spark):
 def test_take_per_group_beyond_the_limit(spark):
     df = spark.range(4000).select((F.col("id") % 2).alias("g"), "id")
     assert ranking.take_per_group(df, ["g"], [F.desc("id")], 1500).agg(F.min("id")).first()[0] == 1000
+    assert ranking.take_per_group(df, [F.lit(1)], ["id"], 1500).agg(F.max("id")).first()[0] == 1499
