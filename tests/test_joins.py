@@ -15,7 +15,7 @@ def at(minutes):
 
 def strikes(spark, rows):
     return spark.createDataFrame(
-        [(at(m), la, lo, f"k{i}") for i, (m, la, lo) in enumerate(rows)],
+        [(at(m), float(la), float(lo), f"k{i}") for i, (m, la, lo) in enumerate(rows)],
         "ts timestamp, lat double, lon double, solution_key string",
     )
 
