@@ -321,7 +321,8 @@ def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int,
         taken = busy.groupBy("region", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
             F.min(F.struct(draw.alias("_o"), "_id")).alias("_p"), F.max("_n").alias("_n"))
         chosen = taken.select("region", F.col("_p._id").alias("_id"), F.explode(F.sequence(F.lit(0), slabs - 1)).alias("_slab"))
-        left, right = busy.select("region", "_slab", "_id").join(texts, "_id"), chosen.join(texts, "_id")
+        left = busy.select("region", "_slab", "_id").join(texts, "_id")
+        right = chosen.join(texts, "_id").toDF("_id", "region", "_slab", "_text")  # columns of its own, for the cogroup
         found = cut(left.groupBy("region", "_slab").cogroup(right.groupBy("region", "_slab")).applyInArrow(
             _to_pivots(share, size), "region bigint, kind int, a bigint, b bigint, far double"))
         made = found.where("kind = 0").select("a", "b")
