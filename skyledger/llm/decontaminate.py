@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.ranges import free
 from skyledger.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,18 +133,20 @@ def judge(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) ->
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    bad = judge(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias("_i"), F.col("_hash").alias("_h")).distinct()
+    i, h = free(docs.columns, "_i"), free(docs.columns, "_h")
+    bad = judge(docs, items, size, share).where("contaminated").select(F.col("doc_id").alias(i), F.col("_hash").alias(h)).distinct()
     text_hash = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_i")) & (text_hash == F.col("_h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (text_hash == F.col(h)), "left_anti")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     """Every column of ``docs``; texts with hits lose the hit words and become their other words, lower-cased, joined by a space."""
     _, found = hits(docs, items, size)
-    spans = found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), _covered().alias("_gone"))
+    i, h, gone = (free(docs.columns, n) for n in ("_i", "_h", "_gone"))
+    spans = found.select(F.col("_id").alias(i), F.col("_hash").alias(h), _covered().alias(gone))
     text_hash = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_i")) & (text_hash == F.col("_h")), "left")
-    kept = bind(words(docs["text"]), lambda a: F.array_join(F.filter(a, lambda w, i: ~F.array_contains("_gone", i + 1)), " "))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(i)) & (text_hash == F.col(h)), "left")
+    kept = bind(words(docs["text"]), lambda a: F.array_join(F.filter(a, lambda w, k: ~F.array_contains(gone, k + 1)), " "))
     return joined.select(*[
-        (F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c]) for c in docs.columns
+        (F.when(F.col(gone).isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c]) for c in docs.columns
     ])

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.ranges import free
 from skyledger.llm.words import lowered_words, rows, scramble, shingle_set
 from skyledger.operators.components import connected_components
 from skyledger.session import cut
@@ -375,8 +376,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     all stay. The semi-join is on doc_id, so no group meets in one task.
     """
     labelled = link_documents(docs, **options)
-    stay = labelled.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+    name, place = free(docs.columns, "_stay"), free(docs.columns, "_place")
+    stay = labelled.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stay, docs["doc_id"] == F.col(name), "left_semi")
     one = Window.partitionBy("doc_id").orderBy("text")
-    place = "_place" + "_" * max(map(len, docs.columns))
     return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place).unionByName(docs.where("doc_id is null"))

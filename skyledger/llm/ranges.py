@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from skyledger.session import cut
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """``df`` with the inclusive running sum of each value along ``order``.
 

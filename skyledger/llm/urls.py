@@ -77,7 +77,9 @@ def _merged(branches: DataFrame, alpha: float) -> DataFrame:
         return (n == 0) & (m == 0) | known & (F.abs(x / n - y / m) < bound * (1 / F.sqrt(n) + 1 / F.sqrt(m)))
 
     same = close("blocked", "labelled") & close("leaf", "rows") & close("digits", "rows")
-    return branches.join(anchors, ["_host", "_prefix"]).where(same).select("_host", "_prefix", "_segment", F.lit("{~}").alias("_branch"))
+    alike = branches.join(anchors, ["_host", "_prefix"]).where(same).select("_host", "_prefix", "_segment")
+    several = alike.groupBy("_host", "_prefix").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_host", "_prefix")
+    return alike.join(several, ["_host", "_prefix"]).select("_host", "_prefix", "_segment", F.lit("{~}").alias("_branch"))
 
 
 def _log(x: float) -> float:
