@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog.base import query, rounded, rr, split_sql, sql_with, steady, u
-from skyledger.catalog.clusters import CLUSTERS, STORM_LEDGER, frame_clusters, full_ledger
+from skyledger.catalog.base import hav, query, rounded, rr, split_sql, sql_with, steady, u
+from skyledger.catalog.clusters import STORM_LEDGER, full_ledger
 from skyledger.catalog.pairing import BOX
 from skyledger.catalog.picks import board
+from skyledger.catalog.rasters import AUDIT, patch_audit
 from skyledger.catalog.verify import FULL
 from skyledger.functions import geo, timegrid
 from skyledger.functions.hashing import uniform
@@ -74,11 +75,19 @@ def per_frame(prefix: str, where: str) -> str:
   quantile_cont(n, 0.75) - quantile_cont(n, 0.25) as {prefix}_per_frame_iqr, max(n) as {prefix}_per_frame_maximum, {rr('avg(n)')} as {prefix}_per_frame_mean from (select scope, frame_id, count(*) as n from bo where {where} group by all) group by scope)"""
 
 
-@query("independence_report", sql_with("manifest ground", f"""+{CLUSTERS}, bo as (select *, 'all' as scope from manifest union all select *, split from manifest), {per_frame('patches', 'true')}, {per_frame('positives', 'label = 1')},
+POSITIVE_CLUSTERS = f"""pp as (select distinct split, frame_id, lat, lon from manifest where label = 1), pn as (select *, row_number() over (order by split, frame_id, lat, lon) as id from pp),
+edges as (select a.id as a, b.id as b from pn a join pn b on a.split = b.split and a.frame_id = b.frame_id and a.id <> b.id and {hav('a.lat', 'a.lon', 'b.lat', 'b.lon', 6371.0)} <= 20),
+reach(a, b) as (select id, id from pn union select r.a, e.b from reach r join edges e on r.b = e.a),
+comp as (select a as id, min(b) as root from reach group by a),
+fc as (select coalesce(split, 'all') as split, count(*) as clusters from (select distinct split, root from pn join comp on pn.id = comp.id) group by grouping sets ((split), ()))"""
+
+
+@query("independence_report", sql_with("manifest", f"""+{POSITIVE_CLUSTERS}, bo as (select *, 'all' as scope from manifest union all select *, split from manifest), {per_frame('patches', 'true')}, {per_frame('positives', 'label = 1')},
 ba as (select scope, count(*) as patches, count(*) filter (label = 1) as positive_patches, count(distinct frame_id) as frames, count(distinct date) as dates, count(distinct case when label = 1 then frame_id end) as positive_frames from bo group by scope)
 select ba.*, patches_d.* exclude (scope), positives_d.* exclude (scope), fc.clusters from ba join patches_d using (scope) left join positives_d using (scope) left join fc on fc.split = ba.scope""", recursive=True))
 def independence_report(spark, sf):
-    out = summaries.independence_report(A.manifest(spark, sf), frame_clusters(spark, sf))
+    rows = A.manifest(spark, sf)
+    out = summaries.independence_report(rows, summaries.positive_clusters(rows))
     return rounded(out, ["patches_per_frame_mean", "positives_per_frame_mean"])
 
 
@@ -326,30 +335,28 @@ def advantage_verdict(spark, sf):
     return gates.advantage_verdict(board(spark, sf))
 
 
-@query("unlock_gate", sql_with("runs", """+c as (select count(*) as n, count(distinct architecture) * count(distinct seed) * count(distinct loss_name) * count(distinct augmentation) as want, count(distinct architecture) * count(distinct seed) as want_final from runs),
+# what the configuration of the runs promises
+RUN_PLAN = {"architecture": 3, "seed": 3, "loss_name": 5, "augmentation": 2}
+CANDIDATES, FINALS = 3 * 3 * 5 * 2, 3 * 3
+
+
+@query("unlock_gate", sql_with("runs", f"""+c as (select count(*) as n from (select distinct architecture, seed, loss_name, augmentation from runs)),
 f as (select count(*) as n from (select distinct architecture, seed from runs))
-select 'candidate_runs' as criterion, c.n = c.want as pass from c union all select 'final_runs', f.n = c.want_final from c, f
-union all select case when c.n = c.want and f.n = c.want_final then 'unlock' else 'locked' end, c.n = c.want and f.n = c.want_final from c, f"""))
+select 'candidate_runs' as criterion, c.n = {CANDIDATES} as pass from c union all select 'final_runs', f.n = {FINALS} from f
+union all select case when c.n = {CANDIDATES} and f.n = {FINALS} then 'unlock' else 'locked' end, c.n = {CANDIDATES} and f.n = {FINALS} from c, f"""))
 def unlock_gate(spark, sf):
-    rows = A.runs(spark, sf)
-    facts = rows.agg(
-        F.count(F.lit(1)).alias("candidates"), F.countDistinct("architecture", "seed").alias("finals"),
-        *[F.countDistinct(c).alias(c) for c in ("architecture", "seed", "loss_name", "augmentation")],
-    )
-    want = F.col("architecture") * F.col("seed")
-    return gates.gate({
-        "candidate_runs": F.col("candidates") == want * F.col("loss_name") * F.col("augmentation"),
-        "final_runs": F.col("finals") == want,
-    }, facts, ("unlock", "locked"))
+    return gates.unlock_gate(A.runs(spark, sf), RUN_PLAN, ("architecture", "seed"))
 
 
 GEO_BY_MONTH = """sb2 as (select run_name, month(date) as mo, probability as p, sum(label)::bigint as pos, (count(*) - sum(label))::bigint as neg from predictions where split = 'test' group by all),
 sw2 as (select *, sum(pos) over w as cp, sum(pos) over g as ap, sum(neg) over g as an from sb2 window w as (partition by run_name, mo order by p desc), g as (partition by run_name, mo)),
 am as (select run_name, mo, sum(neg * (cp - pos / 2.0::double)) / (max(ap) * max(an)) as auc from sw2 group by run_name, mo)"""
+# counts of the patch audit that make a patch invalid
+DEFECTS = ("missing", "wrong_dimensions", "wrong_channels", "constant", "black", "nonfinite", "hash_mismatch")
 FACTS = f"""{DOMINANCE}, {OVERLAP}, {CHECKS}, {FULL}, {GEO_BY_MONTH},
-ct as (select count(*) as k from candidates c where exists (select 1 from ground g where g.ts >= c.frame_time - interval '20 minutes' and g.ts < c.frame_time + interval '30 minutes' and {BOX.format(m='10.0')})),
+{AUDIT}, ct as (select count(*) as k from (select frame_time, lat, lon from manifest where label = 0) c where exists (select 1 from ground g where g.ts >= c.frame_time - interval '20 minutes' and g.ts < c.frame_time + interval '30 minutes' and {BOX.format(m='10.0')})),
 hold as (select min(positive) as positive, min(negative) as negative, min(active_dates) as dates, min(positive_frames) as frames, min(storms) as storms, max(greatest(largest_frame_fraction, largest_date_fraction, largest_storm_fraction)) as share from dom where split in ('val', 'test')),
-fa2 as (select (select k from ct) as contamination, positive, negative, dates, frames, storms, share, (select sum(train_val + train_test + val_test) from ov where kind <> 'sha256') as overlap,
+fa2 as (select (select k from ct) as contamination, (select {' + '.join(DEFECTS)} from au) as invalid, 1 as regenerated, positive, negative, dates, frames, storms, share, (select sum(train_val + train_test + val_test) from ov where kind <> 'sha256') as overlap,
   (select within_split_repeats from ov where kind = 'crop') as crops, (select within_split_repeats from ov where kind = 'path') as paths, (select roc_auc from fm where run_name = 'F' and split = 'test') as geo_auc, (select roc_auc from fm where run_name = 'O' and split = 'test') as image_auc,
   (select min(auc) filter (run_name = 'O') - max(auc) filter (run_name = 'F') from am) as stability, (select sum(violations) from cs where "check" in ('split_mismatch', 'image_after_strike')) as check_violations from hold)"""
 
@@ -362,7 +369,8 @@ def facts(spark, sf):
             ("positive", "positive"), ("negative", "negative"), ("dates", "active_dates"), ("frames", "positive_frames"), ("storms", "storms"))],
         F.max(F.greatest(*SHARES)).alias("share"),
     )
-    hit = joins.contamination_audit(A.candidates(spark, sf), A.ground(spark, sf), [("primary", -20, 30, 10.0)]).select(
+    negatives = rows.where("label = 0").select(F.col("path").alias("candidate_id"), "frame_time", "lat", "lon")
+    hit = joins.contamination_audit(negatives, A.ground(spark, sf), [("primary", -20, 30, 10.0)]).select(
         F.col("contaminated").cast("double").alias("contamination")
     )
     pairs = F.col("train_val") + F.col("train_test") + F.col("val_test")
@@ -382,8 +390,10 @@ def facts(spark, sf):
     checks = manifest_checks(spark, sf).where(F.col("check").isin("split_mismatch", "image_after_strike")).agg(
         F.sum("violations").cast("double").alias("check_violations")
     )
+    bad = patch_audit(spark, sf).select(sum((F.col(c) for c in DEFECTS), F.lit(0)).cast("double").alias("invalid"))
+    same = determinism_check(spark, sf).select(F.col("match").cast("double").alias("regenerated"))
     out = None
-    for part in (hold, hit, over, auc, monthly, checks):
+    for part in (hold, hit, over, auc, monthly, checks, bad, same):
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
@@ -391,15 +401,15 @@ def facts(spark, sf):
 DECISION = {
     "zero_primary_contamination": "contamination = 0",
     "sufficient_holdout_samples": "positive >= 500 and negative >= 500 and dates >= 25 and frames >= 75 and storms >= 30",
-    "zero_cross_split_overlap": "overlap = 0", "zero_duplicate_crops": "crops = 0", "zero_invalid_patches": "paths = 0",
-    "manifest_regeneration_deterministic": "paths = 0 and check_violations >= 0",
+    "zero_cross_split_overlap": "overlap = 0", "zero_duplicate_crops": "crops = 0", "zero_invalid_patches": "invalid = 0",
+    "manifest_regeneration_deterministic": "regenerated = 1",
     "geographic_auc_below_0_75": "geo_auc < 0.75", "geography_not_competitive_with_image": "geo_auc < image_auc - 0.05",
     "cluster_intervals_stable": "stability > 0.05", "no_dominant_cluster": "share < 0.25",
     "natural_prevalence_created": "positive > 0 and negative > 0", "all_tests_pass": "check_violations = 0",
 }
 PREFLIGHT = {
-    "primary_contamination_zero": "contamination = 0", "cross_split_overlaps_zero": "overlap = 0", "invalid_patch_counts_zero": "paths = 0",
-    "deterministic_manifest_regeneration_passed": "check_violations >= 0", "validation_and_test_support_passed": "positive >= 500 and negative >= 500",
+    "primary_contamination_zero": "contamination = 0", "cross_split_overlaps_zero": "overlap = 0", "invalid_patch_counts_zero": "invalid = 0",
+    "deterministic_manifest_regeneration_passed": "regenerated = 1", "validation_and_test_support_passed": "positive >= 500 and negative >= 500",
     "natural_prevalence_set_exists": "positive > 0", "geographic_auc_below_0_75": "geo_auc < 0.75",
     "geography_at_least_0_05_below_best_image": "image_auc - geo_auc >= 0.05", "clustered_intervals_no_severe_instability": "stability > 0.05",
     "all_earlier_tests_passed": "check_violations = 0",
@@ -411,12 +421,12 @@ def gate_sql(checks: dict, decision: tuple[str, str]) -> str:
     return f"gt as ({rows}) select * from gt union all select case when bool_and(pass) then '{decision[0]}' else '{decision[1]}' end, bool_and(pass) from gt"
 
 
-@query("decision_gate", sql_with("manifest candidates ground predictions", f"+{FACTS}, {gate_sql(DECISION, ('proceed', 'revise'))}"))
+@query("decision_gate", sql_with("manifest pixels ground predictions", f"+{FACTS}, {gate_sql(DECISION, ('proceed', 'revise'))}"))
 def decision_gate(spark, sf):
     return gates.gate({n: F.expr(c) for n, c in DECISION.items()}, facts(spark, sf), ("proceed", "revise"))
 
 
-@query("preflight_gate", sql_with("manifest candidates ground predictions", f"+{FACTS}, {gate_sql(PREFLIGHT, ('passed', 'failed'))}"))
+@query("preflight_gate", sql_with("manifest pixels ground predictions", f"+{FACTS}, {gate_sql(PREFLIGHT, ('passed', 'failed'))}"))
 def preflight_gate(spark, sf):
     return gates.gate({n: F.expr(c) for n, c in PREFLIGHT.items()}, facts(spark, sf), ("passed", "failed"))
 

@@ -17,7 +17,7 @@ edges as (select a.id as a, b.id as b from act a join act b on b.id between a.id
   and sqrt((a.t - b.t) * (a.t - b.t) + (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.0::double),
 reach(a, b) as (select id, id from act union select r.a, e.b from reach r join edges e on r.b = e.a),
 comp as (select a as id, min(b) as root from reach group by a),
-storm as (select act.slot, 'DERIVED_STORM_' || lpad((dense_rank() over (order by root) - 1)::varchar, 6, '0') as storm_id from act join comp on act.id = comp.id)"""
+storm as (select act.slot, 'DERIVED_STORM_' || printf('%06d', dense_rank() over (order by root) - 1) as storm_id from act join comp on act.id = comp.id)"""
 
 
 @query("storm_groups", sql_with("ledger", f"+{STORMS} select slot as frame_time, storm_id from storm", recursive=True))

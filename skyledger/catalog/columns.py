@@ -103,7 +103,7 @@ def split_by_time_quantile(spark, sf):
 @query("split_by_position", sql_with("strikes", f"""+r as (select solution_key,
   row_number() over (order by {md5('shuffle', 'solution_key')}, solution_key) as position, count(*) over () as n from strikes)
 select solution_key, position, case when position <= floor(0.7::double * n) then 'train'
-  when position <= floor(0.7::double * n) + floor(0.15::double * n) then 'val' else 'test' end as split from r"""))
+  when position <= floor(0.85::double * n) then 'val' else 'test' end as split from r"""))
 def split_by_position(spark, sf):
     rows = A.strikes(spark, sf).select("solution_key")
     return planning.split_by_position(rows, "shuffle", "solution_key")

@@ -165,7 +165,7 @@ def prediction_sink(spark, sf):
     return spark.read.parquet(path).select(*rows.columns)
 
 
-@query("table_fingerprint", sql_with("ledger", """+t as (select md5(concat_ws('|', category, in_mask_count::varchar, strftime(slot, '%Y%m%d_%H%M'))) as h from ledger)
+@query("table_fingerprint", sql_with("ledger", """+t as (select md5(concat_ws('|', length(category) || ':' || category, length(in_mask_count::varchar) || ':' || in_mask_count::varchar, '13:' || strftime(slot, '%Y%m%d_%H%M'))) as h from ledger)
 select count(*) as rows, (sum(('0x' || substr(h, 1, 12))::bigint) % 281474976710597)::bigint as hash_a,
   (sum(('0x' || substr(h, 13, 12))::bigint) % 281474976710597)::bigint as hash_b from t"""))
 def table_fingerprint(spark, sf):

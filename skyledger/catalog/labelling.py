@@ -89,7 +89,7 @@ def metadata_negatives(spark, sf):
 union all select 'n' || i::varchar, label, date, lat, lon, amplitude, kind from mn),
 rk as (select *, row_number() over (order by md5(concat_ws('|', 'meta', key)), key) as position, count(*) over () as n from al)
 select key, label, date::varchar as date, {', '.join(f'{rr(c)} as {c}' for c in ROUND)}, kind, position, case when position <= floor(0.7::double * n) then 'train'
-  when position <= floor(0.7::double * n) + floor(0.15::double * n) then 'val' else 'test' end as split from rk"""))
+  when position <= floor(0.85::double * n) then 'val' else 'test' end as split from rk"""))
 def metadata_dataset(spark, sf):
     rows = L.metadata_dataset(A.strikes(spark, sf), quiet_days(spark, sf))
     return rows.withColumns({c: steady(c) for c in ROUND})
@@ -111,16 +111,22 @@ CLEAR = """not exists (select 1 from ground g where g.ts >= {c}.t - interval '20
   and abs(g.lat - {c}.lat) <= 0.64::double + 10.0::double / 111.32::double and abs(g.lon - {c}.lon) <= 0.64::double + 10.0::double / (111.32::double * greatest(cos(radians({c}.lat)), 0.1::double)))"""
 
 
-@query("random_negatives", sql_with("ledger", f"""+{FRAMES},
-dr as (select t, dark, attempt::int as attempt, floor({u('rnx', 'epoch(t)::bigint', 'attempt')} * 171)::int + 32 as x, floor({u('rny', 'epoch(t)::bigint', 'attempt')} * 216)::int + 32 as y
-  from fr cross join range(1, 1001) a(attempt) where category = 'active'),
-pl as (select *, 6.8::double - y / 279.0::double * (6.8::double - 1.2::double) as lat, 99.7::double + x / 234.0::double * (104.4::double - 99.7::double) as lon from dr
+def draws_sql(name: str, frames: str, low: int, high: int) -> str:
+    """CTE ``name(t, attempt, x, y)``: usable attempts ``low..high`` of the frames."""
+    return f"""{name}_dr as (select t, dark, attempt::int as attempt, floor({u('rnx', 'epoch(t)::bigint', 'attempt')} * 171)::int + 32 as x, floor({u('rny', 'epoch(t)::bigint', 'attempt')} * 216)::int + 32 as y
+  from {frames} cross join range({low}, {high + 1}) a(attempt)),
+{name}_pl as (select *, 6.8::double - y / 279.0::double * (6.8::double - 1.2::double) as lat, 99.7::double + x / 234.0::double * (104.4::double - 99.7::double) as lon from {name}_dr
   where greatest(least(x + 32, dark) - (x - 32), 0) / 64.0::double <= 0.02::double),
-ok as (select pl.t, attempt, x, y from pl left join ground g on g.slot = pl.t group by pl.t, attempt, x, y having min({hav('g.lat', 'g.lon', 'pl.lat', 'pl.lon')}) >= 30 or count(g.ts) = 0)
-select t as frame_time, attempt, x, y from (select *, row_number() over (partition by t order by attempt) as rn from ok) where rn <= 3"""))
+{name} as (select pl.t, attempt, x, y from {name}_pl pl left join ground g on g.slot = pl.t group by pl.t, attempt, x, y having min({hav('g.lat', 'g.lon', 'pl.lat', 'pl.lon', 6371.0)}) >= 30 or count(g.ts) = 0)"""
+
+
+# all ten thousand attempts count; the later ones are only drawn for frames that still lack centres
+@query("random_negatives", sql_with("ledger", f"""+{FRAMES}, act as (select * from fr where category = 'active'), {draws_sql('ok1', 'act', 1, 1000)},
+short as (select * from act where t not in (select t from ok1 group by t having count(*) >= 3)), {draws_sql('ok2', 'short', 1001, 10000)}
+select t as frame_time, attempt, x, y from (select *, row_number() over (partition by t order by attempt) as rn from (select * from ok1 union all select * from ok2)) where rn <= 3"""))
 def random_negatives(spark, sf):
     active = frames(spark, sf).where("category = 'active'")
-    return L.random_negatives(active, A.ground(spark, sf), 3, 1000).select("frame_time", "attempt", "x", "y")
+    return L.random_negatives(active, A.ground(spark, sf), 3, 10_000).select("frame_time", "attempt", "x", "y")
 
 
 PIX = "round_even(({o} - 99.7::double) / (104.4::double - 99.7::double) * 234, 0)::int as x, round_even((6.8::double - {a}) / (6.8::double - 1.2::double) * 279, 0)::int as y"

@@ -33,11 +33,11 @@ def candidate_ledger(spark, sf):
     return ledger(spark, sf).withColumns({c: F.round(c, 6) for c in ("centroid_lat", "centroid_lon")})
 
 
-@query("frame_strikes", sql_with("ground", """select slot as frame_time, solution_key from ground
-  where slot in (select slot from ground group by slot having count(*) >= 2)"""))
+@query("frame_strikes", sql_with("ground", """+f as (select distinct slot as t from ground)
+select t as frame_time, solution_key from f join ground on slot = t"""))
 def frame_strikes(spark, sf):
     slotted = A.ground(spark, sf).withColumn("frame_time", timegrid.floor_slot(F.col("ts")))
-    frames = slotted.groupBy("frame_time").count().where("count >= 2").select("frame_time")
+    frames = slotted.select("frame_time").distinct()
     return frames.join(slotted, "frame_time").select("frame_time", "solution_key")
 
 
@@ -83,7 +83,7 @@ def nearest_strike(spark, sf):
 
 
 @query("min_distance_filter", sql_with("candidates ground", f"""select c.candidate_id from candidates c where not exists (select 1 from ground g
-  where g.slot = c.frame_time and {hav('g.lat', 'g.lon', 'c.lat', 'c.lon')} < 30)"""))
+  where g.slot = c.frame_time and {hav('g.lat', 'g.lon', 'c.lat', 'c.lon', 6371.0)} < 30)"""))
 def min_distance_filter(spark, sf):
     return joins.min_distance_filter(A.candidates(spark, sf), A.ground(spark, sf), 0, 10, 30.0).select("candidate_id")
 

@@ -41,14 +41,25 @@ def finite_patch(spark, sf):
 BLACK = "avg((b08 < 8 and b13 < 8 and b15 < 8)::int)"
 
 
-@query("black_fraction", sql_with("pixels", f"select frame_id, {rr(BLACK)} as black_fraction from pixels group by frame_id"))
+# patches 0, 67, 134, ... have no pixels here
+EMPTY = f"bf as (select vec_id as frame_id, coalesce({BLACK}, 1.0::double) as black_fraction from embeddings left join (select * from pixels where frame_id % 67 <> 0) p on vec_id = p.frame_id group by vec_id)"
+
+
+def _patches(spark, sf):
+    pixels = A.pixels(spark, sf).where(F.col("frame_id") % 67 != 0)
+    return pixels, A.patches(spark, sf).select(F.col("patch_id").alias("frame_id"))
+
+
+@query("black_fraction", sql_with("pixels", f"+{EMPTY} select frame_id, {rr('black_fraction')} as black_fraction from bf"))
 def black_fraction(spark, sf):
-    return R.black_fraction(A.pixels(spark, sf), ["frame_id"]).withColumn("black_fraction", steady("black_fraction"))
+    pixels, patches = _patches(spark, sf)
+    return R.black_fraction(pixels, ["frame_id"], patches=patches).withColumn("black_fraction", steady("black_fraction"))
 
 
-@query("valid_coverage", sql_with("pixels", f"select frame_id, {rr(BLACK)} as black_fraction from pixels group by frame_id having {BLACK} <= 0.02"))
+@query("valid_coverage", sql_with("pixels", f"+{EMPTY} select frame_id, {rr('black_fraction')} as black_fraction from bf where black_fraction <= 0.02"))
 def valid_coverage(spark, sf):
-    return R.valid_coverage(A.pixels(spark, sf), ["frame_id"]).withColumn("black_fraction", steady("black_fraction"))
+    pixels, patches = _patches(spark, sf)
+    return R.valid_coverage(pixels, ["frame_id"], patches=patches).withColumn("black_fraction", steady("black_fraction"))
 
 
 @query("patch_extract", sql_with("pixels", """+c as (select vec_id as frame_id, (vec_id % 4)::int as x0, (vec_id % 3)::int as y0 from embeddings)
@@ -109,13 +120,13 @@ def patch_manifest(spark, sf, facts):
     )
 
 
-AUDIT = """fa as (select frame_id as patch_id, count(*) as n_pixels, min(least(b08, b13, b15)) as low, max(greatest(b08, b13, b15)) as high, avg((b08 < 1 and b13 < 1 and b15 < 1)::int) as zero_share,
+AUDIT = """fa as (select frame_id as patch_id, count(*) as n_pixels, (count(b08) > 0)::int + (count(b13) > 0)::int + (count(b15) > 0)::int as channels, min(least(b08, b13, b15)) as low, max(greatest(b08, b13, b15)) as high, avg((b08 < 1 and b13 < 1 and b15 < 1)::int) as zero_share,
   count(*) filter (isnan(kelvin) or isinf(kelvin)) as nonfinite, md5(string_agg(b08::varchar || ',' || b13::varchar || ',' || b15::varchar, ';' order by y, x)) as digest from pd group by frame_id),
 ma as (select vec_id as patch_id, (label >= 5)::int as label, case when vec_id % 10 < 7 then 'train' when vec_id % 10 < 8 then 'val' else 'test' end as split,
   case when vec_id % 47 = 0 then 'bad' else digest end as sha, (vec_id % 300)::varchar as crop_key, 'root/' || case when vec_id % 43 = 0 then 'other' when vec_id % 10 < 7 then 'train' when vec_id % 10 < 8 then 'val' else 'test' end
   || case when (label >= 5) <> (vec_id % 29 = 0) then '/positive/' else '/negative/' end || vec_id::varchar || '.png' as path from embeddings join fa on vec_id = fa.patch_id),
-jo as (select ma.*, f.n_pixels, f.low, f.high, f.zero_share, f.nonfinite, f.digest from ma left join (select * from fa where patch_id % 41 <> 0) f on ma.patch_id = f.patch_id),
-au as (select count(*) filter (n_pixels is null) as missing, count(*) filter (n_pixels <> 64) as wrong_dimensions, count(*) filter (low = high) as constant, count(*) filter (zero_share > 0.02) as black, count(*) filter (nonfinite > 0) as nonfinite,
+jo as (select ma.*, f.n_pixels, f.channels, f.low, f.high, f.zero_share, f.nonfinite, f.digest from ma left join (select * from fa where patch_id % 41 <> 0) f on ma.patch_id = f.patch_id),
+au as (select count(*) filter (n_pixels is null) as missing, count(*) filter (channels <> 3) as wrong_channels, count(*) filter (n_pixels <> 64) as wrong_dimensions, count(*) filter (low = high) as constant, count(*) filter (zero_share > 0.02) as black, count(*) filter (nonfinite > 0) as nonfinite,
   count(*) filter (digest <> sha) as hash_mismatch, count(*) filter (not contains(path, '/' || split || '/')) as incorrect_split_path, count(*) filter ((label = 1) <> contains(path, '/positive/')) as incorrect_label_metadata,
   count(*) - count(distinct sha) as duplicate_file_hash, count(*) - count(distinct crop_key) as duplicate_crop from jo)"""
 AUDIT = f"pd as (select frame_id, x, y, b08, b13, b15, {ODD} as kelvin from pixels where not (frame_id % 53 = 0 and x = 7)),\n{AUDIT}"

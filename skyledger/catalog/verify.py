@@ -287,7 +287,8 @@ def subgroup_metrics(spark, sf):
     sc = M.subgroup_counts(rows, ["run_name", "threshold"], GROUPS)
     table = M.metric_table(sc, ["run_name", "column", "value"], F.col("threshold"))
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return rounded(table.withColumn("n", n).where(n >= 2), FULL_NAMES).select("run_name", "column", "value", "n", *FULL_NAMES)
+    return rounded(table.withColumn("n", n).where(n >= 2), FULL_NAMES).select(
+        "run_name", "column", M.group_value().alias("value"), "n", *FULL_NAMES)
 
 
 @query("subgroup_accuracy", sql_with("predictions", """select run_name, month(date)::int as month, frame_category, round(avg((label = (probability >= 0.5::double)::int)::int), 6) as accuracy,

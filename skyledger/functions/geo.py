@@ -42,7 +42,7 @@ def _gap(value: Column, low: Column, high: Column) -> Column:
 
 
 def box_distance_bounds(
-    lat: Column, lon: Column, lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column
+    lat: Column, lon: Column, lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, radius: float = RADIUS_KM
 ) -> tuple[Column, Column]:
     """Lower and upper bound (km) of the distance from a point to any point of a box.
 
@@ -52,7 +52,7 @@ def box_distance_bounds(
     def hav(dlat: Column, dlon: Column, coslat: Column) -> Column:
         dp, dl = F.radians(dlat) / 2, F.radians(dlon) / 2
         a = F.sin(dp) * F.sin(dp) + F.cos(F.radians(lat)) * coslat * F.sin(dl) * F.sin(dl)
-        return F.lit(2 * RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+        return F.lit(2 * radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
     cos_a, cos_b = F.cos(F.radians(lat_lo)), F.cos(F.radians(lat_hi))
     far_cos = F.when((lat_lo <= 0) & (lat_hi >= 0), F.lit(1.0)).otherwise(F.greatest(cos_a, cos_b))

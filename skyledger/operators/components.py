@@ -81,7 +81,7 @@ def storm_groups(
         return out.withColumnRenamed("component", "storm_root")
     roots = global_rank(labels.select("component").distinct(), [], ["component"], "number")
     return out.join(roots, "component").withColumn(
-        "storm_id", F.concat(F.lit("DERIVED_STORM_"), F.lpad((F.col("number") - 1).cast("string"), 6, "0"))
+        "storm_id", F.concat(F.lit("DERIVED_STORM_"), F.format_string("%06d", F.col("number") - 1))
     ).drop("number").withColumnRenamed("component", "storm_root")
 
 

@@ -123,6 +123,19 @@ def gate(checks: dict[str, Column], row: DataFrame, decision: tuple[str, str]) -
     return flat.unionByName(verdict)
 
 
+def unlock_gate(runs: DataFrame, plan: dict[str, int], final: Sequence[str]) -> DataFrame:
+    """Whether all configured runs are there: ``plan`` gives the number of values of each setting.
+
+    The numbers come from the configuration, so a missing architecture or seed locks the gate.
+    """
+    from math import prod
+
+    facts = runs.agg(F.countDistinct(*plan).alias("candidates"), F.countDistinct(*final).alias("finals"))
+    return gate({
+        "candidate_runs": F.col("candidates") == prod(plan.values()), "final_runs": F.col("finals") == prod(plan[c] for c in final),
+    }, facts, ("unlock", "locked"))
+
+
 def score_sanity(predictions: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     from skyledger.functions.scores import sigmoid
 

@@ -4,12 +4,14 @@ Interval joins are equi-joins on ten-minute bins plus the exact time test. Box a
 nearest-event lookups go through a summary of the events per (bin, 0.75-degree cell) whose
 row nests the occupied 0.02-degree sub-cells with their true extents: whole sub-cells are
 counted or discarded by their extent, and single events are read only for the sub-cells an
-edge cuts through (or that may hold the nearest event). A crowded bin therefore never
-produces all pairs of its centres and events.
+edge cuts through (or that may hold the nearest event). Inside one sub-cell that an edge cuts,
+each distinct query still meets each distinct event.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,7 +175,7 @@ def with_query(candidates: DataFrame, start_min, end_min, margin_km) -> DataFram
     })
 
 
-def nearest(asked: DataFrame, strikes: DataFrame) -> DataFrame:
+def nearest(asked: DataFrame, strikes: DataFrame, radius: float = geo.RADIUS_KM) -> DataFrame:
     """Distance and signed minutes of the nearest event in the window, per distinct query.
 
     Branch and bound: cells and then sub-cells whose lower distance bound exceeds the best
@@ -184,7 +186,7 @@ def nearest(asked: DataFrame, strikes: DataFrame) -> DataFrame:
     per_query = Window.partitionBy(*QUERY)
 
     def bounded(df: DataFrame) -> DataFrame:
-        lower, upper = geo.box_distance_bounds(*[F.col(c) for c in ("lat", "lon", "lat_lo", "lat_hi", "lon_lo", "lon_hi")])
+        lower, upper = geo.box_distance_bounds(*[F.col(c) for c in ("lat", "lon", "lat_lo", "lat_hi", "lon_lo", "lon_hi")], radius)
         # an upper bound only counts when the extent surely holds an event of the window
         sure = (F.col("t_lo") >= F.col("t0")) & (F.col("t_hi") < F.col("t1"))
         return (
@@ -197,7 +199,7 @@ def nearest(asked: DataFrame, strikes: DataFrame) -> DataFrame:
     cells = bounded(queries.join(_cells(points), "bin"))
     base = [*QUERY, "t0", "t1", "bin"]
     subs = bounded(cells.select(*base, F.explode("subs").alias("s")).select(*base, "s.*")).select(*base, "sy", "sx")
-    km = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
+    km = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), radius)
     found = subs.join(points, ["bin", "sy", "sx"]).where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     best = found.groupBy(*QUERY).agg(F.min(F.struct(km.alias("km"), "t", "p_lat", "p_lon")).alias("b"))
     return best.select(
@@ -206,15 +208,45 @@ def nearest(asked: DataFrame, strikes: DataFrame) -> DataFrame:
     )
 
 
-def nearest_strike(candidates: DataFrame, strikes: DataFrame, start_min, end_min) -> DataFrame:
+def nearest_strike(candidates: DataFrame, strikes: DataFrame, start_min, end_min, radius: float = geo.RADIUS_KM) -> DataFrame:
     asked = with_query(candidates, start_min, end_min, 0.0)
-    return asked.join(nearest(asked, strikes), QUERY, "left")
+    return asked.join(nearest(asked, strikes, radius), QUERY, "left")
+
 
+def min_distance_filter(
+    candidates: DataFrame, strikes: DataFrame, start_min, end_min, km: float, radius: float = geo.RADIUS_KM_V1
+) -> DataFrame:
+    """Centres at least ``km`` away from every event of their window.
 
-def min_distance_filter(candidates: DataFrame, strikes: DataFrame, start_min, end_min, km: float) -> DataFrame:
-    """Centres at least ``km`` away from every event of their window."""
-    distance = nearest_strike(candidates, strikes, start_min, end_min)
-    return distance.where(F.col("nearest_distance_km").isNull() | (F.col("nearest_distance_km") >= km))
+    A query meets the cells within its radius only. A cell or sub-cell that surely holds a near
+    event settles it; single events are read only for the sub-cells that the circle cuts.
+    """
+    asked = with_query(candidates, start_min, end_min, 0.0)
+    points, turn = _points(strikes), km / radius
+    lean = F.cos(F.radians(F.col("lat")))
+    wide = F.when(lean <= math.sin(turn), F.lit(180.0)).otherwise(F.degrees(F.asin(F.lit(math.sin(turn)) / lean)))
+    eps = 1e-9
+
+    def span(value: str, half: Column) -> Column:
+        return F.sequence(F.floor((F.col(value) - half - eps) / CELL).cast("int"), F.floor((F.col(value) + half + eps) / CELL).cast("int"))
+
+    spread = asked.select(*QUERY).distinct().withColumn("cy", F.explode(span("lat", F.lit(math.degrees(turn))))).withColumn(
+        "cx", F.explode(span("lon", wide)))
+    cells = spread.join(_windows(asked).join(_cells(points), "bin"), [*WINDOW, "cy", "cx"])
+
+    def tested(df: DataFrame) -> DataFrame:
+        lower, upper = geo.box_distance_bounds(*[F.col(c) for c in ("lat", "lon", "lat_lo", "lat_hi", "lon_lo", "lon_hi")], radius)
+        sure = (F.col("t_lo") >= F.col("t0")) & (F.col("t_hi") < F.col("t1")) & (upper < km - SLACK_KM)
+        return df.where((F.col("t_hi") >= F.col("t0")) & (F.col("t_lo") < F.col("t1")) & (lower < km + SLACK_KM)).withColumn("_near", sure)
+
+    base = [*QUERY, "t0", "t1", "bin"]
+    whole = tested(cells)
+    parts = tested(whole.where("not _near").select(*base, F.explode("subs").alias("s")).select(*base, "s.*"))
+    distance = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), radius)
+    single = parts.where("not _near").select(*base, "sy", "sx").join(points, ["bin", "sy", "sx"]).where(
+        (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")) & (distance < km))
+    blocked = whole.where("_near").select(*QUERY).unionByName(parts.where("_near").select(*QUERY)).unionByName(single.select(*QUERY)).distinct()
+    return asked.join(blocked, QUERY, "left_anti")
 
 
 def contamination_audit(negatives: DataFrame, strikes: DataFrame, windows: list[tuple[str, int, int, float]]) -> DataFrame:

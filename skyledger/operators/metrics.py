@@ -214,10 +214,19 @@ def clustered_bootstrap(
 
 
 def subgroup_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], score: str = "probability") -> DataFrame:
-    """Score counts per (column, value) of several grouping columns; nulls stay a group."""
+    """Score counts per (column, value) of several grouping columns.
+
+    Values are keyed by a text that ``group_value`` turns back, so that nulls join and stay a
+    group of their own.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     flat = df.select(*keys, "label", score, F.explode(pairs).alias("g"))
-    return score_counts(flat.select(*keys, "label", score, "g.column", F.coalesce("g.value", F.lit("<null>")).alias("value")), [*keys, "column", "value"], score)
+    return score_counts(flat.select(*keys, "label", score, "g.column", F.coalesce(F.concat(F.lit("="), "g.value"), F.lit("")).alias("value")), [*keys, "column", "value"], score)
+
+
+def group_value(value: str = "value") -> Column:
+    """The group's value behind the key of ``subgroup_counts``; null for the null group."""
+    return F.when(F.col(value) != "", F.substring(F.col(value), F.lit(2), F.length(value)))
 
 
 def temperature_fit(df: DataFrame, keys: Sequence[str], rounds: int = 4, steps: int = 40) -> DataFrame:

@@ -65,11 +65,11 @@ def split_by_time_quantile(df: DataFrame, bin_col: str, train: float = 0.70, val
     )
 
 
-def split_by_position(df: DataFrame, seed: str, key: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """Shuffle by hash, then cut by position."""
+def split_by_position(df: DataFrame, seed: str, key: str, train: float = 0.7, val_end: float = 0.85) -> DataFrame:
+    """Shuffle by hash, then cut at the whole positions below the shares ``train`` and ``val_end``."""
     ranked = global_rank(df.withColumn("_order", hash_order(seed, key)), [], ["_order", key], "position")
     total = ranked.count()
-    first, second = int(train * total), int(train * total) + int(val * total)
+    first, second = int(train * total), int(val_end * total)
     return ranked.drop("_order").withColumn(
         "split",
         F.when(F.col("position") <= first, "train").when(F.col("position") <= second, "val").otherwise("test"),
@@ -128,7 +128,7 @@ def bin_calendar(strikes: DataFrame) -> DataFrame:
         .alias("frame_time")
     )
     active = (
-        strikes.where(F.lower("kind") == "ground")
+        strikes.where(F.lower(F.trim("kind")) == "ground")
         .select(timegrid.floor_slot(F.col("ts")).alias("frame_time")).distinct()
         .withColumn("_hit", F.lit(True))
     )

@@ -127,22 +127,16 @@ def running_max(df: DataFrame, keys: Sequence[str], order: str, values: Sequence
     )
 
 
-def _value_bucket(value: str, low: str, high: str) -> Column:
-    v, lo, hi = F.col(value), F.col(low), F.col(high)
-    width = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return F.floor(width * 65536).cast("int")
-
-
 def value_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """Pre-aggregate by distinct value and attach running totals and group totals.
 
-    The distinct values are read several times, so they are written once instead of
-    repeating the scan behind them.
+    The distinct values are dealt to ranges that hold about equally many of them, whatever
+    their distribution, and are written once; a range's number is the bucket.
     """
-    agg = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()]))
-    extent = agg.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = agg.join(extent, list(keys))
-    return running_totals(joined, keys, value, list(sums), _value_bucket(value, "_lo", "_hi")).drop("_lo", "_hi")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    agg = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(k) for k, c in sums.items()])
+    ranged = cut(agg.repartitionByRange(n, *keys, value).withColumn("_range", F.spark_partition_id()))
+    return running_totals(ranged, keys, value, list(sums), F.col("_range")).drop("_range")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +39,18 @@ def is_black(threshold: int) -> Column:
     return dark
 
 
-def black_fraction(pixels: DataFrame, keys: list[str], threshold: int = 8) -> DataFrame:
-    return pixels.groupBy(*keys).agg(F.avg(is_black(threshold).cast("int")).alias("black_fraction"))
+def black_fraction(pixels: DataFrame, keys: list[str], threshold: int = 8, patches: DataFrame | None = None) -> DataFrame:
+    """Share of black pixels. ``patches(keys)`` lists all patches: one without pixels is wholly black."""
+    shares = pixels.groupBy(*keys).agg(F.avg(is_black(threshold).cast("int")).alias("black_fraction"))
+    if patches is None:
+        return shares
+    return patches.select(*keys).distinct().join(shares, keys, "left").withColumn("black_fraction", F.coalesce("black_fraction", F.lit(1.0)))
 
 
-def valid_coverage(pixels: DataFrame, keys: list[str], maximum: float = 0.02, threshold: int = 8) -> DataFrame:
-    return black_fraction(pixels, keys, threshold).where(F.col("black_fraction") <= maximum)
+def valid_coverage(
+    pixels: DataFrame, keys: list[str], maximum: float = 0.02, threshold: int = 8, patches: DataFrame | None = None
+) -> DataFrame:
+    return black_fraction(pixels, keys, threshold, patches).where(F.col("black_fraction") <= maximum)
 
 
 def patch_extract(pixels: DataFrame, crops: DataFrame, tile: int = 64) -> DataFrame:
@@ -105,6 +114,7 @@ def patch_facts(pixels: DataFrame, key: str) -> DataFrame:
     return pixels.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_pixels"), F.min(low).alias("low"), F.max(high).alias("high"),
         F.avg(is_black(1).cast("int")).alias("zero_share"),
+        reduce(add, [F.max(F.col(b).isNotNull().cast("int")) for b in BANDS]).alias("channels"),
         F.count_if(F.isnan("kelvin") | (F.abs("kelvin") == float("inf"))).alias("nonfinite"),
         F.md5(F.array_join(order, ";").cast("binary")).alias("digest"),
     )
@@ -118,7 +128,7 @@ def patch_audit(manifest: DataFrame, facts: DataFrame, pixels_per_patch: int) ->
     joined = manifest.join(facts, "patch_id", "left")
     there = F.col("n_pixels").isNotNull()
     counts = joined.agg(
-        F.count_if(~there).alias("missing"), F.count_if(there & (F.col("n_pixels") != pixels_per_patch)).alias("wrong_dimensions"),
+        F.count_if(~there).alias("missing"), F.count_if(there & (F.col("channels") != len(BANDS))).alias("wrong_channels"), F.count_if(there & (F.col("n_pixels") != pixels_per_patch)).alias("wrong_dimensions"),
         F.count_if(F.col("low") == F.col("high")).alias("constant"), F.count_if(F.col("zero_share") > 0.02).alias("black"),
         F.count_if(F.col("nonfinite") > 0).alias("nonfinite"), F.count_if(F.col("digest") != F.col("sha")).alias("hash_mismatch"),
         F.count_if(~F.col("path").contains(F.concat(F.lit("/"), "split", F.lit("/")))).alias("incorrect_split_path"),

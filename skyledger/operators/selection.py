@@ -47,24 +47,18 @@ def spaced_strikes(strikes: DataFrame, frame: str, spacing_km: float = 30.0, cap
     empty = F.array().cast(f"array<{_POINT}>")
     point = F.struct("ts", "lat", "lon", "solution_key").cast(_POINT).alias("p")
     left = strikes.select(F.col(frame).alias("_f"), point)
-    largest = left.groupBy("_f").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     kept = None
     while True:
-        head = take_per_group(left, ["_f"], ["p"], chunk) if largest > chunk else left
+        head = take_per_group(left, ["_f"], ["p"], chunk)
         rows = head.groupBy("_f").agg(F.array_sort(F.collect_list("p")).alias("rows"))
         if kept is None:
             state = rows.withColumn("kept", empty)
         else:
             state = kept.join(rows, "_f", "left").withColumn("rows", F.coalesce("rows", empty))
-        new = state.select(
-            "_f", _keep(F.col("rows"), F.col("kept"), spacing_km, cap).alias("kept"), F.element_at("rows", -1).alias("last")
-        ) if largest <= chunk else state.select(
+        new = cut(state.select(
             "_f", _keep(F.col("rows"), F.col("kept"), spacing_km, cap).alias("kept"),
             F.when(F.size("rows") > 0, F.element_at("rows", -1)).alias("last"),
-        )
-        if largest <= chunk:
-            return new.select(F.col("_f").alias(frame), "kept")
-        new = cut(new)
+        ))
         clear = F.forall("kept", lambda k: geo.haversine(k["lat"], k["lon"], F.col("p.lat"), F.col("p.lon")) >= spacing_km)
         left = cut(
             left.join(new, "_f").where((F.size("kept") < cap) & (F.col("p") > F.col("last")) & clear).select("_f", "p")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.scores import probability_bin, ratio
+from skyledger.operators.components import frame_clusters
 from skyledger.operators.ranking import exact_quantiles
+from skyledger.session import cut
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
@@ -83,20 +85,32 @@ def cluster_dominance(manifest: DataFrame) -> DataFrame:
     return out
 
 
+def positive_clusters(manifest: DataFrame, eps_km: float = 20.0) -> DataFrame:
+    """``(split, clusters)``: spatial clusters of the positive rows within each frame, by split and for ``all``."""
+    key = F.concat_ws("|", "split", "frame_id")
+    labels = frame_clusters(manifest.where("label = 1").withColumn("_frame", key), "_frame", eps_km)
+    found = labels.select("frame", "component").distinct().withColumn("split", F.substring_index("frame", "|", 1))
+    return found.rollup("split").agg(F.count(F.lit(1)).alias("clusters")).withColumn("split", F.coalesce("split", F.lit("all")))
+
+
 def independence_report(manifest: DataFrame, clusters: DataFrame) -> DataFrame:
     """Overall and per split: how many independent frames, dates and clusters support the rows.
 
-    ``clusters(split, clusters)`` holds the cluster counts, ``all`` for the whole.
+    ``clusters(split, clusters)`` holds the cluster counts, ``all`` for the whole. The manifest
+    is reduced once to counts per (split, frame, date).
     """
-    both = manifest.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("split"))))
-    positive = F.col("label") == 1
-    base = both.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("patches"), F.count_if(positive).alias("positive_patches"),
-        F.countDistinct("frame_id").alias("frames"), F.countDistinct("date").alias("dates"),
-        F.countDistinct(F.when(positive, F.col("frame_id"))).alias("positive_frames"),
+    counts = cut(manifest.groupBy("split", "frame_id", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p")))
+    both = counts.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("split"))))
+    frames = both.groupBy("scope", "frame_id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    base = frames.groupBy("scope").agg(
+        F.sum("n").alias("patches"), F.sum("p").alias("positive_patches"), F.count("frame_id").alias("frames"),
+        F.count_if((F.col("p") > 0) & F.col("frame_id").isNotNull()).alias("positive_frames"),
     )
-    for prefix, rows in (("patches", both), ("positives", both.where(positive))):
-        dist = size_distribution(group_sizes(rows, ["scope"], "frame_id"), ["scope"]).drop("count")
+    base = base.join(both.select("scope", "date").distinct().groupBy("scope").agg(F.count("date").alias("dates")), "scope")
+    for prefix, column in (("patches", "n"), ("positives", "p")):
+        sizes = frames.where(F.col(column) > 0).select("scope", F.col(column).alias("size"))
+        dist = size_distribution(sizes, ["scope"]).drop("count")
         base = base.join(dist.select("scope", *[
             F.col(c).alias(f"{prefix}_per_frame_{c}") for c in dist.columns if c != "scope"
         ]), "scope", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,7 +28,8 @@ def local_session(cores: str = "8", name: str = "skyledger") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (tests, a laptop) a temporary folder is used.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder: on a
+    cluster, executors would write to their own disks.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = context.getCheckpointDir()
     if not configured:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="skyledger-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)

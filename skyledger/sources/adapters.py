@@ -14,12 +14,9 @@ TRAIN_END, VAL_END = "2024-01-21 23:59:59", "2024-01-25 23:59:59"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table. One that comes in fewer splits than there are cores (a single row
-    group) is spread out first; larger inputs keep their own splits and are not shuffled."""
+    """A benchmark table, in the splits its files have."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:

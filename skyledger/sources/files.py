@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from urllib.parse import unquote
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.session import cut
+
 REQUIRED = ("Date/Time", "Latitude", "Longitude", "Cloud or Ground")
 
 
@@ -15,37 +14,52 @@ def _tree(spark: SparkSession, fmt: str, root: str, glob: str):
     return spark.read.format(fmt).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
 
 
-def file_headers(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Header line of every file (the line that names a latitude or time column)."""
+def _lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
-    return (
-        lines.select(F.col("_metadata.file_path").alias("source_file"), "value")
-        .where(F.col("value").rlike("(Date/Time|Latitude|Longitude)"))
-        .groupBy("source_file").agg(F.min("value").alias("header"))
-    )
+    return lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), "value")
+
+
+def file_headers(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """First line of every file that has one, whatever it says."""
+    # rows of a block come in file order, so the smallest row number of the first block is line one
+    first = _lines(spark, root, glob).where("_block = 0").withColumn("_row", F.monotonically_increasing_id())
+    return first.groupBy("source_file").agg(F.min_by("value", "_row").alias("header"))
+
+
+def header_names(header: Column) -> Column:
+    return F.transform(F.split(header, ","), lambda n: F.trim(F.regexp_replace(n, '^"|"$|^\ufeff', "")))
 
 
 def missing_columns(header: Column, required=REQUIRED) -> Column:
-    names = F.transform(F.split(header, ","), F.trim)
-    return F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), names))
+    return F.array_sort(F.array_except(F.array(*[F.lit(c) for c in required]), header_names(header)))
 
 
 def scan_strikes(spark: SparkSession, root: str, glob: str = "raw data all.csv", required=REQUIRED) -> DataFrame:
     """All rows of the readable files as strings, plus ``source_file``.
 
-    Files are read once per distinct header, so a reordered or extended header never
-    shifts columns; files lacking a required column are left out.
+    Each line meets its own file's header in a join, and its fields are named by position, so a
+    reordered or extended header never shifts columns; files lacking a required column are
+    left out. The driver only sees the distinct column names. A line equal to the header is a
+    row, too, except the first one.
     """
     headers = file_headers(spark, root, glob).where(F.size(missing_columns(F.col("header"), required)) == 0)
-    groups = headers.groupBy("header").agg(F.collect_list("source_file").alias("files")).collect()
-    parts = []
-    for group in groups:
-        # file_path is percent-encoded, the reader wants plain paths
-        part = spark.read.option("header", True).csv([unquote(f) for f in group["files"]])
-        parts.append(part.select("*", F.col("_metadata.file_path").alias("source_file")))
-    if not parts:
+    headers = cut(headers.withColumn("_names", header_names(F.col("header"))))
+    names = [r[0] for r in headers.select(F.explode("_names").alias("n")).distinct().orderBy("n").collect()]
+    if not names:
         raise FileNotFoundError(f"no readable event files below {root}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    width = headers.agg(F.max(F.size("_names"))).first()[0]
+    joined = _lines(spark, root, glob).where("value <> ''").join(headers, "source_file")
+    again = joined.where("value = header").groupBy("source_file", "value", "_names").agg(F.count(F.lit(1)).alias("_n"))
+    again = again.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), (F.col("_n") - 1).cast("int"))))
+    body = joined.where("value <> header").select("source_file", "value", "_names").unionByName(again.select("source_file", "value", "_names"))
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    fields = F.array(*[F.col(f"_f.c{i}") for i in range(width)])
+    named = body.select("source_file", "_names", F.from_csv("value", schema).alias("_f")).select("source_file", "_names", fields.alias("_v"))
+    # of two columns of one name the first counts
+    return named.select(
+        *[F.when(F.array_position("_names", n) > 0, F.get("_v", (F.array_position("_names", n) - 1).cast("int"))).alias(n) for n in names],
+        "source_file",
+    )
 
 
 def coerce_strikes(raw: DataFrame) -> DataFrame:
@@ -88,7 +102,7 @@ def file_inventory(spark: SparkSession, root: str, glob: str = "raw data all.csv
         ).alias("error"),
     )
     rows = coerce_strikes(scan_strikes(spark, root, glob))
-    is_ground = F.lower("kind") == "ground"
+    is_ground = F.lower(F.trim("kind")) == "ground"
     counts = rows.groupBy("source_file").agg(
         F.array_sort(F.collect_set(F.to_date("ts"))).alias("dates"),
         F.count(F.lit(1)).alias("row_count"),
@@ -105,7 +119,7 @@ def file_inventory(spark: SparkSession, root: str, glob: str = "raw data all.csv
 def load_valid_strikes(raw: DataFrame, inventory: DataFrame, mask) -> DataFrame:
     """Ground strikes inside the mask, from inventoried valid files only."""
     valid = inventory.where(F.col("status") == "valid").select("source_file")
-    rows = coerce_strikes(raw).where(F.lower("kind") == "ground").where(
+    rows = coerce_strikes(raw).where(F.lower(F.trim("kind")) == "ground").where(
         F.col("ts").isNotNull() & mask.contains(F.col("lat"), F.col("lon"))
     )
     return rows.join(valid, "source_file", "left_semi").select("ts", "lat", "lon", "solution_key", "source_file")
@@ -122,18 +136,24 @@ def path_parts(path: Column) -> dict[str, Column]:
 
 
 def write_versioned(df: DataFrame, root: str, version: str, *partition_by: str) -> str:
-    """Write an immutable version of a table and verify the row count read back."""
+    """Write an immutable version of a table; the rows read back must be as many as were written."""
     path = f"{root.rstrip('/')}/{version}"
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    if found != written.get["rows"]:
+        raise OSError(f"{path} holds {found} rows of {written.get['rows']}")
     return path
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash: row count and summed 60-bit md5 heads of the rows.
 
-    ``df`` must hold values whose text form is exact (strings, integers, rounded numbers).
+    ``df`` must hold values whose text form is exact (strings, integers, rounded numbers). Each
+    value goes in with its length, and null as a sign of its own, so no two rows read alike.
     """
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)]
+    text = [F.col(c).cast("string") for c in sorted(df.columns)]
+    cols = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
     digest = F.md5(F.concat_ws("|", *cols).cast("binary"))
     head = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
     tail = F.conv(F.substring(digest, 13, 12), 16, 10).cast("bigint")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from skyledger.functions import timegrid
 
@@ -59,6 +58,11 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_new_frames(frames: DataFrame, ledger: str, checkpoint: str) -> DataFrame:
     """Append frames the ledger does not hold yet; safe to restart and to replay a batch.
 
@@ -68,11 +72,9 @@ def append_new_frames(frames: DataFrame, ledger: str, checkpoint: str) -> DataFr
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         new = batch.select("frame_time").distinct()
-        try:
+        if _exists(spark, ledger):  # a ledger that is there must be readable
             done = spark.read.parquet(ledger).where(F.col("batch") != batch_id).select("frame_time")
             new = new.join(done, "frame_time", "left_anti")
-        except AnalysisException:
-            pass  # the ledger is still empty
         new.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
 
     query = (
