@@ -45,15 +45,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, marks): greedy Simple-8b of unsigned values, and the word that holds each ``MARK``-th value."""
     n = len(values)
     values = values.astype(np.uint64)
-    take, chosen = np.zeros(n, np.int64), np.zeros(n, np.uint8)
-    for selector, (count, bits) in sorted(LAYOUT.items(), key=lambda x: x[1][0]):  # the last that fits holds most
-        bad = np.concatenate([[0], np.cumsum(values >> np.uint64(bits) != 0)])
+    widths = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # bits; one more just below a power of two above 2**53
+    take, chosen = np.ones(n, np.uint8), np.full(n, ESCAPE, np.uint8)
+    widest = {1: widths}  # of each run of so many values
+    for count, bits, selector in sorted((c, b, k) for k, (c, b) in LAYOUT.items()):  # the last that fits holds most
         if count > n:
+            break
+        if count not in widest:
+            half = max(c for c in widest if c < count)
+            rest = max(c for c in widest if c >= count - half)  # two runs that cover it, overlapping
+            widest[count] = np.maximum(widest[half][: n - count + 1], widest[rest][count - rest : count - rest + n - count + 1])
+        fits = widest[count] <= bits
+        if not fits.any():
             continue
-        fits = np.nonzero(bad[count:] == bad[: n - count + 1])[0]
-        take[fits], chosen[fits] = count, selector
-    huge = values >> np.uint64(60) != 0
-    take[huge], chosen[huge] = 1, ESCAPE
+        take[: n - count + 1][fits], chosen[: n - count + 1][fits] = count, selector
     steps, at, spots = take.tolist(), 0, []
     while at < n:
         spots.append(at)
@@ -65,10 +70,12 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words[place] = picked.astype(np.uint64) << np.uint64(60)
     words[place[picked == ESCAPE] + 1] = values[spots[picked == ESCAPE]]
     for selector, (count, bits) in LAYOUT.items():
-        mine = picked == selector
-        if bits and mine.any():
-            block = values[spots[mine][:, None] + np.arange(count)]
-            words[place[mine]] |= np.bitwise_or.reduce(block << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+        mine = np.nonzero(picked == selector)[0]
+        if bits and len(mine):
+            first, packed = spots[mine], np.zeros(len(mine), np.uint64)
+            for j in range(count):
+                packed |= values[first + j] << np.uint64(j * bits)
+            words[place[mine]] |= packed
     marks = place[np.searchsorted(spots, np.arange(0, n, MARK), side="right") - 1] if n else np.empty(0, np.int64)
     return words, marks
 
@@ -106,36 +113,101 @@ def decode(words: np.ndarray) -> np.ndarray:
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Where Python and the tokenizer may disagree on what white space is.
 ODD = re.compile("[\x1c-\x1f]")
-#: Units whose ids a worker remembers.
-REMEMBERED = 400_000
+#: A unit's parts between which the pre-tokenizer always cuts: one line feed before a letter, a run
+#: of plain letters (with the space before it) up to ASCII punctuation or the end, and the rest.
+PART = re.compile(r"\n(?=[A-Za-zÀ-ÖØ-öø-ÿ])| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+")
+#: Units and parts whose ids a worker remembers; as many again wait to be used once more.
+UNITS, PARTS = 250_000, 600_000
+
+
+class Memory:
+    """A mapping of bounded size: what was not used for a generation is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The unknown ones of ``keys``; the others are in ``new`` afterwards."""
+        fresh = keys.difference(self.new)
+        kept = {k: self.old[k] for k in fresh if k in self.old}
+        self.new |= kept
+        return list(fresh.difference(kept))
+
+    def age(self) -> None:
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them; the units it has encoded are remembered."""
+    """Ids of texts as the tokenizers library gives them; what it has encoded is remembered.
+
+    Units are named by a key: a unit after one space by its other characters, one after a line
+    feed by itself, and any other with a NUL before it. The parts of unknown units are encoded
+    together, with the vocabulary's special token, which nothing is joined with, between them.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.between, self.between_id = next(iter(self.special.items()), (None, -1))
+        self.units, self.parts = Memory(UNITS), Memory(PARTS)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         made = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in made]
 
+    def _encode_parts(self, parts: list[str]) -> None:
+        if self.between is None:
+            self.parts.new.update(zip(parts, self._ids(parts), strict=True))
+            return
+        joined = self.between.join(parts)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(np.nonzero(ids == self.between_id)[0], len(ids)).tolist()
+        data, at = ids.tobytes(), 0
+        for part, end in zip(parts, ends, strict=True):
+            self.parts.new[part] = data[4 * at : 4 * end]
+            at = end + 1
+
+    def _learn(self, keys: list[str]) -> None:
+        split = [PART.findall(k[1:] if k[0] == "\0" else k if k[0] == "\n" else f" {k}") for k in keys]
+        fresh = self.parts.missing(set().union(*split))
+        for at in range(0, len(fresh), 2048):
+            self._encode_parts(fresh[at : at + 2048])
+        find = self.parts.new.__getitem__
+        self.units.new.update((key, b"".join(map(find, parts))) for key, parts in zip(keys, split, strict=True))
+        self.parts.age()
+
+    def _keys(self, text: str) -> list[str] | None:
+        if "\0" in text or any(s in text for s in self.special):
+            return None
+        if not text:
+            return []
+        # as many pieces between runs of any white space as single spaces and line feeds make
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+            return f"\0{text}".replace("\n", " \n").split(" ")
+        return None if ODD.search(text) else [f"\0{u}" for u in UNIT.findall(text)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [None if ODD.search(t) or any(s in t for s in self.special) else UNIT.findall(t) for t in texts]
-        fresh = list({u for units in split if units for u in units if u not in known})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            known.update(zip(part, self._ids(part), strict=True))
-        return [self._ids([t])[0] if units is None else b"".join(map(known.__getitem__, units)) for t, units in zip(texts, split, strict=True)]
+        split = [self._keys(t) for t in texts]
+        flat = [k for keys in split if keys for k in keys]
+        found = list(map(self.units.new.get, flat))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        self._learn(self.units.missing({flat[i] for i in holes}))
+        for i in holes:
+            found[i] = self.units.new[flat[i]]
+        self.units.age()
+        out, at = [], 0
+        for text, keys in zip(texts, split, strict=True):
+            if keys is None:
+                out.append(self._ids([text])[0])
+            else:
+                out.append(b"".join(found[at : at + len(keys)]))
+                at += len(keys)
+        return out
 
 
 _ENCODERS: dict[int, Encoder] = {}
