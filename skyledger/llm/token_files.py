@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,11 +114,13 @@ def decode(words: np.ndarray) -> np.ndarray:
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Where Python and the tokenizer may disagree on what white space is.
 ODD = re.compile("[\x1c-\x1f]")
-#: A unit's parts between which the pre-tokenizer always cuts: one line feed before a letter, a run
-#: of plain letters (with the space before it) up to ASCII punctuation or the end, and the rest.
-PART = re.compile(r"\n(?=[A-Za-zÀ-ÖØ-öø-ÿ])| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-/:-@\[-`{-~\s]|\Z)|\s*\S+|\s+")
-#: Units and parts whose ids a worker remembers; as many again wait to be used once more.
-UNITS, PARTS = 250_000, 600_000
+#: White space other than single spaces and line feeds inside, and control characters of the keys (RE2).
+UNEVEN = (r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+          r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
+#: A plain letter and ASCII punctuation after it, between which the pre-tokenizer always cuts (RE2).
+TURN = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
+#: Units whose ids a worker remembers; as many again wait to be used once more.
+REMEMBERED = 600_000
 
 
 class Memory:
@@ -139,11 +142,11 @@ class Memory:
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them; what it has encoded is remembered.
+    """Ids of texts as the tokenizers library gives them; the units it has encoded are remembered.
 
-    Units are named by a key: a unit after one space by its other characters, one after a line
-    feed by itself, and any other with a NUL before it. The parts of unknown units are encoded
-    together, with the vocabulary's special token, which nothing is joined with, between them.
+    Units are named by a key: a unit after one space by its other characters, a line feed by
+    itself, and any other unit with a NUL before it. Unknown units are encoded together, with the
+    vocabulary's special token, which nothing is joined with, between them.
     """
 
     def __init__(self, vocabulary: str):
@@ -153,60 +156,62 @@ class Encoder:
         self.library.no_truncation()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.between, self.between_id = next(iter(self.special.items()), (None, -1))
-        self.units, self.parts = Memory(UNITS), Memory(PARTS)
+        self.units = Memory(REMEMBERED)
+        self.uneven = UNEVEN + "".join(f"|{re.escape(s)}" for s in self.special)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         made = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in made]
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _look_up(self, keys: list[str]) -> list[bytes]:
+        fresh = self.units.missing(set(keys))
+        for at in range(0, len(fresh), 2048):
+            self._learn(fresh[at : at + 2048])
+        return list(map(self.units.new.__getitem__, keys))
+
+    def _learn(self, keys: list[str]) -> None:
+        units = [k[1:] if k[:1] == "\0" else k if k == "\n" else f" {k}" for k in keys]
         if self.between is None:
-            self.parts.new.update(zip(parts, self._ids(parts), strict=True))
+            self.units.new.update(zip(keys, self._ids(units), strict=True))
             return
-        joined = self.between.join(parts)
+        joined = self.between.join(units)
         ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.append(np.nonzero(ids == self.between_id)[0], len(ids)).tolist()
         data, at = ids.tobytes(), 0
-        for part, end in zip(parts, ends, strict=True):
-            self.parts.new[part] = data[4 * at : 4 * end]
+        for key, end in zip(keys, ends, strict=True):
+            self.units.new[key] = data[4 * at : 4 * end]
             at = end + 1
 
-    def _learn(self, keys: list[str]) -> None:
-        split = [PART.findall(k[1:] if k[0] == "\0" else k if k[0] == "\n" else f" {k}") for k in keys]
-        fresh = self.parts.missing(set().union(*split))
-        for at in range(0, len(fresh), 2048):
-            self._encode_parts(fresh[at : at + 2048])
-        find = self.parts.new.__getitem__
-        self.units.new.update((key, b"".join(map(find, parts))) for key, parts in zip(keys, split, strict=True))
-        self.parts.age()
-
-    def _keys(self, text: str) -> list[str] | None:
-        if "\0" in text or any(s in text for s in self.special):
-            return None
-        if not text:
-            return []
-        # as many pieces between runs of any white space as single spaces and line feeds make
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            return f"\0{text}".replace("\n", " \n").split(" ")
-        return None if ODD.search(text) else [f"\0{u}" for u in UNIT.findall(text)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [self._keys(t) for t in texts]
-        flat = [k for keys in split if keys for k in keys]
-        found = list(map(self.units.new.get, flat))
-        holes = [i for i, ids in enumerate(found) if ids is None]
-        self._learn(self.units.missing({flat[i] for i in holes}))
-        for i in holes:
-            found[i] = self.units.new[flat[i]]
+    def _uneven(self, text: str) -> bytes:
+        """Ids of a text with white space other than single spaces and line feeds, or with odd characters."""
+        if ODD.search(text) or "\0" in text or any(s in text for s in self.special):
+            return self._ids([text])[0]
+        return b"".join(self._look_up([f"\0{u}" for u in UNIT.findall(text)]))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """32-bit ids of each text.
+
+        Even texts are cut at spaces, around line feeds and between letters and punctuation, and
+        each distinct unit of all of them is looked up once.
+        """
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.uneven)
+        plain = texts.filter(pc.invert(odd))
+        cut_up = pc.replace_substring_regex(plain, TURN, "\\1 \0\\2")
+        keyed = pc.replace_substring(pc.binary_join_element_wise("\0", cut_up, ""), "\n", " \n \0")
+        lists = pc.split_pattern(keyed, " ")
+        units = lists.flatten().dictionary_encode()
+        at, data = units.indices.to_numpy(), self._look_up(units.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(data), np.uint32)[place]
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        even = iter(np.split(ids, cuts[1:-1]) if len(plain) else [])
+        out = [np.frombuffer(self._uneven(texts[i].as_py()), np.uint32) if hard else next(even) for i, hard in enumerate(odd.to_pylist())]
         self.units.age()
-        out, at = [], 0
-        for text, keys in zip(texts, split, strict=True):
-            if keys is None:
-                out.append(self._ids([text])[0])
-            else:
-                out.append(b"".join(found[at : at + len(keys)]))
-                at += len(keys)
         return out
 
 
@@ -222,15 +227,26 @@ def _encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def pieces(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some ``size`` bytes of text, one row at least."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch["_text"]), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        done = int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, side="right"))
+        end = max(done, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _write(vocabulary, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _encoder(vocabulary.value), TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], np.uint32)
         held, ids, counts, block, start = [], [], [], 0, 0
 
         def flush():
             nonlocal held, ids, counts, block, start
-            values = np.frombuffer(b"".join(held), np.uint32)
+            values = np.concatenate(held)
             words, marks = encode(values)
             made = pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "start": pa.array([start], pa.int64()),
@@ -241,10 +257,9 @@ def _write(vocabulary, end_id: int):
 
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = list(rows(batch.slice(at, 64)))
-                for (doc_id, _), data in zip(part, encoder.encode([t or "" for _, t in part]), strict=True):
-                    ids.append(doc_id), counts.append(len(data) // 4 + 1), held.extend((data, end))
+            for part in pieces(batch):
+                for doc_id, data in zip(part["_id"].to_pylist(), encoder.encode(part["_text"]), strict=True):
+                    ids.append(doc_id), counts.append(len(data) + 1), held.extend((data, end))
                     size += counts[-1]
                     if size >= BLOCK_IDS:
                         yield flush()
