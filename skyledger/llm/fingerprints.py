@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
-A text is cut into paragraphs at line ends, and long lines further at the ends of their
-sentences. A paragraph's 64-bit digest (with its number among equal ones, so repeats count) goes
+A text is cut into paragraphs at line ends, long lines further at the ends of their sentences,
+and long sentences every 64 characters, so that texts of one paragraph can be alike in part. A paragraph's 64-bit digest (with its number among equal ones, so repeats count) goes
 into three cells of a table; a cell holds a count, the XOR of its digests and the XOR of their
 checks. Tables of equal size are subtracted cell by cell; peeling cells that hold one digest
 recovers the digests that differ. When peeling fails, both tables are made again twice as large.
@@ -35,7 +35,7 @@ from skyledger.llm.words import rows, scramble
 
 #: Cells of the published fingerprint, a multiple of 3.
 CELLS = 30
-PARAGRAPH = re.compile(r"[^\n.!?]*[.!?]+[ \t]*|[^\n.!?]+|\n")
+PARAGRAPH = re.compile(r"[^\n.!?]{0,64}[.!?]+|[^\n.!?]{1,64}")
 
 
 def paragraph_digests(text: str) -> np.ndarray:
