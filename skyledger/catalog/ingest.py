@@ -140,13 +140,14 @@ def prediction_scan(spark, sf):
     return files.scan_predictions(spark, root)
 
 
-@query("manifest_sink")
+@query("manifest_sink", sql_with("predictions", "select split, count(*) as rows from predictions group by split"))
 def manifest_sink(spark, sf):
     path = files.write_versioned(A.predictions(spark, sf), scratch_path(spark, "manifest"), "v1", "split")
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("ledger_json_sink")
+@query("ledger_json_sink", sql_with("ledger", """select '{"records":' || count(*) || ',"categories":{"active":' || count(*) filter (category = 'active')
+  || ',"zero_recorded":' || count(*) filter (category <> 'active') || '},"version":"v1"}' as "value" from ledger"""))
 def ledger_json_sink(spark, sf):
     rows = A.ground(spark, sf)
     ledger = planning.candidate_ledger(planning.bin_calendar(A.strikes(spark, sf)), planning.bin_summary(rows))
