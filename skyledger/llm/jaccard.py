@@ -18,6 +18,10 @@ each region. So the metric work is done inside coarse cells that no link leaves:
    nodes are left, which are compared exactly.
 4. The links found are contracted to components.
 
+The result is the component of each document. Links are not counted: nodes linked with one pivot
+are never compared with each other, which is what keeps a crowd of near copies from meeting in
+all its pairs.
+
 Nothing is dropped, capped or sampled: only pivots are chosen, which changes speed, not links.
 
 Defined cases: a null or wordless text has the empty set and is linked with nothing; repeated

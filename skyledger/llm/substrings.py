@@ -7,6 +7,9 @@ window costs one entry a chunk. A bucket's rows are merged in one sort, and each
 with the places whose hash also starts elsewhere. Per chunk the places become maximal intervals
 of words to remove, and the text is cut once, where it is read again.
 
+A chunk is what a task read, so ``docs`` must be a table (a scan, a checkpoint), whose rows come
+in the same order when a lost task is repeated.
+
 Hashes are 64 bits wide over 64-bit word hashes: two different windows share one with
 probability 5e-20, 0.0004 expected false repeats in 10**8 windows. A bucket holds some
 ``bucket_mb`` of text, so the number of buckets follows the input; rows hold at most
