@@ -11,9 +11,10 @@ from skyledger.sources import adapters as A
 from skyledger.streaming import ingest
 
 
+# a pattern as the path, so that the table may be one file or a folder of files
 def _strikes(spark, sf):
     schema = A.table(spark, sf, "events").schema
-    raw = ingest.strike_stream(spark, sf, schema, "events.parquet")
+    raw = ingest.strike_stream(spark, f"{sf}/{{events}}.parquet", schema)
     return A.shape_strikes(raw).where("kind = 'Ground'").drop("event_type")
 
 
@@ -44,7 +45,7 @@ def stream_ledger(spark, sf):
 select candidate_id, frame_time, s.solution_key, s.ts from f join strikes s on s.kind = 'Ground' and time_bucket(interval '10 minutes', s.ts) = frame_time"""))
 def stream_label_join(spark, sf):
     schema = A.table(spark, sf, "events").schema
-    raw = ingest.strike_stream(spark, sf, schema, "events.parquet")
+    raw = ingest.strike_stream(spark, f"{sf}/{{events}}.parquet", schema)
     frames = A.shape_strikes(raw).where("event_type = 'error'").select(
         F.col("solution_key").alias("candidate_id"), timegrid.floor_slot(F.col("ts")).alias("frame_time")
     )
