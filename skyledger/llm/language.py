@@ -148,7 +148,8 @@ def learn(rows_: DataFrame, per_language: int = 3000, parts: int = 24) -> dict[s
     known = rows_.where("lang is not null and text is not null")
     counts = known.groupBy("lang").count().select(F.col("lang").alias("_l"), (F.lit(float(per_language)) / F.col("count")).alias("_f"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.select("text", "lang", draw.alias("_u")).join(counts, F.col("lang") == F.col("_l")).where("_u < _f").select("text", "lang")
+    # one row per language, as many as the profiles that the driver holds: broadcast, so that no text moves to be chosen
+    chosen = known.select("text", "lang", draw.alias("_u")).join(F.broadcast(counts), F.col("lang") == F.col("_l")).where("_u < _f").select("text", "lang")
     bundles = chosen.repartition(parts).mapInArrow(_bundle, "lang string, v array<double>")
     summed = bundles.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
