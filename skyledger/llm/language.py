@@ -202,7 +202,12 @@ def predict_languages(docs: DataFrame, per_language: int = 3000) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, per_language: int = 3000) -> DataFrame:
-    """Every column of the rows whose language was found with a score of more than ``least``."""
+def keep_identified(docs: DataFrame, least: float | None = None, per_language: int = 3000) -> DataFrame:
+    """Every column of the rows whose language was found; with ``least``, only those of a larger score.
+
+    Without ``least`` the score decides nothing: a text in letters that no training row holds has
+    a cosine around 0, and keeps its row whatever the sign.
+    """
     profiles = learn(docs.where(~held_out()).select("doc_id", "text", "lang"), per_language)
-    return identify(docs, profiles, docs.columns).where((F.col("_pred") != UNKNOWN) & (F.col("_score") > least)).select("_row.*")
+    found = identify(docs, profiles, docs.columns).where(F.col("_pred") != UNKNOWN)
+    return (found if least is None else found.where(F.col("_score") > least)).select("_row.*")
