@@ -1,13 +1,15 @@
-"""License scans: winnowed fingerprints pick candidate templates, banded alignment measures them.
+"""License scans: winnowed fingerprints pick candidate templates, alignment around the hits measures them.
 
 Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters. All k-word runs of a
 template are hashed, and of each ``window`` neighbouring hashes the smallest (the rightmost of
 equal ones) is kept in an inverted index; texts are winnowed alike, so a text that repeats
 ``window + k - 1`` words of a template shares a kept hash with it. Hashes of a text with words
 that no template has cannot match and count as infinite, which changes no window that lies in a
-repeated passage. Hits of a template that lie near one diagonal make a candidate; the words
-around it are aligned with the template inside a band, and the share of the template's words
-that align is its coverage.
+repeated passage. The words that a copy around one of a template's hits may take, and as many
+more on both sides as the least coverage lets be missing (8 at least), are put in a row and
+aligned with the template; the share of the template's words that align is the coverage. What
+stands between two pieces of a copy does not count, however long, so pieces that follow each
+other in template order are one copy. Each disjoint copy is reported.
 
 The templates are a written list, so the index's size is fixed; it goes with the task.
 
@@ -91,54 +93,73 @@ class Index:
         for at in kept.tolist():
             for t, place in self.places[int(hashes[at])]:
                 found[t].append((at - place, at))
-        out = []
+        out: list[tuple[str, float, int, int]] = []
         for t, hits in found.items():
-            hits.sort()
-            group = [hits[0]]
-            for hit in hits[1:] + [None]:
-                if hit is not None and hit[0] - group[-1][0] <= slack:
-                    group.append(hit)
-                    continue
-                match = self.align(t, ids, group, slack)
-                if match and match[0] >= least:
-                    out.append((self.names[t], *match))
-                group = [hit]
-        best: list[tuple[str, float, int, int]] = []
-        for match in sorted(out, key=lambda m: (m[0], -m[1], m[2])):  # one of overlapping matches of a template
-            if not any(m[0] == match[0] and m[2] < match[3] and match[2] < m[3] for m in best):
-                best.append(match)
-        return len(words), sorted(best, key=lambda m: (m[2], m[0]))
+            size = len(self.ids[t])
+            need = next((n for n in range(1, size + 1) if round(n / size, 6) >= least), size + 1)
+            reach = max(slack, size - need)
+            whole = self.align(t, ids, hits, reach)
+            if whole and whole[0] >= least:
+                out += [(self.names[t], *match) for match in self.copies(t, ids, hits, need, reach)]
+        return len(words), sorted(out, key=lambda m: (m[2], m[0]))
+
+    def near(self, t: int, n: int, hits: list[tuple[int, int]], reach: int) -> np.ndarray:
+        """Places of the words that a copy around one of the hits may take, with ``reach`` more on both sides."""
+        low = np.array([h[0] for h in hits], np.int64) - reach
+        steps = np.zeros(n + 1, np.int64)
+        np.add.at(steps, np.clip(low, 0, n), 1)
+        np.add.at(steps, np.clip(low + len(self.ids[t]) + 2 * reach, 0, n), -1)
+        return np.nonzero(np.cumsum(steps[:-1]) > 0)[0]
+
+    def ends(self, t: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, begin) of the longest common subsequence with the template in each prefix of ``words``; the latest begin of equal ones."""
+        n = len(words)
+        one = n + 1  # a value is length * one + begin + 1
+        value, fresh = np.zeros(n + 1, np.int64), one + np.arange(1, n + 1)
+        for word in self.ids[t]:
+            at = np.nonzero(words == word)[0]
+            if len(at):
+                now = value.copy()
+                now[at + 1] = np.maximum(value[at + 1], np.where(value[at] > 0, value[at] + one, fresh[at]))
+                value = np.maximum.accumulate(now)
+        return value // one, value % one - 1
 
     def align(self, t: int, ids: np.ndarray, group: list[tuple[int, int]], slack: int) -> tuple[float, int, int] | None:
-        """Longest common subsequence of the template and the words along the diagonal, within a band.
+        """Longest common subsequence of the template and the words around the hits: (coverage, first word, end word)."""
+        places = self.near(t, len(ids), group, slack)
+        length, begin = self.ends(t, ids[places])
+        if not length[-1]:
+            return None
+        stop = int(np.searchsorted(length, length[-1]))
+        return round(float(length[-1]) / len(self.ids[t]), 6), int(places[begin[stop]]), int(places[stop - 1]) + 1
+
+    def copies(self, t: int, ids: np.ndarray, hits: list[tuple[int, int]], need: int, reach: int) -> list[tuple[float, int, int]]:
+        """Disjoint alignments of ``need`` words or more, from left to right.
 
-        ``row[d]`` is the best length that ends at template word i and text word
-        ``low + i + d``; each step is over the whole band.
+        The first place where so many words align ends a copy, and its latest begin starts it; the
+        search goes on behind it. A copy then grows into the words between its neighbours.
         """
-        template = self.ids[t]
-        low, high = group[0][0] - slack, group[-1][0] + slack
-        width = high - low + 1
-        score, begin, end = np.zeros(width + 1, np.int64), np.full(width + 1, -1, np.int64), np.full(width + 1, -1, np.int64)
-        for i, word in enumerate(template):
-            at = low + i + np.arange(width)
-            inside = (at >= 0) & (at < len(ids))
-            equal = np.zeros(width, bool)
-            equal[inside] = ids[at[inside]] == word
-            # from (i-1, j-1): same diagonal; from (i-1, j): the next one
-            stay = score[1:] > score[:-1]
-            now, b, e = np.where(stay, score[1:], score[:-1]), np.where(stay, begin[1:], begin[:-1]), np.where(stay, end[1:], end[:-1])
-            match = equal & (score[:-1] + 1 > now)
-            now = np.where(match, score[:-1] + 1, now)
-            b = np.where(match, np.where(begin[:-1] < 0, at, begin[:-1]), b)
-            e = np.where(match, at + 1, e)
-            best = np.maximum.accumulate(now)  # from (i, j-1)
-            first = np.searchsorted(best, best)  # the leftmost place of each value
-            score[:-1], begin[:-1], end[:-1] = best, b[first], e[first]
-            score[-1], begin[-1], end[-1] = 0, -1, -1
-        top = int(score[:-1].argmax())
-        if not score[top]:
-            return None
-        return round(float(score[top]) / len(template), 6), int(begin[top]), int(end[top])
+        size = len(self.ids[t])
+        places = self.near(t, len(ids), hits, reach)
+        words, cores, low, width = ids[places], [], 0, 4 * size + 64
+        while low < len(words):
+            length, begin = self.ends(t, words[low : low + width])
+            stop = int(np.searchsorted(length, need))
+            if stop < len(length):
+                cores.append((low + int(begin[stop]), low + stop))
+                low, width = low + stop, 4 * size + 64
+            elif low + width >= len(words):
+                break
+            else:
+                width *= 2
+        out, left = [], 0
+        for (start, stop), (right, _) in zip(cores, cores[1:] + [(len(words), 0)], strict=True):
+            low, more = max(left, start - (size - need) - reach), size - need + reach
+            length, begin = self.ends(t, words[low : min(right, stop + more)])
+            stop = int(np.searchsorted(length, length[-1]))
+            left = low + stop
+            out.append((round(float(length[-1]) / size, 6), int(places[low + begin[stop]]), int(places[left - 1]) + 1))
+        return out
 
 
 _OUT_SQL = "doc_id bigint, n_words bigint, license string, coverage double, matches array<struct<license:string,coverage:double,start:int,stop:int>>"
