@@ -3,23 +3,29 @@
 Paths are cut into segments and the tree is built from the root, level by level, over counts of
 distinct (host, path) pairs. At each node:
 
-* segments of one shape (digits, letters and digits, other; with their extension) that are many
-  for the rows they have become one wildcard branch, such as ``{9}`` or ``{a9}.html``;
+* segments of one shape (digits, letters and digits, other; with their extension) that are at
+  least as many as the distinct paths below each become one wildcard branch, such as ``{9}`` or
+  ``{a9}.html``;
 * the literal branches left are held against the most frequent one: those whose label rate and
-  next-segment shapes lie within a Hoeffding bound of it are merged into one branch ``{~}``.
+  next-segment shapes lie within a Hoeffding bound of it are merged into one branch ``{~}``, and
+  those left over likewise into ``{~2}`` and so on. Where one of the two has no labels, the
+  next-segment shapes alone decide, if the bound is tight enough to tell any apart.
 
 A template's share of blocked labels is smoothed towards its parent's, from the host down, and
 a template is rejected when it reaches ``threshold``. Labels are 1 (block), 0 (allow) or null.
 
 Defined cases: a null url or one without ``://`` has empty host and path; the empty table gives
-an empty result; repeated urls count as often as they occur and get one verdict; segments past
-``depth`` count as one last segment, so paths of any length are read whole.
+an empty result; repeated urls get one verdict, count once for templates and as often as they
+occur for a template's share; paths of any length are read segment by segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,70 +66,92 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, F.coalesce(F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1), F.lit("")))
 
 
-def _merged(branches: DataFrame, alpha: float) -> DataFrame:
-    """(host, prefix, segment) -> branch ``{~}`` for literals that are like their most frequent sibling.
-
-    ``branches`` has rows, labelled, blocked and the next segment's most telling shares; each is
-    compared with one anchor, so a node with many branches makes no pairs.
-    """
-    anchors = branches.groupBy("_host", "_prefix").agg(
-        F.max(F.struct("rows", "_segment", "labelled", "blocked", "leaf", "digits")).alias("_a"), F.count(F.lit(1)).alias("_n")
-    ).where("_n > 1")
-    bound = F.lit((0.5 * _log(2.0 / alpha)) ** 0.5)
-
-    def close(part: str, whole: str) -> Column:
-        x, n, y, m = F.col(part), F.col(whole), F.col(f"_a.{part}"), F.col(f"_a.{whole}")
-        known = (n > 0) & (m > 0)
-        return (n == 0) & (m == 0) | known & (F.abs(x / n - y / m) < bound * (1 / F.sqrt(n) + 1 / F.sqrt(m)))
+_FAMILY = "_host string, _prefix string, _segment string, _branch string"
+
+
+def _families(alpha: float):
+    """The branches of one node -> branch names of those that are like a more frequent sibling, family by family."""
+    bound = (0.5 * log(2.0 / alpha)) ** 0.5
+
+    def close(x, n, y, m):
+        n, m = np.maximum(n, 1e-9), max(m, 1e-9)
+        return np.abs(x / n - y / m) < bound * (1 / np.sqrt(n) + 1 / np.sqrt(m))
+
+    def run(node: pa.Table) -> pa.Table:
+        rows = sorted(node.to_pylist(), key=lambda r: (r["paths"], r["_segment"]), reverse=True)
+        n, labelled, blocked, leaf, digits = (np.array([r[c] for r in rows], float) for c in ("paths", "labelled", "blocked", "leaf", "digits"))
+        left, names, families = np.arange(len(rows)), [None] * len(rows), 0
+        while len(left) > 1:
+            a = left[0]
+            alike = left[close(leaf[left], n[left], leaf[a], n[a]) & close(digits[left], n[left], digits[a], n[a])]
+            # without labels to compare, a bound that excludes no share says nothing
+            mixed = (labelled[alike] > 0) != (labelled[a] > 0)
+            alike = alike[~mixed | (bound * (1 / np.sqrt(n[alike]) + 1 / np.sqrt(n[a])) < 1)]
+            told = alike[labelled[alike] > 0]
+            if len(told):  # the anchor if it has labels, else the most frequent branch that has
+                k = a if labelled[a] > 0 else told[0]
+                alike = alike[(labelled[alike] == 0) | close(blocked[alike], labelled[alike], blocked[k], labelled[k])]
+            if len(alike) > 1:
+                families += 1
+                for i in alike:
+                    names[i] = "{~}" if families == 1 else f"{{~{families}}}"
+            left = np.setdiff1d(left, np.append(alike, a))
+        made = [(r["_host"], r["_prefix"], r["_segment"], name) for r, name in zip(rows, names, strict=True) if name]
+        return pa.table({c: pa.array([m[i] for m in made], pa.string()) for i, c in enumerate(("_host", "_prefix", "_segment", "_branch"))})
+    return run
 
-    same = close("blocked", "labelled") & close("leaf", "rows") & close("digits", "rows")
-    alike = branches.join(anchors, ["_host", "_prefix"]).where(same).select("_host", "_prefix", "_segment")
-    several = alike.groupBy("_host", "_prefix").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_host", "_prefix")
-    return alike.join(several, ["_host", "_prefix"]).select("_host", "_prefix", "_segment", F.lit("{~}").alias("_branch"))
 
+def _merged(branches: DataFrame, alpha: float) -> DataFrame:
+    """(host, prefix, segment) -> branch ``{~}``, ``{~2}``, ... for literals that are like a sibling.
 
-def _log(x: float) -> float:
-    from math import log
-
-    return log(x)
+    A node's most frequent branch is held against all others; those alike make a family, and the
+    rest goes on in the same way. Literals of a shape are fewer than eight or than the root of
+    the node's paths, else they are a wildcard, so a node is small.
+    """
+    several = branches.groupBy("_host", "_prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_host", "_prefix")
+    return branches.join(several, ["_host", "_prefix"]).select(
+        "_host", "_prefix", "_segment", "paths", "labelled", "blocked", "leaf", "digits"
+    ).groupBy("_host", "_prefix").applyInArrow(_families(alpha), _FAMILY)
 
 
-def template_tree(paths: DataFrame, depth: int = 6, distinct: int = 8, alpha: float = 0.05) -> DataFrame:
+def template_tree(paths: DataFrame, distinct: int = 8, alpha: float = 0.05) -> DataFrame:
     """Template of each distinct (host, path).
 
     ``paths(_host, _path, rows, labelled, blocked)`` are counts of distinct pairs. Each level
     groups by (host, template so far, segment) with partial sums and joins the node decisions
     back on (host, template so far), a join that adaptive execution may split for a hot host.
+    Decisions count each distinct path once. A node with one path has nothing to decide, so its
+    path is finished at once; the levels end when no path has a segment left.
     """
-    parts = F.split(F.regexp_replace("_path", "^/", ""), "/", depth)
+    parts = F.split(F.regexp_replace("_path", "^/", ""), "/", -1)
     state = paths.withColumn("_parts", parts).withColumn("_prefix", F.lit(""))
-    for level in range(depth):
-        segment = F.get("_parts", F.lit(level))
-        state = state.withColumn("_segment", segment)
+    given, done, level = ["_host", "_path", "rows", "labelled", "blocked"], None, 0
+    while True:
+        nodes = state.groupBy("_host", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+        state = cut(state.join(nodes, ["_host", "_prefix"]))
+        over = F.size("_parts") <= level
+        rest = F.concat("_prefix", F.lit("/"), F.array_join(F.slice("_parts", level + 1, F.greatest(F.size("_parts") - level, F.lit(1))), "/"))
+        finished = state.where(over | (F.col("_n") == 1)).select(*given, F.when(over, F.col("_prefix")).otherwise(rest).alias("template"))
+        done = finished if done is None else done.unionAll(finished)
+        live = state.where(~over & (F.col("_n") > 1)).drop("_n").withColumn("_segment", F.get("_parts", F.lit(level)))
+        if live.isEmpty():
+            return done
         following = F.get("_parts", F.lit(level + 1))
-        live = state.where("_segment is not null")
         branches = cut(live.groupBy("_host", "_prefix", "_segment").agg(
-            F.sum("rows").alias("rows"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"),
-            F.sum(F.when(following.isNull(), F.col("rows")).otherwise(0)).alias("leaf"),
-            F.sum(F.when(following.rlike("^[0-9]"), F.col("rows")).otherwise(0)).alias("digits"),
+            F.count(F.lit(1)).alias("paths"), F.count_if(F.col("labelled") > 0).alias("labelled"),
+            F.coalesce(F.sum(F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled"))), F.lit(0.0)).alias("blocked"),
+            F.count_if(following.isNull()).alias("leaf"), F.count_if(following.rlike("^[0-9]")).alias("digits"),
         ).withColumn("_shape", shape(F.col("_segment"))))
-        kinds = branches.groupBy("_host", "_prefix", "_shape").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("rows").alias("_rows"))
-        # many values, seen some four times each or less: an id, a date or a slug
-        wild = kinds.where((F.col("_kinds") >= distinct) & (F.col("_rows") < 4 * F.col("_kinds"))).select(
+        kinds = branches.groupBy("_host", "_prefix", "_shape").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("paths").alias("_paths"))
+        # as many values as pages below each, or more: an id, a date or a slug
+        wild = kinds.where((F.col("_kinds") >= distinct) & (F.col("_paths") <= F.col("_kinds") * F.col("_kinds"))).select(
             "_host", "_prefix", "_shape", F.lit(1).alias("_wild"))
-        decided = branches.join(wild, ["_host", "_prefix", "_shape"], "left")
-        literal = decided.where("_wild is null")
-        merged = _merged(literal, alpha)
-        choice = cut(
-            decided.where("_wild = 1").select("_host", "_prefix", "_segment", F.col("_shape").alias("_branch")).unionAll(merged))
-        state = cut(
-            state.join(choice, ["_host", "_prefix", "_segment"], "left")
-            .withColumn("_prefix", F.when(F.col("_segment").isNull(), F.col("_prefix")).otherwise(
-                F.concat("_prefix", F.lit("/"), F.coalesce("_branch", "_segment"))))
-            .drop("_branch", "_segment"))
-        if state.where(F.size("_parts") > level + 1).isEmpty():
-            break
-    return state.select("_host", "_path", "rows", "labelled", "blocked", F.col("_prefix").alias("template"))
+        decided = cut(branches.join(wild, ["_host", "_prefix", "_shape"], "left"))
+        merged = _merged(decided.where("_wild is null"), alpha)
+        choice = decided.where("_wild = 1").select("_host", "_prefix", "_segment", F.col("_shape").alias("_branch")).unionAll(merged)
+        state = live.join(choice, ["_host", "_prefix", "_segment"], "left").withColumn(
+            "_prefix", F.concat("_prefix", F.lit("/"), F.coalesce("_branch", "_segment"))).drop("_branch", "_segment")
+        level += 1
 
 
 def template_purity(tree: DataFrame, strength: float = 10.0) -> DataFrame:
