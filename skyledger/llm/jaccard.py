@@ -1,40 +1,38 @@
 """N-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows.
 
 Jaccard distance ``1 - |A & B| / |A | B|`` is a metric. Documents at distance 1 from every pivot
-(nearly all, in text) cannot be told apart by pivots: their windows would copy each of them to
-each region. So the metric work is done inside coarse cells that no link leaves:
+(nearly all, in text) cannot be told apart by pivots, so a join starts from coarse *cells* in
+which every linked pair meets:
 
 1. Equal sets are one node, represented by their smallest doc_id.
-2. *Cells.* A linked pair of sets differs in at most ``D`` of their elements, where D follows
-   from the sizes. The hash space is dealt to ``D + 1 + spare`` slices, so at least ``1 + spare``
-   slices are equal in both sets. Nodes with an equal slice are joined through the slice's
-   smallest node (a star, never pairs), and the components of these stars are the cells. Slices
-   with few elements are left out as long as ``spare`` pays for them (see ``slice_keys``).
-3. *Regions.* In a cell, pivots are chosen, every node goes to the region of its nearest pivot
-   and is copied to each region whose pivot is within ``nearest + 2 * tau``; any linked pair
-   then meets in a region. Nodes within ``tau`` of a pivot are linked with it; two nodes that
-   are linked with one pivot need no further comparison for their component. Regions are split
-   again, by Spark while they exceed ``leaf_rows`` and inside the task below that, until few
-   nodes are left, which are compared exactly.
-4. The links found are contracted to components.
-
-The result is the component of each document. Links are not counted: nodes linked with one pivot
-are never compared with each other, which is what keeps a crowd of near copies from meeting in
-all its pairs.
+2. *Cells.* Linked sets share one of their rarest elements (``rare_keys``); the nodes with one such
+   key are a cell. Cells overlap and are never merged, so they cannot run together.
+3. *Pivots.* In rounds, every cell that spans several components takes pivots and compares its
+   other nodes with them, if not yet in one component with the pivot; links join components, and
+   a pivot that has met its whole cell leaves it. All cells of a group of near copies have one
+   pivot, so a node is compared with few. A cell whose nodes are all in one component is done.
+4. *Regions.* Cells left after these rounds are regions (equal ones only once). In a region, pivots
+   are chosen, every node goes to the region of its nearest pivot, and is copied to each region
+   whose pivot is within ``nearest + 2 * tau``; any linked pair then meets where its smaller node
+   is at home. Regions are split again, by Spark while they exceed ``leaf_rows`` and inside the
+   task below that, until few nodes are left, which are compared exactly.
+5. *Links.* To count links, the components found are the regions of one more such join: every link
+   lies inside a component, and each pair is counted once, where its smaller node is at home.
 
 Nothing is dropped, capped or sampled: only pivots are chosen, which changes speed, not links.
+A region that pivots cannot split (dense near copies, whose links are to be counted) is cut into
+blocks, each with each, which keeps tasks bounded.
 
 Defined cases: a null or wordless text has the empty set and is linked with nothing; repeated
 rows and equal texts are linked with each other; rows that share a doc_id are one document with
-several texts and get one component; a null doc_id keeps its row, with a null component; the
-empty table gives an empty result; other columns are not read.
+several texts and get one component; a null doc_id keeps its row, with a null component and no
+links; the empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,94 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.ranges import free
+from skyledger.llm.rare_keys import describe_sets
 from skyledger.llm.words import lowered_words, rows, scramble, shingle_set
 from skyledger.operators.components import connected_components
 from skyledger.session import cut
 
-#: Ratio of the largest to the smallest set of a size class.
-CLASS_RATIO = 1.4
-#: Slices of up to this many elements say little and are left out first.
-THIN = 2
-
-
-def intersection_needed(n: np.ndarray, m: np.ndarray, share: Fraction) -> np.ndarray:
-    """Smallest intersection of linked sets of sizes n and m: i >= share * (n + m - i)."""
-    p, q = share.numerator, share.denominator
-    return -((-(n + m) * p) // (p + q))
-
-
-@lru_cache(65536)
-def size_classes(n: int, share: Fraction) -> list[tuple[int, int]]:
-    """(class, largest difference of a pair) of each class in which a set of ``n`` elements looks for partners.
-
-    A pair belongs to the class of its smaller set; so a set is in its own class and in those
-    of the sizes down to ``share * n``.
-    """
-    def of(x: float) -> int:
-        c = int(np.log(max(x, 1.0)) / np.log(CLASS_RATIO))
-        while CLASS_RATIO ** (c + 1) <= x:
-            c += 1
-        while c and CLASS_RATIO**c > x:
-            c -= 1
-        return c
-
-    s = float(share)
-    low, out = of(max(1.0, np.floor(n * s * (1 - 1e-12)))), []
-    for c in range(low, of(n) + 1):
-        smaller = int(np.floor(CLASS_RATIO ** (c + 1)))  # the largest integer size of the class, or one more
-        larger = int(np.floor(smaller / s + 1e-9))
-        out.append((c, int((smaller + larger) * (1 - s) / (1 + s) + 1e-9)))
-    return out
-
-
-def slice_keys(elements: np.ndarray, share: Fraction) -> np.ndarray:
-    """64-bit keys of which two linked sets share at least one.
-
-    Equal slices have equal sizes. A set leaves out the slices of up to t elements, with the
-    largest t <= THIN for which these are at most ``spare``; of the ``1 + spare`` slices or more
-    that a linked pair has in common, one is therefore left in by both sets.
-    """
-    n, keys = len(elements), []
-    if not n:
-        return np.empty(0, np.uint64)
-    mixed = scramble(elements)
-    for c, differ in size_classes(n, share):
-        spare = 1 + differ // 12 if differ else 0
-        count = differ + 1 + spare
-        at = (mixed % np.uint64(count)).astype(np.int64)
-        sizes = np.bincount(at, minlength=count)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(count, np.uint64)
-            np.add.at(sums, at, scramble(mixed + np.uint64(1)))
-            thin = max((t for t in range(-1, THIN + 1) if (sizes <= t).sum() <= spare), default=-1)
-            place = np.arange(count, dtype=np.uint64) + np.uint64(c) * np.uint64(1 << 32)
-            made = scramble(scramble(place + np.uint64(1)) ^ sums ^ (sizes.astype(np.uint64) << np.uint64(48)))
-        keys.append(made[sizes > thin])
-    return np.concatenate(keys)
-
-
-_DESCRIBED = pa.schema([
-    ("_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())),
-])
-
-
-def _describe(share: Fraction, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                ids, n, d1, d2, keys, ends = [], [], [], [], [], [0]
-                for doc_id, text in rows(batch.slice(at, 1024)):
-                    elements = shingle_set(lowered_words(text), size)
-                    with np.errstate(over="ignore"):
-                        digest = [int(scramble(elements ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) if len(elements) else 0 for k in (11, 23)]
-                    ids.append(doc_id), n.append(len(elements)), d1.append(digest[0]), d2.append(digest[1])
-                    keys.append(slice_keys(elements, share).view(np.int64))
-                    ends.append(ends[-1] + len(keys[-1]))
-                values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], schema=_DESCRIBED)
-    return run
+#: Rounds of pivots in cells before what is left is split into regions, and pivots of a cell in each.
+ROUNDS = (1, 4, 4)
 
 
 # ---- a region in memory
@@ -175,11 +92,15 @@ def distances(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 1.0 - common / np.maximum(n[:, None] + m[None, :] - common, 1)
 
 
-class Forest:
-    """Union-find over the nodes of a region."""
+class Region:
+    """Nodes whose links are found: union-find, and the number of links of each, weighted by copies."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, ids: list[int], sets: list[np.ndarray], copies: list[int]):
+        self.ids, self.sets = np.array(ids, np.int64), sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.copies = np.array(copies, np.int64)
+        self.up = list(range(len(sets)))
+        self.links = np.zeros(len(sets), np.int64)
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -191,135 +112,120 @@ class Forest:
         x, y = self.root(x), self.root(y)
         self.up[max(x, y)] = min(x, y)
 
-
-def join_region(sets: list[np.ndarray], share: Fraction, forest: Forest, members: np.ndarray, small: int = 64, pivots: int = 8) -> None:
-    """Put linked nodes of ``members`` in one tree of ``forest``; recursive and exact."""
-    sizes = np.array([len(sets[i]) for i in members], np.int64)
-    if len(members) <= small:
-        block = [sets[i] for i in members]
-        for i, j in zip(*np.nonzero(np.triu(linked(overlaps(block, block), sizes, sizes, share), 1)), strict=True):
-            forest.join(int(members[i]), int(members[j]))
-        return
-    tau = float(1 - share) + 1e-9
-    chosen = np.linspace(0, len(members) - 1, pivots).astype(int)  # members are in order of a hash
-    common = overlaps([sets[i] for i in members], [sets[members[p]] for p in chosen])
-    far = distances(common, sizes, sizes[chosen])
-    tied = linked(common, sizes, sizes[chosen], share)
-    for i, j in zip(*np.nonzero(tied), strict=True):
-        forest.join(int(members[i]), int(members[chosen[j]]))
-    home = far.argmin(1)
-    inside = far <= far.min(1, keepdims=True) + 2 * tau
-    settled = tied[np.arange(len(members)), home]  # linked with the pivot of the home region
-    regions = []
-    for p in range(pivots):
-        here = inside[:, p]
-        loose = here & ~(settled & (home == p))
-        # settled nodes matter only to loose ones within their rings around the pivot
-        if not loose.any():
-            continue
-        reach = far[loose, p]
-        near = here & ~loose & (far[:, p] >= reach.min() - tau) & (far[:, p] <= reach.max() + tau)
-        part = np.nonzero(loose | near)[0]
-        if len(part) > 1:
-            regions.append(part)
-    if sum(len(r) ** 2 for r in regions) > 0.7 * len(members) ** 2:  # the pivots tell too little apart: compare in blocks
-        for a in range(0, len(members), 1024):
-            one = [sets[i] for i in members[a : a + 1024]]
-            for b in range(a, len(members), 1024):
-                other = [sets[i] for i in members[b : b + 1024]]
-                same = linked(overlaps(one, other), sizes[a : a + 1024], sizes[b : b + 1024], share)
-                for i in range(len(one)):
-                    for r in {forest.root(int(members[b + j])) for j in np.nonzero(same[i])[0]}:
-                        forest.join(int(members[a + i]), r)
-        return
-    for part in regions:
-        join_region(sets, share, forest, members[part], small, pivots)
-
-
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def compare(self, left: np.ndarray, right: np.ndarray, share: Fraction) -> None:
+        """Links of ``left`` with those of ``right`` that have larger ids."""
+        for a in range(0, len(left), 1024):
+            one = left[a : a + 1024]
+            for b in range(0, len(right), 1024):
+                other = right[b : b + 1024]
+                same = linked(overlaps([self.sets[i] for i in one], [self.sets[i] for i in other]), self.sizes[one], self.sizes[other], share)
+                same &= self.ids[one][:, None] < self.ids[other][None, :]
+                self.links[one] += same @ self.copies[other]
+                self.links[other] += self.copies[one] @ same
+                for i in np.nonzero(same.any(1))[0]:
+                    for r in {self.root(int(x)) for x in other[same[i]]}:
+                        self.join(int(one[i]), r)
+
+    def find(self, members: np.ndarray, owner: np.ndarray, share: Fraction, small: int = 64, pivots: int = 8) -> None:
+        """All links between ``members`` whose smaller node is an owner; recursive and exact."""
+        if not owner.any():
+            return
+        if len(members) <= small:
+            self.compare(members[owner], members, share)
+            return
+        tau = float(1 - share) + 1e-9
+        chosen = members[np.linspace(0, len(members) - 1, pivots).astype(int)]  # members are in order of a hash
+        far = np.concatenate([distances(overlaps([self.sets[i] for i in part], [self.sets[p] for p in chosen]), self.sizes[part], self.sizes[chosen])
+                              for part in np.array_split(members, -(-len(members) // 1024))])
+        home = far.argmin(1)
+        inside = far <= far.min(1, keepdims=True) + 2 * tau
+        work = sum(int(inside[:, p].sum()) * int((owner & (home == p)).sum()) for p in range(pivots))
+        if work > 0.7 * len(members) * int(owner.sum()):  # the pivots tell too little apart
+            self.compare(members[owner], members, share)
+            return
+        for p in range(pivots):
+            here = inside[:, p]
+            self.find(members[here], (owner & (home == p))[here], share, small, pivots)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
 def _regions(share: Fraction, size: int):
-    """Links that span the components of each region; rows come sorted by region, so one region is held at a time."""
+    """Of each region, links that span its components (a, b) and numbers of links (a, links); one region is held at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, sets = None, [], []
+        current, ids, sets, owner, copies = None, [], [], [], []
 
         def done():
-            forest = Forest(len(ids))
-            order = np.argsort(scramble(np.array(ids, np.int64).view(np.uint64)), kind="stable")
-            join_region(sets, share, forest, order)
-            pairs = [(ids[i], ids[forest.root(i)]) for i in range(len(ids)) if forest.root(i) != i]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=_LINKS)
+            region = Region(ids, sets, copies)
+            order = np.argsort(scramble(region.ids.view(np.uint64)), kind="stable")
+            region.find(order, np.array(owner, bool)[order], share)
+            found = [(ids[i], ids[region.root(i)], None) for i in range(len(ids)) if region.root(i) != i]
+            found += [(i, None, int(n)) for i, n in zip(ids, region.links, strict=True) if n]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], schema=_LINKS)
 
         for batch in batches:
-            for region, doc_id, text in rows(batch, 256):
-                if region != current:
+            for at, doc_id, own, n, text in rows(batch, 256):
+                if at != current:
                     if len(ids) > 1:
                         yield done()
-                    current, ids, sets = region, [], []
-                ids.append(doc_id)
+                    current, ids, sets, owner, copies = at, [], [], [], []
+                ids.append(doc_id), owner.append(own), copies.append(n)
                 sets.append(shingle_set(lowered_words(text), size))
         if len(ids) > 1:
             yield done()
     return run
 
 
-_SPLIT = pa.schema([("region", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("far", pa.float64())])
+_PLACES = pa.schema([("region", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("home", pa.bool_())])
 
 
 def _to_pivots(share: Fraction, size: int):
-    """Cogroup of a slab of a region with the region's pivots: links (kind 0) and places (kind 1 loose, 2 settled)."""
+    """Cogroup of a slab of a region with the region's pivots: the pivots b whose regions node a goes to."""
     tau = float(1 - share) + 1e-9
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = sorted(zip(right["_id"].to_pylist(), right["_text"].to_pylist(), strict=True))
-        names, pivots = [h[0] for h in held], [shingle_set(lowered_words(h[1]), size) for h in held]
+        names, pivots = np.array([h[0] for h in held], np.int64), [shingle_set(lowered_words(h[1]), size) for h in held]
         m = np.array([len(p) for p in pivots], np.int64)
-        out = {f.name: [] for f in _SPLIT}
-
-        def add(*values):
-            for field, value in zip(_SPLIT, values, strict=True):
-                out[field.name].append(value)
-
+        out = ([], [], [], [])
         for at in range(0, left.num_rows if held else 0, 256):
             part = left.slice(at, 256)
             sets = [shingle_set(lowered_words(t), size) for t in part["_text"].to_pylist()]
-            n = np.array([len(s) for s in sets], np.int64)
-            common = overlaps(sets, pivots)
-            far, tied = distances(common, n, m), linked(common, n, m, share)
+            far = distances(overlaps(sets, pivots), np.array([len(s) for s in sets], np.int64), m)
             home = far.argmin(1)
-            for i, (region, doc_id) in enumerate(zip(part["region"].to_pylist(), part["_id"].to_pylist(), strict=True)):
-                for p in np.nonzero(tied[i])[0]:
-                    if names[p] != doc_id:
-                        add(region, 0, doc_id, names[p], 0.0)
-                for p in np.nonzero(far[i] <= far[i, home[i]] + 2 * tau)[0]:
-                    add(region, 2 if p == home[i] and tied[i, p] else 1, doc_id, names[p], float(far[i, p]))
-        return pa.table({f.name: pa.array(out[f.name], f.type) for f in _SPLIT}, schema=_SPLIT)
+            i, p = np.nonzero(far <= far.min(1, keepdims=True) + 2 * tau)
+            for column, value in zip(out, (part["region"].to_numpy()[i], part["_id"].to_numpy()[i], names[p], home[i] == p), strict=True):
+                column.append(value)
+        return pa.table([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, _PLACES, strict=True)], schema=_PLACES)
     return run
 
 
-def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int):
-    """Voronoi rounds on Spark until no region exceeds ``leaf_rows``: (nodes with final regions, links or None).
+def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int) -> DataFrame:
+    """``nodes(region, _id, owner)`` in regions of up to ``leaf_rows``, by Voronoi rounds on Spark.
 
     Each round deals a large region to slabs of some ``slab`` rows, joins each slab with the
     region's pivots (one for each residue of a hash), and copies rows to the regions of the
     pivots inside their windows. A region that did not shrink to ``limit`` (four fifths of its
-    parent) is cut into blocks instead, and each two blocks make a region, which keeps the
-    result exact and each task bounded.
+    parent) is cut into blocks instead: each block owns the links with each block.
     """
-    links, final, tau = None, nodes.where("false"), float(1 - share) + 1e-9
+    nodes = nodes.withColumn("limit", F.lit(2**62).cast("bigint"))
+    final = nodes.where("false")
     while True:
         sizes = nodes.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.max("limit").alias("_limit"))
         large = cut(sizes.where(F.col("_n") > leaf_rows))
         if large.isEmpty():
-            return final.unionByName(nodes).select("region", "_id"), links
+            return final.unionByName(nodes).select("region", "_id", "owner")
         final = final.unionByName(nodes.join(large.select("region"), "region", "left_anti"))
         stuck = nodes.join(large.where("_n > _limit"), "region")
         blocks = F.ceil(F.col("_n") * 2 / leaf_rows).cast("int")
         mine = F.pmod(F.xxhash64("_id", F.lit(5)), blocks).cast("int")
-        paired = stuck.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        final = final.unionByName(paired.select(
-            F.xxhash64("region", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("region"), "_id", "limit"))
+        paired = stuck.withColumn("_mine", mine).withColumn("_k", F.explode(F.sequence(F.lit(0), 2 * blocks - 1)))
+        other = (F.col("_k") / 2).cast("int")
+        guest = F.col("_k") % 2 == 1
+        final = final.unionByName(paired.where(~guest | (other != F.col("_mine"))).select(
+            F.when(guest, F.xxhash64("region", other, "_mine")).otherwise(F.xxhash64("region", "_mine", other)).alias("region"), "_id",
+            (F.col("owner") & ~guest).alias("owner"), "limit"))
         slabs = F.ceil(F.col("_n") / slab).cast("int")
         busy = cut(nodes.join(large.where("_n <= _limit"), "region").withColumn("_slab", F.pmod(F.xxhash64("_id"), slabs).cast("int")))
         draw = F.xxhash64("_id", F.lit(7))
@@ -327,50 +233,134 @@ def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int,
             F.min(F.struct(draw.alias("_o"), "_id")).alias("_p"), F.max("_n").alias("_n"))
         chosen = taken.select("region", F.col("_p._id").alias("_id"), F.explode(F.sequence(F.lit(0), slabs - 1)).alias("_slab"))
         left = busy.select("region", "_slab", "_id").join(texts, "_id")
-        right = chosen.join(texts, "_id").toDF("_id", "region", "_slab", "_text")  # columns of its own, for the cogroup
-        found = cut(left.groupBy("region", "_slab").cogroup(right.groupBy("region", "_slab")).applyInArrow(
-            _to_pivots(share, size), "region bigint, kind int, a bigint, b bigint, far double"))
-        made = found.where("kind = 0").select("a", "b")
-        links = made if links is None else links.unionAll(made)
-        loose = found.where("kind = 1").groupBy("region", "b").agg(F.min("far").alias("_lo"), F.max("far").alias("_hi"))
-        places = found.where("kind > 0").join(loose, ["region", "b"]).where(
-            (F.col("kind") == 1) | (F.col("far") >= F.col("_lo") - tau) & (F.col("far") <= F.col("_hi") + tau))
-        nodes = cut(places.join(large, "region").select(
-            F.xxhash64("region", "b").alias("region"), F.col("a").alias("_id"), F.floor(F.col("_n") * 0.8).cast("bigint").alias("limit")))
-
-
-def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9, 10), leaf_rows: int = 4096, slab: int = 1024,
-                   pivots: int = 16) -> DataFrame:
-    """One row per document: doc_id, n_shingles, copies (rows with the same set), component_id."""
+        right = chosen.join(texts, "_id").select("_id", "region", "_slab", "_text").toDF("_id", "region", "_slab", "_text")
+        places = left.groupBy("region", "_slab").cogroup(right.groupBy("region", "_slab")).applyInArrow(
+            _to_pivots(share, size), "region bigint, a bigint, b bigint, home boolean")
+        nodes = cut(places.withColumnRenamed("a", "_id").join(busy.select("region", "_id", "owner", "_n"), ["region", "_id"]).select(
+            F.xxhash64("region", "b").alias("region"), "_id", (F.col("owner") & F.col("home")).alias("owner"),
+            F.floor(F.col("_n") * 0.8).cast("bigint").alias("limit")))
+
+
+def _join_regions(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int) -> DataFrame:
+    """(a, b, links) of ``nodes(region, _id)`` by regions; ``texts(_id, copies, _text)``."""
+    split = _split_large(nodes.withColumn("owner", F.lit(True)), texts, share, size, leaf_rows, slab, pivots)
+    placed = split.join(texts, "_id").repartition("region").sortWithinPartitions("region", "_id")
+    return cut(placed.select("region", "_id", "owner", "copies", "_text").mapInArrow(_regions(share, size), "a bigint, b bigint, links bigint"))
+
+
+# ---- cells on Spark
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _meet(share: Fraction, size: int):
+    """The pairs (node, pivot) that are linked; a pivot's pairs follow each other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, held = None, np.empty(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for node, other, text, its in rows(batch, 256):
+                if other != pivot:
+                    pivot, held = other, shingle_set(lowered_words(its), size)
+                mine = shingle_set(lowered_words(text), size)
+                if min(len(mine), len(held)) * share.denominator < max(len(mine), len(held)) * share.numerator:
+                    continue
+                common = len(mine) + len(held) - len(np.union1d(mine, held))
+                if common * share.denominator >= (len(mine) + len(held) - common) * share.numerator:
+                    a.append(node), b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_FOUND)
+    return run
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes of ``links(a, b)``."""
+    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).distinct()
+    return connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
+
+
+def _mixed(cells: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The cells (key, node, comp) that span several components."""
+    labelled = cells.withColumn("comp", F.col("node")) if comps is None else cells.join(comps, "node", "left").select(
+        "key", "node", F.coalesce("comp", "node").alias("comp"))
+    spans = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    return labelled.join(spans.select("key"), "key")
+
+
+def _pivot_rounds(cells: DataFrame, texts: DataFrame, share: Fraction, size: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links found with the pivots of cells, and the cells (key, node) that still span several components."""
+    links = asked = comps = None
+    for pivots in ROUNDS:
+        cells = cut(_mixed(cells, comps))
+        if cells.isEmpty():
+            break
+        sizes = cells.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
+        draw = F.xxhash64("node", F.lit(3))
+        taken = cells.join(sizes, "comp").groupBy("key", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
+            F.min(F.struct("_size", draw.alias("_o"), "node", "comp")).alias("_p"))
+        taken = cut(taken.select("key", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_comp")))
+        pairs = cells.join(taken, "key").where("comp <> _comp").select(F.col("node").alias("a"), "b").distinct()
+        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
+        asked = pairs if asked is None else asked.unionAll(pairs)
+        mine, its = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_mine")), texts.select(F.col("_id").alias("b"), "_text")
+        met = pairs.join(mine, "a").join(its, "b").select("a", "b", "_mine", "_text")
+        found = cut(met.mapInArrow(_meet(share, size), "a bigint, b bigint").distinct())
+        links = found if links is None else cut(links.unionAll(found))
+        comps = _components(links)
+        cells = cells.select("key", "node").join(taken.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
+    else:
+        cells = _mixed(cells, comps)
+    return links, cut(cells.select("key", "node"))
+
+
+def _once(cells: DataFrame) -> DataFrame:
+    """(region, _id): of cells with the same nodes one."""
+    mark = F.xxhash64("node", F.lit(9))
+    signed = cells.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(mark).alias("_x"), F.bit_xor(F.xxhash64(mark)).alias("_y"))
+    first = signed.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key")
+    return cells.join(first, "key").select(F.col("key").alias("region"), F.col("node").alias("_id"))
+
+
+def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9, 10), leaf_rows: int = 2048, slab: int = 1024,
+                   pivots: int = 16, count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, copies (rows with the same set), component_id, n_links.
+
+    ``n_links`` counts the other rows that a row is linked with, equal ones included; it is left
+    out without ``count_links``.
+    """
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    described = cut(texts.mapInArrow(_describe(share, size), "_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"))
+    described, keys = describe_sets(texts, share, size)
     full = described.where("n > 0 and _id is not null")
-    nodes = cut(full.groupBy("n", "d1", "d2").agg(
-        F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "_id").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head < _last").select("key", "head")
-    stars = cut(keyed.join(heads, "key").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    met = stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))).distinct()
-    cells = cut(connected_components(met, stars).select(
-        F.col("component").alias("region"), F.col("id").alias("_id"), F.lit(2**62).cast("bigint").alias("limit")))
-    regions, links = _split_large(cells, texts, share, size, leaf_rows, slab, pivots)
-    placed = regions.join(texts, "_id").repartition("region").sortWithinPartitions("region", "_id")
-    leaf = placed.select("region", "_id", "_text").mapInArrow(_regions(share, size), "a bigint, b bigint")
-    return _finish(described, nodes, leaf if links is None else leaf.unionAll(links))
-
-
-def _finish(described: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    nodes = cut(full.groupBy("n", "d1", "d2").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     classes = nodes.select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "node", "copies")
     same = (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
-    members = cut(described.drop("keys").join(classes, same, "left").select("_id", "n", "copies", "node"))
-    first = members.where("_id is not null").groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("a"))
-    several = first.where("a > b").select("_id", "b").join(members, "_id").select(F.col("node").alias("a"), "b")
-    links = cut(links.unionAll(several).where("a <> b").distinct())
-    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).distinct()
-    roots = connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("_root"))
-    return members.join(roots, "node", "left").select(
+    members = cut(described.join(classes, same, "left").select("_id", "n", "copies", "node"))
+    owners = members.where("node is not null").select("_id", "node").distinct()
+    cells = cut(keys.join(owners, "_id").select("key", "node").distinct())
+    copies = nodes.select(F.col("node").alias("_id"), "copies")
+    texts = copies.groupBy("_id").agg(F.max("copies").alias("copies")).join(texts.where("_id is not null"), "_id")
+    links, left = _pivot_rounds(cells, texts, share, size)
+    several = owners.groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").select("_id", "b")
+    links = [owners.join(several, "_id").where("node <> b").select(F.col("node").alias("a"), "b")] + ([] if links is None else [links])
+    if not left.isEmpty():
+        links.append(_join_regions(_once(left), texts, share, size, leaf_rows, slab, pivots).where("b is not null").select("a", "b"))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionAll(more)
+    comps = cut(_components(cut(every.distinct())))
+    out = members.join(comps, "node", "left").withColumn("_comp", F.coalesce("comp", "node", "_id"))
+    if count_links:
+        inside = comps.select(F.col("comp").alias("region"), F.col("node").alias("_id"))
+        counts = _join_regions(inside, texts, share, size, leaf_rows, slab, pivots).where("links is not null")
+        counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("_links"))
+        out = out.join(counts, "node", "left")
+        known = F.col("_id").isNotNull() & (F.col("n") > 0)
+        n_links = [F.when(known, F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")]
+    else:
+        n_links = []
+    return out.select(
         F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("copies", F.lit(1)).alias("copies"),
-        F.when(F.col("_id").isNotNull(), F.coalesce("_root", "node", "_id")).alias("component_id"))
+        F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("component_id"), *n_links)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -379,7 +369,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of repeated rows of that doc_id the one with the smallest text stays; rows without a doc_id
     all stay. The semi-join is on doc_id, so no group meets in one task.
     """
-    labelled = link_documents(docs, **options)
+    labelled = link_documents(docs, count_links=False, **options)
     name, place = free(docs.columns, "_stay"), free(docs.columns, "_place")
     stay = labelled.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(stay, docs["doc_id"] == F.col(name), "left_semi")

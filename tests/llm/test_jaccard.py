@@ -5,7 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from skyledger.llm import jaccard
+from skyledger.llm import jaccard, rare_keys
 from skyledger.llm.words import lowered_words, shingle_set
 
 from .common import HARD, WORD, clashing, documents, lower
@@ -75,31 +75,67 @@ def test_lower_share_and_hard_rows(spark):
     assert got(jaccard.link_documents(docs, share=Fraction(8, 10))) == brute(list(enumerate(texts)), Fraction(8, 10))
 
 
-def test_region_recursion_equals_all_pairs():
-    texts = corpus(11, groups=3, size=120, words=(60, 90), edits=0.2)
-    sets = [shingle_set(lowered_words(t), 3) for t in texts]
-    forest = jaccard.Forest(len(sets))
-    jaccard.join_region(sets, Fraction(9, 10), forest, np.arange(len(sets)), small=8)
-    want = {}
-    for i, (_, c) in brute(list(enumerate(texts))).items():
-        want.setdefault(c, set()).add(i)
-    have = {}
-    for i in range(len(sets)):
-        have.setdefault(forest.root(i), set()).add(i)
-    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
-
-
-def test_linked_sets_share_a_slice_key():
-    draw = np.random.default_rng(3)
-    share = Fraction(9, 10)
-    for n in [1, 2, 8, 9, 10, 17, 18, 19, 40, 137, 600, 3000]:
-        for _ in range(30):
-            common = draw.integers(0, 2**63, n).astype(np.uint64)
-            budget = int(n / 9)  # |A ^ B| <= |A & B| / 9
-            extra = draw.integers(0, 2**63, budget).astype(np.uint64)
-            at = draw.integers(0, budget + 1)
-            a, b = np.unique(np.concatenate([common, extra[:at]])), np.unique(np.concatenate([common, extra[at:]]))
-            assert set(jaccard.slice_keys(a, share).tolist()) & set(jaccard.slice_keys(b, share).tolist())
+def linked_pairs(texts, share):
+    """(links of each, root of each) by all pairs."""
+    sets = [shingles(t) for t in texts]
+    links = [0] * len(sets)
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) * share.denominator >= len(sets[a] | sets[b]) * share.numerator:
+            links[a] += 1
+            links[b] += 1
+    return links
+
+
+@pytest.mark.parametrize("edits", [0.05, 0.2])
+def test_region_recursion_equals_all_pairs(edits):
+    texts = list(dict.fromkeys(corpus(11, groups=3, size=120, words=(60, 90), edits=edits)))
+    region = jaccard.Region(list(range(len(texts))), [shingle_set(lowered_words(t), 3) for t in texts], [1] * len(texts))
+    region.find(np.arange(len(texts)), np.ones(len(texts), bool), Fraction(9, 10), small=8)
+    assert [region.root(i) for i in range(len(texts))] == [c for _, c in brute(list(enumerate(texts))).values()]
+    assert region.links.tolist() == linked_pairs(texts, Fraction(9, 10))
+
+
+@pytest.mark.parametrize("leaf_rows", [12, 2048])
+def test_links_are_counted(spark, leaf_rows):
+    """Copies count as links; tiny regions are split by pivots and cut into blocks."""
+    texts = HARD + corpus(9, groups=3, size=40, words=(60, 90), edits=0.1)
+    texts += texts[-5:]
+    frame = jaccard.link_documents(documents(spark, texts), leaf_rows=leaf_rows, slab=8, pivots=4)
+    assert [r["n_links"] for r in frame.orderBy("doc_id").collect()] == linked_pairs(texts, Fraction(9, 10))
+
+
+@pytest.mark.parametrize("share", [Fraction(9, 10), Fraction(4, 5)])
+def test_linked_sets_share_a_key(spark, share):
+    texts = corpus(13, groups=10, size=6, words=(3, 120), edits=0.3) + ["a b", "a", "a b c d"]
+    frame = documents(spark, texts).selectExpr("doc_id as _id", "text as _text")
+    described, keys = rare_keys.describe_sets(frame, share, 3)
+    held = {}
+    for r in keys.collect():
+        held.setdefault(r["_id"], set()).add(r["key"])
+    sets = [shingles(t) for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] != sets[b] and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+            assert held.get(a, set()) & held.get(b, set()), (texts[a], texts[b])
+    assert described.count() == len(texts)
+
+
+def test_cells_do_not_run_together(spark):
+    """Texts that share passages but are no near copies: the largest cell stays small as the table grows."""
+    largest = []
+    for times in (1, 2, 4):
+        draw = random.Random(5)
+        passages = [" ".join(f"p{draw.randint(0, 10**6)}" for _ in range(25)) for _ in range(5)]
+        texts = []
+        for _ in range(200 * times):
+            own = [f"v{draw.randint(0, 10**6)}" for _ in range(draw.randint(80, 110))]
+            texts.append(" ".join(own) + " " + draw.choice(passages))
+            if draw.random() < 0.2:
+                own[draw.randrange(len(own))] = "x"
+                texts.append(" ".join(own) + " " + draw.choice(passages))
+        frame = documents(spark, texts).selectExpr("doc_id as _id", "text as _text")
+        _, keys = rare_keys.describe_sets(frame, Fraction(4, 5), 5)
+        largest.append(keys.distinct().groupBy("key").count().agg({"count": "max"}).first()[0] or 1)
+    assert max(largest) <= 8, largest
 
 
 def test_one_of_each_group_stays(spark):
