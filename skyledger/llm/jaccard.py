@@ -39,16 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.cells import blocked, members_of, once, pivot_rounds
 from skyledger.llm.ranges import free
 from skyledger.llm.rare_keys import describe_sets
 from skyledger.llm.words import lowered_words, rows, scramble, shingle_set
-from skyledger.operators.components import connected_components
 from skyledger.session import cut
 
-#: Rounds of pivots in cells before what is left is split into regions, and pivots of a cell in each.
-ROUNDS = (1, 4, 4)
-
-
 # ---- a region in memory
 
 
@@ -218,14 +214,7 @@ def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int,
             return final.unionByName(nodes).select("region", "_id", "owner")
         final = final.unionByName(nodes.join(large.select("region"), "region", "left_anti"))
         stuck = nodes.join(large.where("_n > _limit"), "region")
-        blocks = F.ceil(F.col("_n") * 2 / leaf_rows).cast("int")
-        mine = F.pmod(F.xxhash64("_id", F.lit(5)), blocks).cast("int")
-        paired = stuck.withColumn("_mine", mine).withColumn("_k", F.explode(F.sequence(F.lit(0), 2 * blocks - 1)))
-        other = (F.col("_k") / 2).cast("int")
-        guest = F.col("_k") % 2 == 1
-        final = final.unionByName(paired.where(~guest | (other != F.col("_mine"))).select(
-            F.when(guest, F.xxhash64("region", other, "_mine")).otherwise(F.xxhash64("region", "_mine", other)).alias("region"), "_id",
-            (F.col("owner") & ~guest).alias("owner"), "limit"))
+        final = final.unionByName(blocked(stuck.select("region", "_id", "owner"), leaf_rows).withColumn("limit", F.lit(0).cast("bigint")))
         slabs = F.ceil(F.col("_n") / slab).cast("int")
         busy = cut(nodes.join(large.where("_n <= _limit"), "region").withColumn("_slab", F.pmod(F.xxhash64("_id"), slabs).cast("int")))
         draw = F.xxhash64("_id", F.lit(7))
@@ -257,12 +246,12 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _meet(share: Fraction, size: int):
     """The pairs (node, pivot) that are linked; a pivot's pairs follow each other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held = None, np.empty(0, np.uint64)
+        pivot, held = None, np.empty(0, np.uint64)  # the pivot's text and set
         for batch in batches:
             a, b = [], []
             for node, other, text, its in rows(batch, 256):
-                if other != pivot:
-                    pivot, held = other, shingle_set(lowered_words(its), size)
+                if its != pivot:
+                    pivot, held = its, shingle_set(lowered_words(its), size)
                 mine = shingle_set(lowered_words(text), size)
                 if min(len(mine), len(held)) * share.denominator < max(len(mine), len(held)) * share.numerator:
                     continue
@@ -273,52 +262,10 @@ def _meet(share: Fraction, size: int):
     return run
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes of ``links(a, b)``."""
-    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).distinct()
-    return connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
-
-
-def _mixed(cells: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The cells (key, node, comp) that span several components."""
-    labelled = cells.withColumn("comp", F.col("node")) if comps is None else cells.join(comps, "node", "left").select(
-        "key", "node", F.coalesce("comp", "node").alias("comp"))
-    spans = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    return labelled.join(spans.select("key"), "key")
-
-
-def _pivot_rounds(cells: DataFrame, texts: DataFrame, share: Fraction, size: int) -> tuple[DataFrame | None, DataFrame]:
-    """Links found with the pivots of cells, and the cells (key, node) that still span several components."""
-    links = asked = comps = None
-    for pivots in ROUNDS:
-        cells = cut(_mixed(cells, comps))
-        if cells.isEmpty():
-            break
-        sizes = cells.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
-        draw = F.xxhash64("node", F.lit(3))
-        taken = cells.join(sizes, "comp").groupBy("key", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
-            F.min(F.struct("_size", draw.alias("_o"), "node", "comp")).alias("_p"))
-        taken = cut(taken.select("key", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_comp")))
-        pairs = cells.join(taken, "key").where("comp <> _comp").select(F.col("node").alias("a"), "b").distinct()
-        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
-        asked = pairs if asked is None else asked.unionAll(pairs)
-        mine, its = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_mine")), texts.select(F.col("_id").alias("b"), "_text")
-        met = pairs.join(mine, "a").join(its, "b").select("a", "b", "_mine", "_text")
-        found = cut(met.mapInArrow(_meet(share, size), "a bigint, b bigint").distinct())
-        links = found if links is None else cut(links.unionAll(found))
-        comps = _components(links)
-        cells = cells.select("key", "node").join(taken.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
-    else:
-        cells = _mixed(cells, comps)
-    return links, cut(cells.select("key", "node"))
-
-
-def _once(cells: DataFrame) -> DataFrame:
-    """(region, _id): of cells with the same nodes one."""
-    mark = F.xxhash64("node", F.lit(9))
-    signed = cells.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(mark).alias("_x"), F.bit_xor(F.xxhash64(mark)).alias("_y"))
-    first = signed.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key")
-    return cells.join(first, "key").select(F.col("key").alias("region"), F.col("node").alias("_id"))
+def _met(texts: DataFrame, share: Fraction, size: int):
+    """The linked ones of pairs (a, b) of nodes."""
+    mine, its = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_mine")), texts.select(F.col("_id").alias("b"), "_text")
+    return lambda pairs: pairs.join(mine, "a").join(its, "b").select("a", "b", "_mine", "_text").mapInArrow(_meet(share, size), "a bigint, b bigint").distinct()
 
 
 def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9, 10), leaf_rows: int = 2048, slab: int = 1024,
@@ -339,15 +286,15 @@ def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9,
     cells = cut(keys.join(owners, "_id").select("key", "node").distinct())
     copies = nodes.select(F.col("node").alias("_id"), "copies")
     texts = copies.groupBy("_id").agg(F.max("copies").alias("copies")).join(texts.where("_id is not null"), "_id")
-    links, left = _pivot_rounds(cells, texts, share, size)
+    links, left = pivot_rounds(cells, _met(texts, share, size))
     several = owners.groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").select("_id", "b")
     links = [owners.join(several, "_id").where("node <> b").select(F.col("node").alias("a"), "b")] + ([] if links is None else [links])
     if not left.isEmpty():
-        links.append(_join_regions(_once(left), texts, share, size, leaf_rows, slab, pivots).where("b is not null").select("a", "b"))
+        links.append(_join_regions(once(left), texts, share, size, leaf_rows, slab, pivots).where("b is not null").select("a", "b"))
     every = links[0]
     for more in links[1:]:
         every = every.unionAll(more)
-    comps = cut(_components(cut(every.distinct())))
+    comps = cut(members_of(cut(every.distinct())))
     out = members.join(comps, "node", "left").withColumn("_comp", F.coalesce("comp", "node", "_id"))
     if count_links:
         inside = comps.select(F.col("comp").alias("region"), F.col("node").alias("_id"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, fingerprints, jaccard, language, license_texts, licenses, mixing, substrings, token_counts, token_files, urls
+from skyledger.llm import decontaminate, fingerprints, jaccard, language, license_texts, licenses, minhash, mixing, negatives, spelling, substrings, token_counts, token_files, urls
 
 #: Rules of the URL filter: (verdict, host, path).
 URL_RULES = [
@@ -65,6 +65,20 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"), plant=199)
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(rows.withColumn("label", label), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_document_fingerprints": document_fingerprints,
@@ -76,6 +90,9 @@ QUERIES = {
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_language_id": language_id,
     "op10_mixing": source_mixing,
+    "op11_minhash_near_dedup": minhash_near_dedup,
+    "op12_spelling_variants": spelling_variants,
+    "op13_hard_negatives": hard_negatives,
 }
 
 _WORDS8 = (
@@ -112,5 +129,18 @@ select doc_id, size, total as source_size, target,
 }
 
 
+ORACLE["op13_hard_negatives"] = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = c.label as alike, c.vec_id, list_inner_product(a.v, c.v)::bigint as score
+  from e a join e c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id as negative_id,
+  positive_score, score as negative_score from p join s using (anchor_id)
+where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10"""
+
+
 def load() -> tuple[dict, dict]:
     return QUERIES, ORACLE
