@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from skyledger.operators.components import connected_components
 from skyledger.session import cut
 
-#: Rounds of pivots in cells, and pivots of a cell in each; what is left is for the caller.
-ROUNDS = (1, 4, 4)
+#: Rounds of pivots in cells, and pivots of a cell in each (0: every node meets one pivot of all its cells); what is left is for the caller.
+ROUNDS = (0, 4, 4)
 
 
 def members_of(links: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def pivot_rounds(cells: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> tu
 
     ``meet`` gives the linked ones of pairs (a, b). Pivots come from the smallest components and
     are the same in all cells of a group; nodes of a pivot's own component need not meet it, and
-    a pivot that has met its cell leaves it.
+    a pivot that has met its whole cell leaves it.
     """
     links = asked = comps = None
     for pivots in ROUNDS:
@@ -42,16 +42,19 @@ def pivot_rounds(cells: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> tu
             break
         sizes = cells.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
         draw = F.xxhash64("node", F.lit(3))
-        taken = cells.join(sizes, "comp").groupBy("key", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
+        taken = cells.join(sizes, "comp").groupBy("key", F.pmod(draw, F.lit(max(pivots, 1))).alias("_k")).agg(
             F.min(F.struct("_size", draw.alias("_o"), "node", "comp")).alias("_p"))
         taken = cut(taken.select("key", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_comp")))
         pairs = cells.join(taken, "key").where("comp <> _comp").select(F.col("node").alias("a"), "b").distinct()
+        if not pivots:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(3)).alias("_o"), "b")).alias("_b")).select("a", "_b.b")
         pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
         asked = pairs if asked is None else asked.unionAll(pairs)
         found = cut(meet(pairs))
         links = found if links is None else cut(links.unionAll(found))
         comps = members_of(links)
-        cells = cells.select("key", "node").join(taken.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
+        cells = cells.select("key", "node")
+        cells = cells if not pivots else cells.join(taken.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
     else:
         cells = _mixed(cells, comps)
     return links, cut(cells.select("key", "node"))

@@ -5,23 +5,23 @@ Jaccard distance ``1 - |A & B| / |A | B|`` is a metric. Documents at distance 1
 which every linked pair meets:
 
 1. Equal sets are one node, represented by their smallest doc_id.
-2. *Cells.* Linked sets share one of their rarest elements (``rare_keys``); the nodes with one such
-   key are a cell. Cells overlap and are never merged, so they cannot run together.
-3. *Pivots.* In rounds, every cell that spans several components takes pivots and compares its
-   other nodes with them, if not yet in one component with the pivot; links join components, and
-   a pivot that has met its whole cell leaves it. All cells of a group of near copies have one
-   pivot, so a node is compared with few. A cell whose nodes are all in one component is done.
-4. *Regions.* Cells left after these rounds are regions (equal ones only once). In a region, pivots
-   are chosen, every node goes to the region of its nearest pivot, and is copied to each region
-   whose pivot is within ``nearest + 2 * tau``; any linked pair then meets where its smaller node
-   is at home. Regions are split again, by Spark while they exceed ``leaf_rows`` and inside the
-   task below that, until few nodes are left, which are compared exactly.
-5. *Links.* To count links, the components found are the regions of one more such join: every link
-   lies inside a component, and each pair is counted once, where its smaller node is at home.
+2. *Keys.* Linked sets share one of their rarest elements (``rare_keys``); the nodes with one such
+   key are its group. Groups overlap.
+3. *Cells.* Two nodes of a group are joined if their sizes and the number of their common keys leave
+   room for a link (the bounds need no texts). Groups are contracted by rounds of pivots, and what
+   still spans components is tested inside tasks, each with each; the components are the cells.
+   A link never leaves its cell, and since an edge must pass bounds that are close to a link, cells
+   stay near the true components instead of running together.
+4. *Regions.* Texts are sent once, to their cell. There pivots are chosen, every node goes to the
+   region of its nearest pivot, and is copied to each region whose pivot is within
+   ``nearest + 2 * tau``; any linked pair then meets where its smaller node is at home, and is
+   counted there alone. Regions are split again, by Spark while they exceed ``leaf_rows`` and
+   inside the task below that, until few nodes are left, which are compared exactly.
+5. The links found are contracted to components.
 
 Nothing is dropped, capped or sampled: only pivots are chosen, which changes speed, not links.
-A region that pivots cannot split (dense near copies, whose links are to be counted) is cut into
-blocks, each with each, which keeps tasks bounded.
+A region that pivots cannot split (dense near copies, whose links are counted) is cut into blocks,
+each with each, which keeps tasks bounded.
 
 Defined cases: a null or wordless text has the empty set and is linked with nothing; repeated
 rows and equal texts are linked with each other; rows that share a doc_id are one document with
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.cells import blocked, members_of, once, pivot_rounds
 from skyledger.llm.ranges import free
-from skyledger.llm.rare_keys import describe_sets
+from skyledger.llm.rare_keys import describe_sets, overlap_needed
 from skyledger.llm.words import lowered_words, rows, scramble, shingle_set
 from skyledger.session import cut
 
@@ -230,50 +230,95 @@ def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int,
             F.floor(F.col("_n") * 0.8).cast("bigint").alias("limit")))
 
 
-def _join_regions(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int) -> DataFrame:
-    """(a, b, links) of ``nodes(region, _id)`` by regions; ``texts(_id, copies, _text)``."""
-    split = _split_large(nodes.withColumn("owner", F.lit(True)), texts, share, size, leaf_rows, slab, pivots)
-    placed = split.join(texts, "_id").repartition("region").sortWithinPartitions("region", "_id")
+def _join_regions(cells: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int) -> DataFrame:
+    """(a, b, links) of ``cells(region, _id, copies)`` by regions."""
+    split = _split_large(cells.select("region", "_id", F.lit(True).alias("owner")), texts, share, size, leaf_rows, slab, pivots)
+    placed = split.join(cells.select("_id", "copies"), "_id").join(texts, "_id").repartition("region").sortWithinPartitions("region", "_id")
     return cut(placed.select("region", "_id", "owner", "copies", "_text").mapInArrow(_regions(share, size), "a bigint, b bigint, links bigint"))
 
 
-# ---- cells on Spark
+# ---- cells
 
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _room(share: Fraction):
+    """Whether nodes a and b (n_lo to n_hi elements, keys) may be linked, as columns."""
+    p, q = share.numerator, share.denominator
 
+    def c(side: str, name: str):
+        return F.col(f"{side}.{name}")
+
+    sizes = (c("l", "n_hi") * q >= c("r", "n_lo") * p) & (c("r", "n_hi") * q >= c("l", "n_lo") * p)
+    rest = F.ceil(F.greatest(c("l", "n_hi"), c("r", "n_hi")) * p / q) - 1
+    needed = F.ceil((c("l", "n_lo") + c("r", "n_lo")) * p / (p + q))
+    return sizes & (F.size(F.array_intersect(c("l", "keys"), c("r", "keys"))) + rest >= needed)
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edges(share: Fraction):
+    """Edges that span what the bounds join in each group; one group is held at a time."""
+    p, q = share.numerator, share.denominator
 
-def _meet(share: Fraction, size: int):
-    """The pairs (node, pivot) that are linked; a pivot's pairs follow each other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held = None, np.empty(0, np.uint64)  # the pivot's text and set
+        current, held = None, []
+
+        def done():
+            ids, owner, comps, low, high, keys = zip(*held, strict=True)
+            order, low, high, owner = np.array(ids, np.int64), np.array(low, np.int64), np.array(high, np.int64), np.array(owner, bool)
+            label = np.unique(np.array(comps, np.int64), return_inverse=True)[1]
+            rest, a, b = -(-high * p // q) - 1, [], []
+            for at in range(0, len(ids), 512):
+                part = slice(at, at + 512)
+                common = overlaps([np.unique(np.array(k, np.int64)) for k in keys[part]], [np.unique(np.array(k, np.int64)) for k in keys])
+                fits = (high[part, None] * q >= low[None] * p) & (high[None] * q >= low[part, None] * p)
+                fits &= common + np.maximum(rest[part, None], rest[None]) >= overlap_needed(low[part, None], low[None], share)
+                fits &= owner[part, None] & (order[part, None] < order[None])
+                for i in np.nonzero(fits.any(1))[0]:
+                    for j in np.nonzero(fits[i])[0]:
+                        if label[at + i] != label[j]:
+                            a.append(ids[at + i]), b.append(ids[j])
+                            label[label == label[j]] = label[at + i]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+
         for batch in batches:
-            a, b = [], []
-            for node, other, text, its in rows(batch, 256):
-                if its != pivot:
-                    pivot, held = its, shingle_set(lowered_words(its), size)
-                mine = shingle_set(lowered_words(text), size)
-                if min(len(mine), len(held)) * share.denominator < max(len(mine), len(held)) * share.numerator:
-                    continue
-                common = len(mine) + len(held) - len(np.union1d(mine, held))
-                if common * share.denominator >= (len(mine) + len(held) - common) * share.numerator:
-                    a.append(node), b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_FOUND)
+            for region, *row in rows(batch, 256):
+                if region != current:
+                    if len(held) > 1:
+                        yield done()
+                    current, held = region, []
+                held.append(row)
+        if len(held) > 1:
+            yield done()
     return run
 
 
-def _met(texts: DataFrame, share: Fraction, size: int):
-    """The linked ones of pairs (a, b) of nodes."""
-    mine, its = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_mine")), texts.select(F.col("_id").alias("b"), "_text")
-    return lambda pairs: pairs.join(mine, "a").join(its, "b").select("a", "b", "_mine", "_text").mapInArrow(_meet(share, size), "a bigint, b bigint").distinct()
+def candidate_cells(groups: DataFrame, nodes: DataFrame, share: Fraction, leaf_rows: int = 2048) -> DataFrame:
+    """(node, comp): the cells of ``groups(key, node)``; ``nodes(node, n_lo, n_hi)``. Nodes without a partner are left out."""
+    held = cut(groups.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes, "node"))
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        side = F.struct("n_lo", "n_hi", "keys")
+        met = pairs.join(held.select(F.col("node").alias("a"), side.alias("l")), "a").join(held.select(F.col("node").alias("b"), side.alias("r")), "b")
+        return met.where(_room(share)).select("a", "b")
+
+    edges, left = pivot_rounds(groups, meet)
+    if edges is None:
+        return nodes.select("node", F.col("node").alias("comp")).where("false")
+    if not left.isEmpty():
+        rest = blocked(once(left).withColumn("owner", F.lit(True)), leaf_rows).join(
+            members_of(edges).select(F.col("node").alias("_id"), F.col("comp").alias("_comp")), "_id", "left").join(held.withColumnRenamed("node", "_id"), "_id")
+        placed = rest.withColumn("comp", F.coalesce("_comp", "_id")).repartition("region").sortWithinPartitions("region", "_id")
+        more = placed.select("region", "_id", "owner", "comp", "n_lo", "n_hi", "keys").mapInArrow(_edges(share), "a bigint, b bigint")
+        edges = cut(edges.unionAll(more).distinct())
+    return members_of(edges)
 
 
 def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9, 10), leaf_rows: int = 2048, slab: int = 1024,
-                   pivots: int = 16, count_links: bool = True) -> DataFrame:
+                   pivots: int = 16) -> DataFrame:
     """One row per document: doc_id, n_shingles, copies (rows with the same set), component_id, n_links.
 
-    ``n_links`` counts the other rows that a row is linked with, equal ones included; it is left
-    out without ``count_links``.
+    ``n_links`` counts the other rows that a row is linked with, equal ones included.
     """
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     described, keys = describe_sets(texts, share, size)
@@ -283,31 +328,22 @@ def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9,
     same = (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
     members = cut(described.join(classes, same, "left").select("_id", "n", "copies", "node"))
     owners = members.where("node is not null").select("_id", "node").distinct()
-    cells = cut(keys.join(owners, "_id").select("key", "node").distinct())
-    copies = nodes.select(F.col("node").alias("_id"), "copies")
-    texts = copies.groupBy("_id").agg(F.max("copies").alias("copies")).join(texts.where("_id is not null"), "_id")
-    links, left = pivot_rounds(cells, _met(texts, share, size))
+    keyed = keys.join(owners, "_id").select("key", "node").distinct()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key")
+    groups = cut(keyed).join(shared, "key")
+    spread = nodes.groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("copies").alias("copies"))
+    cells = cut(candidate_cells(cut(groups), spread.select("node", "n_lo", "n_hi"), share, leaf_rows).join(spread, "node").select(
+        F.col("comp").alias("region"), F.col("node").alias("_id"), "copies"))
+    found = _join_regions(cells, texts, share, size, leaf_rows, slab, pivots)
     several = owners.groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").select("_id", "b")
-    links = [owners.join(several, "_id").where("node <> b").select(F.col("node").alias("a"), "b")] + ([] if links is None else [links])
-    if not left.isEmpty():
-        links.append(_join_regions(once(left), texts, share, size, leaf_rows, slab, pivots).where("b is not null").select("a", "b"))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionAll(more)
-    comps = cut(members_of(cut(every.distinct())))
-    out = members.join(comps, "node", "left").withColumn("_comp", F.coalesce("comp", "node", "_id"))
-    if count_links:
-        inside = comps.select(F.col("comp").alias("region"), F.col("node").alias("_id"))
-        counts = _join_regions(inside, texts, share, size, leaf_rows, slab, pivots).where("links is not null")
-        counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("_links"))
-        out = out.join(counts, "node", "left")
-        known = F.col("_id").isNotNull() & (F.col("n") > 0)
-        n_links = [F.when(known, F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")]
-    else:
-        n_links = []
-    return out.select(
+    same_id = owners.join(several, "_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    comps = members_of(cut(found.where("b is not null").select("a", "b").unionAll(same_id).distinct()))
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("_links"))
+    known = F.col("_id").isNotNull() & (F.col("n") > 0)
+    return members.join(comps, "node", "left").join(counts, "node", "left").select(
         F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("copies", F.lit(1)).alias("copies"),
-        F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("component_id"), *n_links)
+        F.when(F.col("_id").isNotNull(), F.coalesce("comp", "node", "_id")).alias("component_id"),
+        F.when(known, F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -316,7 +352,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of repeated rows of that doc_id the one with the smallest text stays; rows without a doc_id
     all stay. The semi-join is on doc_id, so no group meets in one task.
     """
-    labelled = link_documents(docs, count_links=False, **options)
+    labelled = link_documents(docs, **options)
     name, place = free(docs.columns, "_stay"), free(docs.columns, "_place")
     stay = labelled.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(stay, docs["doc_id"] == F.col(name), "left_semi")

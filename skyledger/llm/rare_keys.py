@@ -7,6 +7,10 @@ whose hash is below a fixed bound, by the number of sets that hold them and then
 all others, by hash. Rare elements come first, so what few sets share decides, and a passage of a
 thousand documents hardly ever does.
 
+*Position bound.* Let c elements be in both prefixes. Of the two sets take the one whose prefix ends
+first in the order: what its prefix shares with the other set lies in the other's prefix too, so the
+intersection is c and no more than its ``n - prefix`` further elements.
+
 Only elements below the bound are counted. A chunk of documents sends its distinct ones once,
 with their counts (so a very common element is one entry of a chunk), packed by range of hash; a
 range adds up and answers each chunk with those that more than one set holds. A set whose unique
@@ -37,6 +41,11 @@ def prefix_length(n: int, share: Fraction) -> int:
     return n - -(-n * share.numerator // share.denominator) + 1 if n else 0
 
 
+def overlap_needed(n, m, share: Fraction):
+    """Smallest intersection of linked sets of n and m elements: i >= share * (n + m - i)."""
+    return -(-(n + m) * share.numerator // (share.numerator + share.denominator))
+
+
 def bound(share: Fraction) -> int:
     """Hashes below it are counted."""
     return min((1 << 64) - 1, int(float(1 - share) * SPARE * 2**64))
