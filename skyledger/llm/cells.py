@@ -68,10 +68,15 @@ def once(cells: DataFrame) -> DataFrame:
     return cells.join(first, "key").select(F.col("key").alias("region"), F.col("node").alias("_id"))
 
 
-def blocked(nodes: DataFrame, rows: int) -> DataFrame:
-    """``nodes(region, _id, owner)``, where a region of over ``rows`` becomes blocks, each of which owns the links with each."""
-    sizes = nodes.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.when(F.col("_n") > rows, F.ceil(F.col("_n") * 2 / rows)).otherwise(1).cast("int")
+def blocked(nodes: DataFrame, rows: int, elements: int | None = None) -> DataFrame:
+    """``nodes(region, _id, owner)``, where a region of over ``rows`` becomes blocks, each of which owns the links with each.
+
+    With ``elements``, blocks are also bounded by the sum of ``n``.
+    """
+    load = F.count(F.lit(1)) / rows
+    load = load if elements is None else F.greatest(load, F.sum("n") / elements)
+    sizes = nodes.groupBy("region").agg(load.alias("_load"))
+    blocks = F.when(F.col("_load") > 1, F.ceil(F.col("_load") * 2)).otherwise(1).cast("int")
     placed = nodes.join(sizes.withColumn("_blocks", blocks), "region").withColumn("_mine", F.pmod(F.xxhash64("_id", F.lit(5)), "_blocks").cast("int"))
     each = placed.withColumn("_k", F.explode(F.sequence(F.lit(0), 2 * F.col("_blocks") - 1)))
     other, guest = (F.col("_k") / 2).cast("int"), F.col("_k") % 2 == 1

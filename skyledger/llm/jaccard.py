@@ -15,7 +15,7 @@ which every linked pair meets:
 4. *Regions.* Texts are sent once, to their cell. There pivots are chosen, every node goes to the
    region of its nearest pivot, and is copied to each region whose pivot is within
    ``nearest + 2 * tau``; any linked pair then meets where its smaller node is at home, and is
-   counted there alone. Regions are split again, by Spark while they exceed ``leaf_rows`` and
+   counted there alone. Regions are split again, by Spark while they exceed ``leaf_rows`` or ``leaf_elements`` and
    inside the task below that, until few nodes are left, which are compared exactly.
 5. The links found are contracted to components.
 
@@ -197,26 +197,31 @@ def _to_pivots(share: Fraction, size: int):
     return run
 
 
-def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int) -> DataFrame:
-    """``nodes(region, _id, owner)`` in regions of up to ``leaf_rows``, by Voronoi rounds on Spark.
+def _heavy(leaf_rows: int, leaf_elements: int):
+    """Load of a region as a share of what a task should hold, by rows and by elements ``n``."""
+    return F.greatest(F.count(F.lit(1)) / leaf_rows, F.sum("n") / leaf_elements)
+
+
+def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, leaf_elements: int, slab: int, pivots: int) -> DataFrame:
+    """``nodes(region, _id, n, owner)`` in regions of up to ``leaf_rows`` and ``leaf_elements``, by Voronoi rounds on Spark.
 
     Each round deals a large region to slabs of some ``slab`` rows, joins each slab with the
     region's pivots (one for each residue of a hash), and copies rows to the regions of the
     pivots inside their windows. A region that did not shrink to ``limit`` (four fifths of its
     parent) is cut into blocks instead: each block owns the links with each block.
     """
-    nodes = nodes.withColumn("limit", F.lit(2**62).cast("bigint"))
+    nodes = nodes.withColumn("limit", F.lit(float("inf")))
     final = nodes.where("false")
     while True:
-        sizes = nodes.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.max("limit").alias("_limit"))
-        large = cut(sizes.where(F.col("_n") > leaf_rows))
+        sizes = nodes.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), _heavy(leaf_rows, leaf_elements).alias("_load"), F.max("limit").alias("_limit"))
+        large = cut(sizes.where(F.col("_load") > 1))
         if large.isEmpty():
             return final.unionByName(nodes).select("region", "_id", "owner")
         final = final.unionByName(nodes.join(large.select("region"), "region", "left_anti"))
-        stuck = nodes.join(large.where("_n > _limit"), "region")
-        final = final.unionByName(blocked(stuck.select("region", "_id", "owner"), leaf_rows).withColumn("limit", F.lit(0).cast("bigint")))
+        stuck = nodes.join(large.where("_load > _limit").select("region"), "region")
+        final = final.unionByName(blocked(stuck, leaf_rows, leaf_elements).withColumn("limit", F.lit(0.0)), allowMissingColumns=True)
         slabs = F.ceil(F.col("_n") / slab).cast("int")
-        busy = cut(nodes.join(large.where("_n <= _limit"), "region").withColumn("_slab", F.pmod(F.xxhash64("_id"), slabs).cast("int")))
+        busy = cut(nodes.join(large.where("_load <= _limit"), "region").withColumn("_slab", F.pmod(F.xxhash64("_id"), slabs).cast("int")))
         draw = F.xxhash64("_id", F.lit(7))
         taken = busy.groupBy("region", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
             F.min(F.struct(draw.alias("_o"), "_id")).alias("_p"), F.max("_n").alias("_n"))
@@ -225,16 +230,25 @@ def _split_large(nodes: DataFrame, texts: DataFrame, share: Fraction, size: int,
         right = chosen.join(texts, "_id").select("_id", "region", "_slab", "_text").toDF("_id", "region", "_slab", "_text")
         places = left.groupBy("region", "_slab").cogroup(right.groupBy("region", "_slab")).applyInArrow(
             _to_pivots(share, size), "region bigint, a bigint, b bigint, home boolean")
-        nodes = cut(places.withColumnRenamed("a", "_id").join(busy.select("region", "_id", "owner", "_n"), ["region", "_id"]).select(
-            F.xxhash64("region", "b").alias("region"), "_id", (F.col("owner") & F.col("home")).alias("owner"),
-            F.floor(F.col("_n") * 0.8).cast("bigint").alias("limit")))
-
-
-def _join_regions(cells: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, slab: int, pivots: int) -> DataFrame:
-    """(a, b, links) of ``cells(region, _id, copies)`` by regions."""
-    split = _split_large(cells.select("region", "_id", F.lit(True).alias("owner")), texts, share, size, leaf_rows, slab, pivots)
-    placed = split.join(cells.select("_id", "copies"), "_id").join(texts, "_id").repartition("region").sortWithinPartitions("region", "_id")
-    return cut(placed.select("region", "_id", "owner", "copies", "_text").mapInArrow(_regions(share, size), "a bigint, b bigint, links bigint"))
+        nodes = cut(places.withColumnRenamed("a", "_id").join(busy.select("region", "_id", "n", "owner", "_load"), ["region", "_id"]).select(
+            F.xxhash64("region", "b").alias("region"), "_id", "n", (F.col("owner") & F.col("home")).alias("owner"), (F.col("_load") * 0.8).alias("limit")))
+
+
+def _join_regions(cells: DataFrame, texts: DataFrame, share: Fraction, size: int, leaf_rows: int, leaf_elements: int, slab: int, pivots: int) -> DataFrame:
+    """(a, b, links) of ``cells(region, _id, n, copies)`` by regions. Only texts of large cells are sent again, once a round."""
+    large = cut(cells.groupBy("region").agg(_heavy(leaf_rows, leaf_elements).alias("_load")).where("_load > 1").select("region"))
+    columns = ("region", "_id", "owner", "copies", "_text")
+    small = cells.withColumn("owner", F.lit(True))
+    if large.isEmpty():
+        placed = small.join(texts, "_id").select(*columns)
+    else:
+        big = cut(small.join(large, "region", "left_semi"))
+        held = cut(big.select("_id").join(texts, "_id"))
+        split = _split_large(big.select("region", "_id", "n", "owner"), held, share, size, leaf_rows, leaf_elements, slab, pivots)
+        placed = small.join(large, "region", "left_anti").join(texts, "_id").select(*columns).unionAll(
+            split.join(big.select("_id", "copies"), "_id").join(held, "_id").select(*columns))
+    sorted_ = placed.repartition("region").sortWithinPartitions("region", "_id")
+    return cut(sorted_.mapInArrow(_regions(share, size), "a bigint, b bigint, links bigint"))
 
 
 # ---- cells
@@ -314,8 +328,8 @@ def candidate_cells(groups: DataFrame, nodes: DataFrame, share: Fraction, leaf_r
     return members_of(edges)
 
 
-def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9, 10), leaf_rows: int = 2048, slab: int = 1024,
-                   pivots: int = 16) -> DataFrame:
+def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9, 10), leaf_rows: int = 8192,
+                   leaf_elements: int = 1 << 23, slab: int = 1024, pivots: int = 16) -> DataFrame:
     """One row per document: doc_id, n_shingles, copies (rows with the same set), component_id, n_links.
 
     ``n_links`` counts the other rows that a row is linked with, equal ones included.
@@ -332,9 +346,9 @@ def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9,
     shared = keyed.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key")
     groups = cut(keyed).join(shared, "key")
     spread = nodes.groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("copies").alias("copies"))
-    cells = cut(candidate_cells(cut(groups), spread.select("node", "n_lo", "n_hi"), share, leaf_rows).join(spread, "node").select(
-        F.col("comp").alias("region"), F.col("node").alias("_id"), "copies"))
-    found = _join_regions(cells, texts, share, size, leaf_rows, slab, pivots)
+    cells = cut(candidate_cells(cut(groups), spread.select("node", "n_lo", "n_hi"), share).join(spread, "node").select(
+        F.col("comp").alias("region"), F.col("node").alias("_id"), F.col("n_hi").alias("n"), "copies"))
+    found = _join_regions(cells, texts, share, size, leaf_rows, leaf_elements, slab, pivots)
     several = owners.groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").select("_id", "b")
     same_id = owners.join(several, "_id").where("node <> b").select(F.col("node").alias("a"), "b")
     comps = members_of(cut(found.where("b is not null").select("a", "b").unionAll(same_id).distinct()))
