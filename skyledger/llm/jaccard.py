@@ -342,11 +342,10 @@ def link_documents(docs: DataFrame, size: int = 3, share: Fraction = Fraction(9,
     same = (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
     members = cut(described.join(classes, same, "left").select("_id", "n", "copies", "node"))
     owners = members.where("node is not null").select("_id", "node").distinct()
-    keyed = keys.join(owners, "_id").select("key", "node").distinct()
+    keyed = cut(keys.join(owners, "_id").select("key", "node").distinct())
     shared = keyed.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key")
-    groups = cut(keyed).join(shared, "key")
     spread = nodes.groupBy("node").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("copies").alias("copies"))
-    cells = cut(candidate_cells(cut(groups), spread.select("node", "n_lo", "n_hi"), share).join(spread, "node").select(
+    cells = cut(candidate_cells(cut(keyed.join(shared, "key")), spread.select("node", "n_lo", "n_hi"), share).join(spread, "node").select(
         F.col("comp").alias("region"), F.col("node").alias("_id"), F.col("n_hi").alias("n"), "copies"))
     found = _join_regions(cells, texts, share, size, leaf_rows, leaf_elements, slab, pivots)
     several = owners.groupBy("_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").select("_id", "b")
