@@ -20,6 +20,18 @@ def members_of(links: DataFrame) -> DataFrame:
     return connected_components(ends, links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes of ``links(node, pivot)``: equal labels are in one component, if not always the reverse.
+
+    Every node takes the smallest of its pivots and then follows theirs, some steps far.
+    """
+    up = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("comp", "node").alias("comp"))
+    for _ in range(2):
+        ahead = up.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
+        up = up.join(ahead, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"))
+    return cut(up)
+
+
 def _mixed(cells: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The cells (key, node, comp) that span several components."""
     labelled = cells.withColumn("comp", F.col("node")) if comps is None else cells.join(comps, "node", "left").select(
@@ -52,7 +64,7 @@ def pivot_rounds(cells: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> tu
         asked = pairs if asked is None else asked.unionAll(pairs)
         found = cut(meet(pairs))
         links = found if links is None else cut(links.unionAll(found))
-        comps = members_of(links)
+        comps = _labels(links)
         cells = cells.select("key", "node")
         cells = cells if not pivots else cells.join(taken.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
     else:
