@@ -13,6 +13,7 @@ from skyledger.functions.hashing import uniform
 from skyledger.operators import joins, planning, selection, summaries
 from skyledger.plans import labels as L
 from skyledger.plans import occurrence as O
+from skyledger.session import cut
 from skyledger.sources import adapters as A
 
 NEG = f"""free as (select b.time_bin, i.i::int as lat_idx, j.j::int as lon_idx from (select distinct time_bin from occ) b cross join range(11) i(i) cross join range(9) j(j)
@@ -95,28 +96,39 @@ def metadata_dataset(spark, sf):
     return rows.withColumns({c: steady(c) for c in ROUND})
 
 
-FRAMES = f"""fr as (select slot as t, category, {split_sql('slot')} as split, case when (epoch(slot) / 600)::bigint % 3 = 0 then 20 else 0 end as dark from ledger)"""
+# an image is 8 x 8 blocks on 235 x 280 pixels; its dark blocks as rectangles of pixels
+FRAMES = f"""im as (select row_number() over (order by vec_id) - 1 as k, count(*) over () as n, not (label = 9 and vec_id % 2 = 1) as readable,
+  list_transform(list_filter(generate_series(0, 63), lambda i: 255.0::double + 60.0::double * embedding[i + 1]::double < 240.0::double),
+    lambda i: {{'x0': ((i % 8) * 235 + 7) // 8, 'x1': ((i % 8 + 1) * 235 + 7) // 8, 'y0': (i // 8) * 35, 'y1': (i // 8) * 35 + 35}}) as dark from embeddings),
+fr as (select slot as t, category, {split_sql('slot')} as split, readable, dark from ledger join im on (epoch(slot) / 600)::bigint % n = k)"""
 
 
 def frames(spark, sf):
-    """All ledger frames; every third one has a dark strip of 20 columns."""
+    """All ledger frames with the black areas of their images; frames take the images in turn."""
+    images = cut(A.images(spark, sf))
     t = F.col("frame_time")
-    return ledger(spark, sf).select(
+    rows = ledger(spark, sf).select(
         "frame_time", "category", timegrid.split_by_instant(t, A.TRAIN_END, A.VAL_END).alias("split"),
-        F.when(timegrid.slot_number(t) % 3 == 0, 20).otherwise(0).alias("dark_columns"),
+        F.pmod(timegrid.slot_number(t), F.lit(images.count())).alias("image_id"),
     )
+    return L.with_images(rows, images, A.black_pixels(images))
 
 
 CLEAR = """not exists (select 1 from ground g where g.ts >= {c}.t - interval '20 minutes' and g.ts < {c}.t + interval '30 minutes'
   and abs(g.lat - {c}.lat) <= 0.64::double + 10.0::double / 111.32::double and abs(g.lon - {c}.lon) <= 0.64::double + 10.0::double / (111.32::double * greatest(cos(radians({c}.lat)), 0.1::double)))"""
 
 
+# pixels that the crop around (x, y) shares with the dark rectangles
+COVER = ("coalesce(list_sum(list_transform(dark, lambda q: greatest(least(x + 32, q.x1) - greatest(x - 32, q.x0), 0) * greatest(least(y + 32, q.y1) - greatest(y - 32, q.y0), 0))), 0)"
+         " / 4096.0::double <= 0.02::double")
+
+
 def draws_sql(name: str, frames: str, low: int, high: int) -> str:
-    """CTE ``name(t, attempt, x, y)``: usable attempts ``low..high`` of the frames."""
+    """CTE ``name(t, attempt, x, y)``: usable attempts ``low..high`` of the readable frames."""
     return f"""{name}_dr as (select t, dark, attempt::int as attempt, floor({u('rnx', 'epoch(t)::bigint', 'attempt')} * 171)::int + 32 as x, floor({u('rny', 'epoch(t)::bigint', 'attempt')} * 216)::int + 32 as y
-  from {frames} cross join range({low}, {high + 1}) a(attempt)),
+  from {frames} cross join range({low}, {high + 1}) a(attempt) where readable),
 {name}_pl as (select *, 6.8::double - y / 279.0::double * (6.8::double - 1.2::double) as lat, 99.7::double + x / 234.0::double * (104.4::double - 99.7::double) as lon from {name}_dr
-  where greatest(least(x + 32, dark) - (x - 32), 0) / 64.0::double <= 0.02::double),
+  where {COVER}),
 {name} as (select pl.t, attempt, x, y from {name}_pl pl left join ground g on g.slot = pl.t group by pl.t, attempt, x, y having min({hav('g.lat', 'g.lon', 'pl.lat', 'pl.lon', 6371.0)}) >= 30 or count(g.ts) = 0)"""
 
 
@@ -130,11 +142,10 @@ def random_negatives(spark, sf):
 
 
 PIX = "round_even(({o} - 99.7::double) / (104.4::double - 99.7::double) * 234, 0)::int as x, round_even((6.8::double - {a}) / (6.8::double - 1.2::double) * 279, 0)::int as y"
-COVER = "greatest(least(x + 32, dark) - (x - 32), 0) / 64.0::double <= 0.02::double"
 POSITIVES = f"""{thin_sql('ground', 'slot', 'th')},
 re as (select slot as t, generate_subscripts(kept, 1) - 1 as number, unnest(kept) as p from th),
-rp as (select re.t, number, p.ts as ts, p.lat as lat, p.lon as lon, p.solution_key as solution_key, fr.split, fr.category, fr.dark from re join fr on re.t = fr.t),
-ps as (select * from (select *, {PIX.format(o='lon', a='lat')} from rp) where x - 32 >= 0 and y - 32 >= 0 and x + 32 <= 235 and y + 32 <= 280 and {COVER})"""
+rp as (select re.t, number, p.ts as ts, p.lat as lat, p.lon as lon, p.solution_key as solution_key, fr.split, fr.category, fr.dark, fr.readable from re join fr on re.t = fr.t),
+ps as (select * from (select *, {PIX.format(o='lon', a='lat')} from rp) where x - 32 >= 0 and y - 32 >= 0 and x + 32 <= 235 and y + 32 <= 280 and readable and {COVER})"""
 
 
 def match_sql(targets: str) -> str:
@@ -172,10 +183,10 @@ def matched_negatives(spark, sf):
 
 
 CONTROLLED = f"""{FRAMES}, {POSITIVES},
-zs as (select t, split, dark, k.k as number, row_number() over (partition by split order by t, k.k) - 1 as i from fr cross join range(2) k(k) where category <> 'active'),
+zs as (select t, split, dark, readable, k.k as number, row_number() over (partition by split order by t, k.k) - 1 as i from fr cross join range(2) k(k) where category <> 'active'),
 rg as (select *, row_number() over (partition by split order by ts, lat, lon, solution_key) - 1 as j, count(*) over (partition by split) as m from rp),
 tg as (select t, number, lat as t_lat, lon as t_lon, dark, x::varchar || '_' || y::varchar as pos from ps
-  union all select zs.t, zs.number, rg.lat, rg.lon, zs.dark, null from zs join rg on zs.split = rg.split and zs.i % rg.m = rg.j), {match_sql('tg')},
+  union all select zs.t, zs.number, rg.lat, rg.lon, zs.dark, null from zs join rg on zs.split = rg.split and zs.i % rg.m = rg.j where zs.readable), {match_sql('tg')},
 cm as (select t, number, 1 as label, lat, lon, x, y, null as match_level from ps union all select t, number, 0, lat, lon, x, y, case when level = 0 then 'same_grid_cell' else 'neighbour_grid_cell' end from mt),
 cf as (select cm.*, fr.split, fr.category from cm join fr on cm.t = fr.t)"""
 
@@ -192,7 +203,7 @@ def controlled_manifest(spark, sf):
     )
 
 
-GRID = f"""{FRAMES}, gd as (select t, dark, x.x::int as x, y.y::int as y, 6.8::double - y.y / 279.0::double * (6.8::double - 1.2::double) as lat, 99.7::double + x.x / 234.0::double * (104.4::double - 99.7::double) as lon
+GRID = f"""{FRAMES}, gd as (select t, dark, readable, x.x::int as x, y.y::int as y, 6.8::double - y.y / 279.0::double * (6.8::double - 1.2::double) as lat, 99.7::double + x.x / 234.0::double * (104.4::double - 99.7::double) as lon
   from fr cross join range(32, 204, 64) x(x) cross join range(32, 249, 64) y(y) where split = 'test')"""
 
 
@@ -207,30 +218,32 @@ def natural_grid(spark, sf):
     )
 
 
-NATURAL = f"""{GRID}, gc as (select gd.*, (select count(*) from ground g where g.slot = gd.t and abs(g.lat - gd.lat) <= 0.64::double and abs(g.lon - gd.lon) <= 0.64::double) as hits,
-  (select count(*) from ground g where g.ts >= gd.t - interval '20 minutes' and g.ts < gd.t + interval '30 minutes' and abs(g.lat - gd.lat) <= 0.64::double + 10.0::double / 111.32::double
-    and abs(g.lon - gd.lon) <= 0.64::double + 10.0::double / (111.32::double * greatest(cos(radians(gd.lat)), 0.1::double))) as near from gd where {COVER}),
-nl as (select *, case when hits > 0 then 'positive' when near > 0 then 'ambiguous' else 'negative' end as outcome from gc)"""
+NATURAL = f"""{GRID}, gv as materialized (select * exclude (dark) from gd where readable and {COVER}),
+gc as (select gv.*, (select count(*) from ground g where g.slot = gv.t and abs(g.lat - gv.lat) <= 0.64::double and abs(g.lon - gv.lon) <= 0.64::double) as hits,
+  (select count(*) from ground g where g.ts >= gv.t - interval '20 minutes' and g.ts < gv.t + interval '30 minutes' and abs(g.lat - gv.lat) <= 0.64::double + 10.0::double / 111.32::double
+    and abs(g.lon - gv.lon) <= 0.64::double + 10.0::double / (111.32::double * greatest(cos(radians(gv.lat)), 0.1::double))) as near from gv),
+nl as (select *, case when hits > 0 then 'positive' when near > 0 then 'ambiguous' else 'negative' end as outcome from gc union all by name select t, -1 as x, -1 as y, 0::bigint as hits, 0::bigint as near, 'failed' as outcome from fr where split = 'test' and not readable)"""
 
 
 @query("natural_labels", sql_with("ledger", f"+{NATURAL} select t as frame_time, x, y, hits, near, outcome from nl"))
 def natural_labels(spark, sf):
-    return L.natural_labels(test_frames(spark, sf), A.ground(spark, sf))
+    rows = L.natural_labels(test_frames(spark, sf), A.ground(spark, sf))
+    return rows.fillna({"x": -1, "y": -1, "hits": 0, "near": 0})  # of failed frames
 
 
-@query("natural_summary", sql_with("ledger", f"""+{NATURAL} select count(*) filter (outcome <> 'ambiguous') as eligible, count(*) filter (outcome = 'positive') as positive, count(*) filter (outcome = 'negative') as negative,
-  {rr("(count(*) filter (outcome = 'positive'))::double / count(*) filter (outcome <> 'ambiguous')")} as prevalence, count(*) filter (outcome = 'ambiguous') as ambiguous_excluded, 0::bigint as failed from nl"""))
+@query("natural_summary", sql_with("ledger", f"""+{NATURAL} select count(*) filter (outcome in ('positive', 'negative')) as eligible, count(*) filter (outcome = 'positive') as positive, count(*) filter (outcome = 'negative') as negative,
+  {rr("(count(*) filter (outcome = 'positive'))::double / count(*) filter (outcome in ('positive', 'negative'))")} as prevalence, count(*) filter (outcome = 'ambiguous') as ambiguous_excluded, count(*) filter (outcome = 'failed') as failed from nl"""))
 def natural_summary(spark, sf):
     labelled = L.natural_labels(test_frames(spark, sf), A.ground(spark, sf))
     return summaries.natural_summary(labelled).withColumn("prevalence", steady("prevalence"))
 
 
-@query("prevalence_breakdown", sql_with("ledger", f"""+{NATURAL}, el as (select nl.*, (outcome = 'positive')::int as label, fr.category, month(nl.t)::varchar as month, (hour(nl.t) + 8) % 24 as h from nl join fr on nl.t = fr.t where outcome <> 'ambiguous'),
+@query("prevalence_breakdown", sql_with("ledger", f"""+{NATURAL}, el as (select nl.*, (outcome = 'positive')::int as label, fr.category, month(nl.t)::varchar as month, (hour(nl.t) + 8) % 24 as h from nl join fr on nl.t = fr.t where outcome in ('positive', 'negative')),
 lg as (select 'category' as dimension, category as value, label from el union all select 'local_time_block', {BLOCK.format(h='h')}, label from el union all select 'month', month, label from el)
 select dimension, value, count(*) as samples, sum(label)::bigint as positive, (count(*) - sum(label))::bigint as negative, {rr('sum(label)::double / count(*)')} as prevalence from lg group by all"""))
 def prevalence_breakdown(spark, sf):
     test = test_frames(spark, sf)
-    rows = L.natural_labels(test, A.ground(spark, sf)).where("outcome <> 'ambiguous'")
+    rows = L.natural_labels(test, A.ground(spark, sf)).where("outcome in ('positive', 'negative')")
     rows = planning.with_local_time(rows.join(test.select("frame_time", "category"), "frame_time")).withColumn(
         "label", (F.col("outcome") == "positive").cast("int")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.hashing import uniform
@@ -53,6 +53,67 @@ def valid_coverage(
     return black_fraction(pixels, keys, threshold, patches).where(F.col("black_fraction") <= maximum)
 
 
+def summed_areas(pixels: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """One row per frame that has pixels: ``dark``, its summed-area table.
+
+    ``pixels(frame, x, y)`` are the pixels to count (the black ones). A table holds the columns
+    and rows at which a run of pixels starts or ends (``xs``, ``ys``) and, for each of their
+    crossings, the number of pixels above and to the left (``sums``, row by row). Between two
+    edges the raster is constant, so ``dark_pixels`` is exact at any place, and a frame of a few
+    black areas is a few numbers. The sums are two windows over the lines of one frame.
+    """
+    spots = pixels.select(frame, "x", "y")
+
+    def edges(axis: str, across: str) -> DataFrame:
+        line = Window.partitionBy(frame, across).orderBy(axis)
+        runs = spots.withColumns({"_before": F.lag(axis).over(line), "_after": F.lead(axis).over(line)})
+        starts = F.when(F.col("_before").isNull() | (F.col(axis) - F.col("_before") > 1), F.col(axis))
+        stops = F.when(F.col("_after").isNull() | (F.col("_after") - F.col(axis) > 1), F.col(axis) + 1)
+        return runs.select(frame, F.explode(F.array_compact(F.array(starts, stops))).alias(axis)).distinct()
+
+    corners = edges("x", "y").join(edges("y", "x"), frame)
+    set_here = spots.join(corners, [frame, "x", "y"], "left_semi").distinct().withColumn("_set", F.lit(1))
+    along, down = Window.partitionBy(frame, "y").orderBy("x"), Window.partitionBy(frame, "x").orderBy("y")
+    before = (Window.unboundedPreceding, -1)
+    sized = corners.join(set_here, [frame, "x", "y"], "left").withColumns({
+        "_w": F.lead("x").over(along) - F.col("x"), "_h": F.lead("y").over(down) - F.col("y"),
+    }).withColumn("_area", F.coalesce(F.col("_set") * F.col("_w") * F.col("_h"), F.lit(0)).cast("int"))
+    rows = sized.withColumn("_row", F.coalesce(F.sum("_area").over(along.rowsBetween(*before)), F.lit(0)))
+    table = rows.withColumn("_sum", F.coalesce(F.sum("_row").over(down.rowsBetween(*before)), F.lit(0)).cast("int"))
+    return table.groupBy(frame).agg(F.struct(
+        F.array_sort(F.collect_set("x")).alias("xs"), F.array_sort(F.collect_set("y")).alias("ys"),
+        F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "_sum"))), lambda p: p["_sum"]).alias("sums"),
+    ).alias("dark"))
+
+
+def dark_pixels(crop: Column, dark: Column) -> Column:
+    """Number of counted pixels inside a crop: four look-ups in the frame's table (no table: 0)."""
+    xs, ys, sums = dark["xs"], dark["ys"], dark["sums"]
+
+    def place(edges: Column, value: Column) -> Column:
+        """The last edge up to ``value`` (1, 2, ...; 0 for none) and how far beyond it ``value`` is, as a share of the way to the next."""
+        def found(k: Column) -> Column:
+            low, high = F.element_at(edges, k), F.element_at(edges, F.least(k + 1, F.size(edges)))
+            return F.struct(k.alias("k"), F.least(k + 1, F.size(edges)).alias("next"), F.when(high > low, (F.least(value, high) - low) / (high - low)).otherwise(0.0).alias("part"))
+
+        count = F.size(F.filter(edges, lambda v: v <= value))
+        return F.transform(F.array(count), lambda k: F.when(k > 0, found(k)))[0]
+
+    def below(x: Column, y: Column) -> Column:
+        """Pixels above and to the left of a place; whole, as the raster is constant between edges."""
+        def at(k: Column, row: Column) -> Column:
+            return F.element_at(sums, (row - 1) * F.size(xs) + k)
+
+        upper = at(x["k"], y["k"]) * (1 - x["part"]) + at(x["next"], y["k"]) * x["part"]
+        lower = at(x["k"], y["next"]) * (1 - x["part"]) + at(x["next"], y["next"]) * x["part"]
+        return F.when(x.isNotNull() & y.isNotNull(), upper * (1 - y["part"]) + lower * y["part"]).otherwise(0.0)
+
+    # a lambda binds the four places, so that each is found once
+    ends = F.array(F.struct(*[place(xs if e[0] == "x" else ys, crop[e]).alias(e) for e in ("x0", "x1", "y0", "y1")]))
+    counted = F.transform(ends, lambda p: below(p["x1"], p["y1"]) - below(p["x0"], p["y1"]) - below(p["x1"], p["y0"]) + below(p["x0"], p["y0"]))[0]
+    return F.when(dark.isNull(), 0).otherwise(F.round(counted)).cast("int")
+
+
 def patch_extract(pixels: DataFrame, crops: DataFrame, tile: int = 64) -> DataFrame:
     """Pixels of each crop with coordinates inside the crop.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import geo, timegrid
 from skyledger.functions.hashing import uniform
-from skyledger.operators import joins, planning, selection
+from skyledger.operators import joins, planning, raster, selection
 from skyledger.operators.ranking import global_rank, take_per_group
 from skyledger.session import cut
 
@@ -34,13 +34,25 @@ NEGATIVE_WINDOW = (-20, 30, 10.0)
 MAX_BLACK = 0.02
 
 
-def black_fraction(bounds: Column, dark_columns: Column, size: int = SIZE) -> Column:
-    """Share of a crop lost to a dark strip over the first image columns of its frame."""
-    return F.greatest(F.least(bounds["x1"], dark_columns) - bounds["x0"], F.lit(0)) / float(size)
+def with_images(frames: DataFrame, images: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``frames(image_id)`` with ``readable`` and ``dark``, the summed-area table of the image's black pixels.
 
+    ``images(image_id, readable)`` lists the images; ``pixels(image_id, x, y, bands)`` are their rows.
+    A frame whose image is missing is not readable.
+    """
+    tables = raster.summed_areas(pixels.where(raster.is_black(8)), "image_id")
+    known = images.select("image_id", "readable").join(tables, "image_id", "left")
+    seen = frames.join(known, "image_id", "left").withColumn("readable", F.coalesce("readable", F.lit(False)))
+    return cut(seen)  # read several times, and a table is one row of a frame
+
+
+def covered(placed: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows whose crop lost at most ``MAX_BLACK`` of its pixels; ``dark`` is dropped.
 
-def covered(dark_columns: str = "dark_columns") -> Column:
-    return black_fraction(F.col("crop"), F.col(dark_columns)) <= MAX_BLACK
+    What passes is written, as it is read several times, and as the optimizer would carry the long
+    predicate through every later join.
+    """
+    return cut(placed.where(raster.dark_pixels(F.col("crop"), F.col("dark")) <= MAX_BLACK * size * size).drop("dark"))
 
 
 def _levels(mask=geo.MASK) -> Column:
@@ -82,7 +94,7 @@ def _usable(targets: DataFrame, strikes: DataFrame, first: int, last: int | None
     key = [F.unix_seconds("frame_time"), F.col("number"), F.col("c.level"), F.col("draw")]
     lat = F.col("c.la") + (F.col("c.lb") - F.col("c.la")) * uniform("mla", *key)
     lon = F.col("c.oa") + (F.col("c.ob") - F.col("c.oa")) * uniform("mlo", *key)
-    drawn = spread.select("frame_time", "number", "dark_columns", F.col("c.level").alias("level"), "draw", lat.alias("lat"), lon.alias("lon"))
+    drawn = spread.select("frame_time", "number", "dark", F.col("c.level").alias("level"), "draw", lat.alias("lat"), lon.alias("lon"))
     half = SIZE // 2
     mask = geo.MASK
     inside = (
@@ -90,7 +102,7 @@ def _usable(targets: DataFrame, strikes: DataFrame, first: int, last: int | None
     )
     x, y = geo.to_pixel(F.col("lat"), F.col("lon"))
     placed = drawn.withColumns({"x": x, "y": y}).where(inside).withColumn("crop", geo.crop(F.col("x"), F.col("y"), SIZE))
-    return joins.patch_clear(placed.where(covered()), strikes, *NEGATIVE_WINDOW).where("clear").drop(
+    return joins.patch_clear(covered(placed), strikes, *NEGATIVE_WINDOW).where("clear").drop(
         "start_min", "end_min", "margin_km", "clear", "inside_count"
     )
 
@@ -98,7 +110,7 @@ def _usable(targets: DataFrame, strikes: DataFrame, first: int, last: int | None
 def matched_negatives(targets: DataFrame, strikes: DataFrame) -> DataFrame:
     """One matched empty patch per target, where one exists.
 
-    ``targets(frame_time, number, t_lat, t_lon, own, dark_columns, pos_crop)``: a target's
+    ``targets(frame_time, number, t_lat, t_lon, own, dark, pos_crop)``: a target's
     usable draws are those in the image, covered and clear, in (cell, draw) order. Within a
     frame, targets pick in ``number`` order the first usable crop that no positive up to
     theirs and no earlier pick already uses.
@@ -168,20 +180,22 @@ def _ordered_picks(targets: DataFrame, strikes: DataFrame, order: Column) -> Dat
 def positive_patches(retained: DataFrame, frames: DataFrame) -> DataFrame:
     """Retained strikes whose crop lies in the image and is covered."""
     placed = planning.with_crop(retained.withColumn("number", F.col("number").cast("int")))
-    return placed.join(frames.select("frame_time", "split", "category", "dark_columns"), "frame_time").where(covered())
+    seen = placed.join(frames.where("readable").select("frame_time", "split", "category", "dark"), "frame_time")
+    return covered(seen.withColumn("_dark_table", F.col("dark"))).withColumnRenamed("_dark_table", "dark")
 
 
 def active_targets(positives: DataFrame) -> DataFrame:
     return positives.select(
         "frame_time", "number", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.lit(True).alias("own"),
-        "dark_columns", F.col("crop").alias("pos_crop"),
+        "dark", F.col("crop").alias("pos_crop"),
     )
 
 
 def controlled_manifest(frames: DataFrame, strikes: DataFrame, per_zero_frame: int = 2) -> DataFrame:
     """Positives at retained strikes, a matched negative each, and negatives in empty frames.
 
-    ``frames(frame_time, split, category, dark_columns)``; ``strikes`` are in-mask ground strikes.
+    ``frames(frame_time, split, category, readable, dark)``; ``strikes`` are in-mask ground strikes.
+    Targets are frozen before any image is read; a frame whose image cannot be read gives no rows.
     """
     slotted = strikes.withColumn("frame_time", timegrid.floor_slot(F.col("ts")))
     retained = cut(selection.retained_strikes(slotted, "frame_time"))
@@ -191,12 +205,12 @@ def controlled_manifest(frames: DataFrame, strikes: DataFrame, per_zero_frame: i
     )
     zero = frames.where("category <> 'active'")
     drawn = assign_targets(zero.select("frame_time", "split"), ring, per_zero_frame).join(
-        zero.select("frame_time", "dark_columns"), "frame_time"
+        zero.where("readable").select("frame_time", "dark"), "frame_time"
     )
     nothing = F.lit(None).cast(dict(positives.dtypes)["crop"])
     zero_targets = drawn.select(
         "frame_time", F.col("number").cast("int").alias("number"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"),
-        F.lit(False).alias("own"), "dark_columns", nothing.alias("pos_crop"),
+        F.lit(False).alias("own"), "dark", nothing.alias("pos_crop"),
     )
     negatives = matched_negatives(active_targets(positives).unionByName(zero_targets), strikes)
     rows = positives.select("frame_time", "number", F.lit(1).alias("label"), "lat", "lon", "x", "y", "crop").unionByName(
@@ -219,8 +233,11 @@ def natural_grid(frames: DataFrame, mask=geo.MASK, size: int = SIZE, step: int =
 
 
 def natural_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
-    """Grid patches as positive, negative or ambiguous; uncovered patches are left out."""
-    cells = natural_grid(frames).where(geo.crop_inside(F.col("crop")) & covered())
+    """Grid patches as positive, negative or ambiguous; uncovered patches are left out.
+
+    A frame whose image cannot be read is one row, without a patch, with the outcome ``failed``.
+    """
+    cells = covered(natural_grid(frames.where("readable")).where(geo.crop_inside(F.col("crop"))))
     tests = F.array(
         F.struct(F.lit("hit").alias("w"), F.lit(0).alias("a"), F.lit(10).alias("b"), F.lit(0.0).alias("m")),
         F.struct(F.lit("near").alias("w"), *[F.lit(v).alias(n) for n, v in zip("abm", NEGATIVE_WINDOW)]),
@@ -232,9 +249,11 @@ def natural_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("q.w") == "hit", F.col("inside_count"))).alias("hits"),
         F.max(F.when(F.col("q.w") == "near", F.col("inside_count"))).alias("near"),
     )
-    return both.withColumn(
+    labelled = both.withColumn(
         "outcome", F.when(F.col("hits") > 0, "positive").when(F.col("near") > 0, "ambiguous").otherwise("negative")
     )
+    failed = frames.where("not readable").select("frame_time", F.lit("failed").alias("outcome"))
+    return labelled.unionByName(failed, allowMissingColumns=True)
 
 
 def random_negatives(
@@ -244,7 +263,7 @@ def random_negatives(
 
     Attempts are drawn in growing batches for the frames that still lack centres.
     """
-    half, waiting, found, low = SIZE // 2, frames, None, 1
+    half, waiting, found, low = SIZE // 2, frames.where("readable"), None, 1
     batch = 4 * quota
     while True:
         high = min(low + batch - 1, attempts)
@@ -256,7 +275,7 @@ def random_negatives(
         })
         lat, lon = geo.to_lonlat(F.col("x"), F.col("y"), mask)
         placed = drawn.withColumns({"lat": lat, "lon": lon, "crop": geo.crop(F.col("x"), F.col("y"), SIZE)})
-        good = joins.min_distance_filter(placed.where(covered()), strikes, 0, 10, min_km)
+        good = joins.min_distance_filter(covered(placed), strikes, 0, 10, min_km)
         good = cut(good.select("frame_time", "attempt", "x", "y", "lat", "lon"))
         found = good if found is None else found.unionByName(good)
         if high >= attempts:

@@ -124,6 +124,36 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Size of a frame's image, and kelvin below which its pixels are black.
+WIDTH, HEIGHT, BLACK_BELOW = 235, 280, 240.0
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One satellite image per embedding: its number, how many there are, and its 8x8 blocks in kelvin.
+
+    Images of odd number and class 9 could not be read.
+    """
+    from skyledger.operators.ranking import global_rank
+
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", (~((F.col("label") == 9) & (F.col("vec_id") % 2 == 1))).alias("readable"),
+        F.transform("embedding", lambda v: F.lit(255.0) + F.lit(60.0) * v.cast("double")).alias("kelvin"),
+    )
+    return global_rank(rows, [], ["vec_id"], "_k").withColumn("image_id", F.col("_k") - 1).drop("_k", "vec_id")
+
+
+def black_pixels(images: DataFrame) -> DataFrame:
+    """(image_id, x, y, b08, b13, b15): the pixel rows of images that are black in every band."""
+    blocks = images.select("image_id", F.posexplode("kelvin").alias("pos", "kelvin")).where(F.col("kelvin") < BLACK_BELOW)
+
+    def span(at, size: int):
+        return F.explode(F.sequence(F.ceil(at * size / 8).cast("int"), F.ceil((at + 1) * size / 8).cast("int") - 1))
+
+    columns = blocks.withColumn("x", span(F.col("pos") % 8, WIDTH))
+    rows = columns.withColumn("y", span(F.floor(F.col("pos") / 8), HEIGHT))
+    return rows.select("image_id", "x", "y", *[F.lit(0).alias(b) for b in ("b08", "b13", "b15")])
+
+
 def raw_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write the events as a tree ``year/region/month/day`` of CSV files with differing headers.
 
