@@ -156,8 +156,9 @@ def match_sql(targets: str) -> str:
     return f"""of as (select * from (values (0, 0, 0), (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1), (5, -1, -1), (6, 1, 1), (7, -1, 1), (8, 1, -1)) v(level, dy, dx)),
 c0 as (select tg.*, level, 1.2::double + (floor((t_lat - 1.2::double) / 0.5::double) + dy) * 0.5::double as lat0, 99.7::double + (floor((t_lon - 99.7::double) / 0.5::double) + dx) * 0.5::double as lon0 from {targets} tg cross join of),
 c1 as (select *, greatest(lat0, 1.2::double) as la, least(lat0 + 0.5::double, 6.8::double) as lb, greatest(lon0, 99.7::double) as oa, least(lon0 + 0.5::double, 104.4::double) as ob from c0),
-c2 as (select t, number, t_lat, t_lon, dark, level, draw::int as draw, la + (lb - la) * {u('mla', *key)} as lat, oa + (ob - oa) * {u('mlo', *key)} as lon from c1 cross join range(1, 201) d(draw) where la < lb and oa < ob),
-c3 as (select * from (select *, {PIX.format(o='lon', a='lat')} from c2) where x >= 32 and y >= 32 and x < 203 and y < 248 and {COVER}),
+c2 as (select t, number, t_lat, t_lon, level, draw::int as draw, la + (lb - la) * {u('mla', *key)} as lat, oa + (ob - oa) * {u('mlo', *key)} as lon from c1 cross join range(1, 201) d(draw) where la < lb and oa < ob),
+cp as materialized (select * from (select *, {PIX.format(o='lon', a='lat')} from c2) where x >= 32 and y >= 32 and x < 203 and y < 248),
+c3 as (select * from cp where t in (select t from fr where len(dark) = 0) union all select * exclude (dark) from (select cp.*, dark from cp join fr on cp.t = fr.t where len(dark) > 0) where {COVER}),
 c4 as (select distinct c3.t, c3.number, c3.level, c3.draw from c3 join ground g on g.slot >= c3.t - interval '20 minutes' and g.slot < c3.t + interval '30 minutes' and g.slot in (c3.t - interval '20 minutes', c3.t - interval '10 minutes', c3.t, c3.t + interval '10 minutes', c3.t + interval '20 minutes')
   where abs(g.lat - c3.lat) <= 0.64::double + 10.0::double / 111.32::double and abs(g.lon - c3.lon) <= 0.64::double + 10.0::double / (111.32::double * greatest(cos(radians(c3.lat)), 0.1::double))),
 c5 as (select * from c3 anti join c4 using (t, number, level, draw)),
