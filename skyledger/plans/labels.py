@@ -235,7 +235,7 @@ def natural_grid(frames: DataFrame, mask=geo.MASK, size: int = SIZE, step: int =
 def natural_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
     """Grid patches as positive, negative or ambiguous; uncovered patches are left out.
 
-    A frame whose image cannot be read is one row, without a patch, with the outcome ``failed``.
+    A frame whose image cannot be read is one row with the outcome ``failed``, at x = y = -1.
     """
     cells = covered(natural_grid(frames.where("readable")).where(geo.crop_inside(F.col("crop"))))
     tests = F.array(
@@ -252,8 +252,11 @@ def natural_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
     labelled = both.withColumn(
         "outcome", F.when(F.col("hits") > 0, "positive").when(F.col("near") > 0, "ambiguous").otherwise("negative")
     )
-    failed = frames.where("not readable").select("frame_time", F.lit("failed").alias("outcome"))
-    return labelled.unionByName(failed, allowMissingColumns=True)
+    failed = frames.where("not readable").select(
+        "frame_time", F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("near"),
+        F.lit("failed").alias("outcome"),
+    )
+    return labelled.unionByName(failed)
 
 
 def random_negatives(
