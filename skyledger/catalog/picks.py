@@ -13,6 +13,8 @@ from skyledger.functions import timegrid
 from skyledger.functions.hashing import hash_order, uniform
 from skyledger.operators import planning, selection as P, summaries
 from skyledger.operators.ranking import first_per_key, global_rank, take_per_group
+from skyledger.plans.planning import Protocol, frozen_plan as build_plan, pick_active, pick_zero
+from skyledger.session import cut
 from skyledger.sources import adapters as A
 
 DEDUP = """raw2 as (select solution_key, slot, ts, lat, lon from ground union all select solution_key || 'b', slot, ts, lat, lon from ground where solution_key::bigint % 5 = 0),
@@ -176,27 +178,61 @@ def zero_candidate_pool(spark, sf):
     return P.zero_pool(rows, {s: q[1] for s, q in QUOTAS.items()}, "zp").select("frame_time", "split", "cached")
 
 
-def frozen(spark, sf):
-    from skyledger.plans.planning import frozen_plan as build
-
-    return build(plan_rows(spark, sf), QUOTAS)
-
-
-@query("select_active")
+PROTOCOL = Protocol(QUOTAS)
+
+
+def walk_sql(name: str, pool: str, gain: str, crowd: str) -> str:
+    """The plain greedy walk: every state of the pool, one pick a split and step."""
+    score = f"static + ({gain}) + {crowd}"
+    won = f"row_number() over (partition by split order by {score} desc, epoch) = 1"
+    return f"""{name}_0 as (select *, true as new_date, true as new_storm, 0::bigint as n from {pool}),
+{name}(split, slot, epoch, mix, date, storm_id, static, share, quota, new_date, new_storm, n, step, won) as (
+select split, slot, epoch, mix, date, storm_id, static, share, quota, new_date, new_storm, n, 1, {won} from {name}_0
+union all
+select split, slot, epoch, mix, date, storm_id, static, share, quota, new_date, new_storm, n, step, {won} from (
+  select split, slot, epoch, mix, date, storm_id, static, share, quota, new_date and date is distinct from w.d as new_date,
+    new_storm and storm_id is distinct from w.s as new_storm, n + (mix = w.m)::int as n, step + 1 as step
+  from (select *, max(case when won then struct_pack(d := date, s := storm_id, m := mix) end) over (partition by split) as w from {name})
+  where not won and step < quota))"""
+
+
+MIX = f"split || '|' || month(slot) || '|' || {BLOCK.format(h='((hour(slot) + 8) % 24)')}"
+POOL = "slot, split, epoch(slot)::bigint as epoch, {mix} as mix, slot::date as date, storm_id, {static} as static"
+TASTE = "case when cached then 10.0::double else 0.0::double end + {}"
+WALKS = f"""{PLAN}, ak as (select *, {u('plana', 'epoch(slot)::bigint')} as random from pr where category = 'active' and retained >= 1),
+ar as (select *, row_number() over (partition by split order by retained desc, random, slot) as rn from ak),
+ap as (select {POOL.format(mix=MIX, static=f"least(retained::double, 10.0::double) * 3.0::double + ({TASTE.format('random')})")}, 0.0::double as share, case split when 'train' then 468 else 156 end as quota
+  from ar where rn <= {QA} or cached),
+{walk_sql('aw', 'ap', "case when new_date then 120.0::double else 0.0::double end + case when new_storm then 80.0::double else 0.0::double end", "18.0::double * (share - n / 1.0::double)")},
+am as (select split, mix, count(*) / (sum(count(*)) over (partition by split))::double as share from aw where won group by split, mix),
+zk as (select *, {u('planz', 'epoch(slot)::bigint')} as random from pr where category <> 'active'),
+zr as (select *, row_number() over (partition by split order by random, slot) as rn from zk),
+zq as (select {POOL.format(mix=MIX, static=TASTE.format('random'))} from zr where rn <= {QZ} or cached),
+zp as (select zq.*, coalesce(am.share, 0.0::double) as share, case zq.split when 'train' then 252 else 84 end as quota from zq left join am on zq.split = am.split and zq.mix = am.mix),
+{walk_sql('zw', 'zp', "case when new_date then 20.0::double else 0.0::double end", "100.0::double * (share - n / quota::double)")}"""
+
+
+@query("select_active", sql_with("ledger", f"""+{WALKS} select aw.split, step::bigint as pick, aw.slot as frame_time, aw.storm_id, pr.retained, pr.cached
+from aw join pr on aw.slot = pr.slot where won""", recursive=True))
 def select_active(spark, sf):
-    rows = frozen(spark, sf).where("category = 'active'")
-    return rows.select("split", "pick", "frame_time", "storm_id", "retained", "cached")
+    return pick_active(plan_rows(spark, sf), PROTOCOL).select("split", "pick", "frame_time", "storm_id", "retained", "cached")
 
 
-@query("select_zero")
+@query("select_zero", sql_with("ledger", f"""+{WALKS} select zw.split, step::bigint as pick, zw.slot as frame_time, month(zw.slot)::int as month,
+  {BLOCK.format(h='((hour(zw.slot) + 8) % 24)')} as local_time_block, pr.cached from zw join pr on zw.slot = pr.slot where won""", recursive=True))
 def select_zero(spark, sf):
-    rows = frozen(spark, sf).where("category <> 'active'")
-    return rows.select("split", "pick", "frame_time", "month", "local_time_block", "cached")
+    rows = cut(plan_rows(spark, sf))
+    out = pick_zero(rows, cut(pick_active(rows, PROTOCOL)), PROTOCOL)
+    return out.select("split", "pick", "frame_time", "month", "local_time_block", "cached")
 
 
-@query("frozen_plan")
+@query("frozen_plan", sql_with("ledger", f"""+{WALKS}, picked as (select slot from aw where won union all select slot from zw where won)
+select pr.slot as frame_time, pr.split, category, storm_id, retained, '{PROTOCOL.digest()}' as configuration_hash, 'full' as phase,
+  case when category = 'active' then 'support and diversity' else 'matched to selected active frames' end as selection_reason
+from pr join picked on pr.slot = picked.slot""", recursive=True))
 def frozen_plan(spark, sf):
-    return frozen(spark, sf).select("frame_time", "split", "category", "storm_id", "selection_reason", "phase").orderBy("frame_time")
+    columns = ["frame_time", "split", "category", "storm_id", "retained", "configuration_hash", "phase", "selection_reason"]
+    return build_plan(plan_rows(spark, sf), PROTOCOL).select(*columns)
 
 
 SUPPORT = f"""{PLAN}, su as (select split, count(*) as frames, count(*) filter (category = 'active') as active_frames, count(*) filter (category <> 'active') as zero_recorded_frames,

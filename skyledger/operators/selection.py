@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,103 +175,126 @@ def mix_key() -> Column:
     return F.concat_ws("|", "split", F.col("month").cast("string"), "local_time_block")
 
 
-def lazy_greedy(
-    pool: DataFrame, quotas: dict[str, int], bonus: dict[str, float], crowd: Callable[[str, str, int], float], batch: int = 64
-) -> list[tuple[str, int]]:
-    """Greedy picks per split for ``static + bonuses for unseen values + crowd(split, mix, picked)``.
-
-    ``pool`` has ``split, frame_time, mix, static`` and the columns of ``bonus``. Rows alike in
-    mix and in which of their values are still unseen keep their order by ``static`` while
-    picks accumulate, so Spark only returns the ``batch`` best rows of each such class. The
-    driver picks among these in exact greedy order until a row it has not seen could win:
-    such a row scores at most the class's last returned ``static`` plus the class's current
-    bonuses, which can only fall. Then the next batch is fetched. Classes are bounded by the
-    strata, so the pool never reaches the driver.
+def _text_key(column: str) -> Column:
+    """The value as a text that also keys nulls, so that they join."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def _greedy_step(values: Sequence[str], bonus: Sequence[float], scale: float, batch: int):
+    """Greedy picks among one split's best rows of every class, until a row outside of them could win.
+
+    A row outside scores at most its class's lowest ``static`` here plus what the class's rows can
+    still gain, and gains only fall.
     """
-    pool = cut(pool.select("split", F.unix_seconds("frame_time").alias("epoch"), "mix", "static", *bonus))
-    seen: dict[str, set[str]] = {c: set() for c in bonus}
-    picked: Counter = Counter()
-    taken: dict[str, list[int]] = {s: [] for s in quotas}
-    chosen: list[tuple[str, int]] = []
-    open_splits = {s for s, n in quotas.items() if n > 0}
 
-    def unseen(split: str, row: dict) -> tuple[bool, ...]:
-        return tuple(f"{split}|{row[c]}" not in seen[c] for c in bonus)
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("epoch").reset_index(drop=True)
+        flags = [rows[f"_new_{i}"].to_numpy(bool) for i in range(len(values))]
+        static, share, mix = rows["static"].to_numpy(), rows["share"].to_numpy(), rows["mix"].to_numpy()
+        per, counts = rows["_per"].to_numpy(), rows["_n"].to_numpy(float).copy()
+        keys = [rows[v].to_numpy() for v in values]
+        classes = rows.groupby(["mix", *[f"_new_{i}" for i in range(len(values))]])["static"].agg(["size", "idxmin"])
+        lowest = classes.loc[classes["size"] >= batch, "idxmin"].to_numpy()
+        start = [f[lowest].copy() for f in flags]
+        left, wanted, picks = np.ones(len(rows), bool), int(rows["_open"].iloc[0]), []
+
+        def worth(at, new) -> np.ndarray:
+            gain = np.zeros(len(at))
+            for w, f in zip(bonus, new, strict=True):
+                gain = gain + np.where(f, w, 0.0)
+            return static[at] + gain + scale * (share[at] - counts[at] / per[at])
+
+        every = np.arange(len(rows))
+        while len(picks) < wanted and left.any():
+            score = np.where(left, worth(every, flags), -np.inf)
+            best = int(score.argmax())  # the earliest epoch of equal scores
+            if picks and len(lowest) and score[best] <= worth(lowest, start).max():
+                break
+            picks.append(best)
+            left[best] = False
+            counts[mix == mix[best]] += 1
+            for i, key in enumerate(keys):
+                flags[i] &= key != key[best]
+        out = rows.loc[picks, ["split", "epoch", "mix", *values]]
+        return out.assign(pick=rows["_taken"].iloc[0] + np.arange(1, len(picks) + 1))
+
+    return step
 
-    def worth(split: str, mix: str, flags: tuple[bool, ...], static: float) -> float:
-        return static + sum(w for w, f in zip(bonus.values(), flags) if f) + crowd(split, mix, picked[mix])
 
+def lazy_greedy(
+    pool: DataFrame, quotas: dict[str, int], bonus: dict[str, float], scale: float, per_quota: bool = False, batch: int = 64
+) -> DataFrame:
+    """Greedy picks per split: ``split, epoch, pick``, the picks counted from 1.
+
+    A row is worth ``static``, the bonus of every column of ``bonus`` whose value no pick of the split
+    has yet, and ``scale * (share - n / per)``, where n is the number of picks of its ``mix`` and
+    ``per`` the split's quota (``per_quota``) or 1; equal rows go by epoch. ``pool`` has ``split,
+    frame_time, mix, share, static`` and the columns of ``bonus``. Nulls there are one value.
+
+    Picks are a table. Each round takes the pool without the picks, marks what is still new by joins
+    with the distinct values of the picks, and keeps the ``batch`` best rows of each class (mix and
+    marks): rows of a class keep their order by ``static`` while picks accumulate. One task a split
+    picks among these rows, whose number is bounded by classes times ``batch``, as long as no other
+    row could win. The driver sees the number of picks per split only.
+    """
+    spark, values = pool.sparkSession, list(bonus)
+    pool = cut(pool.select(
+        "split", F.unix_seconds("frame_time").alias("epoch"), "mix", F.col("share").cast("double"),
+        F.col("static").cast("double"), *[_text_key(c).alias(c) for c in values],
+    ))
+    kinds = ", ".join(f"{c} string" for c in values)
+    picks = spark.createDataFrame([], f"split string, epoch bigint, mix string, {kinds}, pick bigint")
+    step = _greedy_step(values, list(bonus.values()), scale, batch)
+    done = dict.fromkeys(quotas, 0)
+    open_splits = {s for s, n in quotas.items() if n > 0}
     while open_splits:
-        left = pool.where(F.col("split").isin(sorted(open_splits)))
-        used = [e for s in open_splits for e in taken[s]]
-        if used:
-            left = left.where(~F.col("epoch").isin(used))
-        flags = {}
-        for c in bonus:
-            key = F.concat_ws("|", "split", F.col(c))
-            flags[f"_{c}"] = ~key.isin(sorted(seen[c])) if seen[c] else F.lit(True)
-        top = take_per_group(left.withColumns(flags), ["split", "mix", *flags], [F.desc("static"), "epoch"], batch)
-        rows = [r.asDict() for r in top.collect()]
-        for split in sorted(open_splits):
-            mine = [r for r in rows if r["split"] == split]
-            classes: dict[tuple, list[float]] = {}
-            for r in mine:
-                classes.setdefault((r["mix"], tuple(r[f] for f in flags)), []).append(r["static"])
-            hidden = {k: min(v) for k, v in classes.items() if len(v) >= batch}
-            fresh = True
-            while mine and len(taken[split]) < quotas[split]:
-                value, _, best = max(
-                    ((worth(split, r["mix"], unseen(split, r), r["static"]), -r["epoch"], i) for i, r in enumerate(mine))
-                )
-                limit = max((worth(split, m, f, s) for (m, f), s in hidden.items()), default=float("-inf"))
-                if not fresh and value <= limit:
-                    break
-                fresh = False
-                row = mine.pop(best)
-                taken[split].append(row["epoch"])
-                chosen.append((split, row["epoch"]))
-                picked[row["mix"]] += 1
-                for c in bonus:
-                    seen[c].add(f"{split}|{row[c]}")
-            if len(taken[split]) >= quotas[split] or (not mine and not hidden):
-                open_splits.discard(split)
-    return chosen
+        targets = spark.createDataFrame(
+            [(s, quotas[s] - done[s], done[s], float(max(quotas[s], 1)) if per_quota else 1.0) for s in sorted(open_splits)],
+            "split string, _open bigint, _taken bigint, _per double",
+        )
+        left = pool.join(picks.select("split", "epoch"), ["split", "epoch"], "left_anti").join(targets, "split")
+        for i, c in enumerate(values):
+            seen = picks.select("split", c).distinct().withColumn("_seen", F.lit(True))
+            left = left.join(seen, ["split", c], "left").withColumn(f"_new_{i}", F.col("_seen").isNull()).drop("_seen")
+        marks = [f"_new_{i}" for i in range(len(values))]
+        top = take_per_group(left, ["split", "mix", *marks], [F.desc("static"), "epoch"], batch)
+        counts = picks.groupBy("split", "mix").agg(F.count(F.lit(1)).alias("_n"))
+        top = top.join(counts, ["split", "mix"], "left").fillna(0, ["_n"])
+        found = top.groupBy("split").applyInPandas(step, picks.schema)
+        picks = cut(picks.unionByName(found))
+        now = {r["split"]: r["n"] for r in picks.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+        open_splits = {s for s in open_splits if done[s] < now.get(s, 0) < quotas[s]}
+        done |= now
+    return picks.select("split", "epoch", "pick")
 
 
 def _taste() -> Column:
     return F.when(F.col("cached"), 10.0).otherwise(0.0) + F.col("random")
 
 
-def select_active(pool: DataFrame, quotas: dict[str, int]) -> list[tuple[str, int]]:
+def select_active(pool: DataFrame, quotas: dict[str, int], batch: int = 64) -> DataFrame:
     """Diversity pick: new dates and storms first, thin strata, many positives, cached, random."""
     static = F.least(F.col("retained").cast("double"), F.lit(10.0)) * 3.0 + _taste()
-    rows = pool.withColumns({"mix": mix_key(), "static": static})
-    return lazy_greedy(rows, quotas, {"date": 120.0, "storm_id": 80.0}, lambda split, mix, n: -18.0 * n)
+    rows = pool.withColumns({"mix": mix_key(), "static": static, "share": F.lit(0.0)})
+    return lazy_greedy(rows, quotas, {"date": 120.0, "storm_id": 80.0}, 18.0, batch=batch)
 
 
-def select_zero(pool: DataFrame, quotas: dict[str, int], mix: dict[str, float]) -> list[tuple[str, int]]:
-    """Match the month and time-block mix of the active frames; ``mix`` maps keys to shares."""
-    rows = pool.withColumns({"mix": mix_key(), "static": _taste()})
-    return lazy_greedy(
-        rows, quotas, {"date": 20.0},
-        lambda split, key, n: 100.0 * (mix.get(key, 0.0) - n / float(max(quotas[split], 1))),
-    )
+def select_zero(pool: DataFrame, quotas: dict[str, int], mix: DataFrame, batch: int = 64) -> DataFrame:
+    """Match the month and time-block mix of the active frames; ``mix`` has ``split, mix, share``."""
+    rows = pool.withColumns({"mix": mix_key(), "static": _taste()}).join(mix, ["split", "mix"], "left")
+    return lazy_greedy(rows.fillna(0.0, ["share"]), quotas, {"date": 20.0}, 100.0, True, batch)
 
 
-def picked_rows(pool: DataFrame, picks: list[tuple[str, int]]) -> DataFrame:
+def picked_rows(pool: DataFrame, picks: DataFrame) -> DataFrame:
     """Pool rows of the picks with their pick order."""
-    schema = "split string, _epoch bigint, pick int"
-    order = pool.sparkSession.createDataFrame([(s, e, i) for i, (s, e) in enumerate(picks)], schema)
-    return pool.withColumn("_epoch", F.unix_seconds("frame_time")).join(order, ["split", "_epoch"]).drop("_epoch")
+    return pool.withColumn("epoch", F.unix_seconds("frame_time")).join(picks, ["split", "epoch"]).drop("epoch")
 
 
-def active_mix(active: DataFrame) -> dict[str, float]:
+def active_mix(active: DataFrame) -> DataFrame:
     """Share of each (split, month, time block) among the selected frames of the split."""
-    rows = active.groupBy("split", mix_key().alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()
-    totals = Counter()
-    for r in rows:
-        totals[r["split"]] += r["n"]
-    return {r["key"]: r["n"] / totals[r["split"]] for r in rows}
+    counts = active.groupBy("split", mix_key().alias("mix")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy("split").agg(F.sum("_n").alias("_all"))
+    return counts.join(totals, "split").select("split", "mix", (F.col("_n") / F.col("_all")).alias("share"))
 
 
 def balanced_sample(df: DataFrame, order: Sequence) -> DataFrame:

@@ -2,9 +2,11 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators import selection
+from skyledger.plans import planning
 from tests.test_joins import at, km, strikes
 
 
@@ -88,12 +90,14 @@ SCHEMA = (
 )
 
 
-def test_select_active_matches_the_greedy_loop(spark, monkeypatch):
+def in_order(picks):
+    return [(r.split, r.epoch) for r in picks.orderBy("split", "pick").collect()]
+
+
+def test_select_active_matches_the_greedy_loop(spark):
     rows = candidates(400, 7)
     quotas = {"train": 60, "test": 25}
-    real = selection.lazy_greedy
-    monkeypatch.setattr(selection, "lazy_greedy", lambda *a, **k: real(*a, **{**k, "batch": 3}))
-    picks = selection.select_active(spark.createDataFrame(rows, SCHEMA), quotas)
+    picks = in_order(selection.select_active(spark.createDataFrame(rows, SCHEMA), quotas, batch=3))
     for split, n in quotas.items():
         left, dates, storms, mix, want = [r for r in rows if r[0] == split], Counter(), Counter(), Counter(), []
         for _ in range(n):
@@ -111,7 +115,8 @@ def test_select_zero_matches_the_greedy_loop(spark):
     rows = candidates(300, 8)
     quotas = {"train": 40, "test": 10}
     mix = {f"{s}|{m}|{b}": 1 / 12 for s in quotas for m in (1, 2, 3) for b in "abc"}
-    picks = selection.select_zero(spark.createDataFrame(rows, SCHEMA), quotas, mix)
+    shares = spark.createDataFrame([(k[: k.index("|")], k, v) for k, v in mix.items()], "split string, mix string, share double")
+    picks = in_order(selection.select_zero(spark.createDataFrame(rows, SCHEMA), quotas, shares))
     for split, n in quotas.items():
         left, dates, seen, want = [r for r in rows if r[0] == split], set(), Counter(), []
         for _ in range(n):
@@ -124,6 +129,31 @@ def test_select_zero_matches_the_greedy_loop(spark):
         assert [e for s, e in picks if s == split] == want
 
 
+def test_greedy_with_nulls_ties_small_pools_and_no_rows(spark):
+    t = datetime(2024, 1, 1)
+    rows = [("train", t + timedelta(minutes=10 * i), None, None, 1, "a", False, 1, 0.5) for i in range(5)]
+    pool = spark.createDataFrame(rows, SCHEMA)
+    got = selection.select_active(pool, {"train": 9, "val": 3, "none": 0}, batch=1).orderBy("pick").collect()
+    assert [(r.split, r.pick) for r in got] == [("train", i) for i in range(1, 6)]
+    assert [r.epoch for r in got] == sorted(r.epoch for r in got)
+    assert selection.select_active(pool.where("false"), {"train": 9}).count() == 0
+
+
+def test_a_frozen_plan_is_guarded(spark):
+    rows = spark.createDataFrame(
+        [(*r, "active" if i % 2 else "zero_recorded") for i, r in enumerate(candidates(200, 9))], SCHEMA + ", category string"
+    ).drop("random")
+    protocol = planning.Protocol({"train": (10, 5), "test": (4, 2)})
+    plan = planning.frozen_plan(rows, protocol).cache()
+    digest = planning.plan_digest(plan)
+    assert plan.count() == 21 and planning.plan_digest(plan.repartition(7)) == digest
+    assert planning.require_frozen(plan, protocol, digest) is plan
+    with pytest.raises(ValueError, match="changed"):
+        planning.require_frozen(plan.where("pick > 1"), protocol, digest)
+    with pytest.raises(ValueError, match="protocol"):
+        planning.require_frozen(plan, planning.Protocol({"train": (10, 6)}), digest)
+
+
 def test_early_stop(spark):
     losses = [(1, 0.5, 0.9), (2, 0.6, 0.8), (3, 0.6, 0.7), (4, 0.6, 0.7), (5, 0.5, 0.1), (6, 0.4, 0.1), (7, 0.9, 0.1)]
     df = spark.createDataFrame([("r", *x) for x in losses], "run string, epoch bigint, pr_auc double, loss double")
