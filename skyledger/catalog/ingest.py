@@ -142,8 +142,11 @@ def prediction_scan(spark, sf):
 
 @query("manifest_sink", sql_with("predictions", "select split, count(*) as rows from predictions group by split"))
 def manifest_sink(spark, sf):
-    path = files.write_versioned(A.predictions(spark, sf), scratch_path(spark, "manifest"), "v1", "split")
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    root, rows = scratch_path(spark, "manifest"), A.predictions(spark, sf)
+    checks = {"partition_by": ["split"], "keys": ["run_name", "path"], "required": ["label", "split"]}
+    files.publish(rows.where("split = 'test'"), root, "v1", **checks)
+    files.publish(rows, root, "v2", **checks)
+    return files.current(spark, root).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("ledger_json_sink", sql_with("ledger", """select '{"records":' || count(*) || ',"categories":{"active":' || count(*) filter (category = 'active')

@@ -149,11 +149,8 @@ done as (select p.frame_id, case when {u('d1', 'p.frame_id')} < 0.1::double then
   from planned p cross join range(3) r(k) where {u('d0', 'p.frame_id')} < 0.7::double)"""
 
 
-@query("pending_frames", sql_with("ground", f"""+{PLANNED},
-ok as (select d.frame_id from done d join planned p on d.frame_id = p.frame_id group by d.frame_id
-  having bool_and(d.split = p.split and d.bands = 'B08+B13+B15' and d.segments = '05+06' and d.window_start = p.window_start and d.window_end = p.window_end and d.path <> ''))
-select frame_id, split from planned where frame_id not in (select frame_id from ok)"""))
-def pending_frames(spark, sf):
+def planned_and_done(spark, sf):
+    """Planned frames, and rows of an earlier build that is wrong here and there."""
     t = F.col("frame_time")
     planned = ground_frames(spark, sf).select(
         timegrid.frame_id(t).alias("frame_id"), t.alias("window_start"), timegrid.plus_minutes(t, 10).alias("window_end"),
@@ -166,9 +163,32 @@ def pending_frames(spark, sf):
         F.when(uniform("d3", "frame_id") < 0.1, F.col("window_start")).otherwise(F.col("window_end")).alias("window_end"),
         F.when(uniform("d4", "frame_id", "k") < 0.02, "").otherwise(F.concat_ws("_", F.concat(F.lit("p/"), "frame_id"), F.col("k").cast("string"))).alias("path"),
     )
+    return planned, done
+
+
+@query("pending_frames", sql_with("ground", f"""+{PLANNED},
+ok as (select d.frame_id from done d join planned p on d.frame_id = p.frame_id group by d.frame_id
+  having bool_and(d.split = p.split and d.bands = 'B08+B13+B15' and d.segments = '05+06' and d.window_start = p.window_start and d.window_end = p.window_end and d.path <> ''))
+select frame_id, split from planned where frame_id not in (select frame_id from ok)"""))
+def pending_frames(spark, sf):
+    planned, done = planned_and_done(spark, sf)
     return planning.pending_frames(planned, done, "B08+B13+B15", "05+06").select("frame_id", "split")
 
 
+@query("resumed_manifest", sql_with("ground", f"""+{PLANNED},
+ok as (select d.frame_id from done d join planned p on d.frame_id = p.frame_id group by d.frame_id
+  having bool_and(d.split = p.split and d.bands = 'B08+B13+B15' and d.segments = '05+06' and d.window_start = p.window_start and d.window_end = p.window_end and d.path <> ''))
+select d.frame_id, d.split, d.path, true as kept from done d join ok on d.frame_id = ok.frame_id
+union all select frame_id, split, 'again/' || frame_id, false from planned where frame_id not in (select frame_id from ok)"""))
+def resumed_manifest(spark, sf):
+    planned, done = planned_and_done(spark, sf)
+    redone = planned.withColumns({
+        "bands": F.lit("B08+B13+B15"), "segments": F.lit("05+06"), "path": F.concat(F.lit("again/"), "frame_id"),
+    })
+    out = planning.resumed_manifest(planned, done, redone, "B08+B13+B15", "05+06")
+    return out.select("frame_id", "split", "path", "kept")
+
+
 @query("target_assignment", sql_with("calendar ground", f"""+z as (select slot, case when slot <= timestamp '2024-01-21 23:59:59' then 'train' when slot <= timestamp '2024-01-25 23:59:59' then 'val' else 'test' end as split
   from calendar where slot not in (select slot from ground)),
 n as (select z.slot, z.split, k.k, row_number() over (partition by split order by slot, k.k) - 1 as i from z cross join range(2) k(k)),

@@ -178,19 +178,30 @@ def reconcile_splits(df: DataFrame, split: Column) -> DataFrame:
     return df.withColumn("new_split", split).withColumn("changed", ~F.col("split").eqNullSafe(F.col("new_split")))
 
 
+def complete_frames(planned: DataFrame, completed: DataFrame, bands: str, segments: str) -> DataFrame:
+    """Identifiers of planned frames all of whose rows agree in split, bands, segments, window and paths."""
+    wanted = planned.select(
+        "frame_id", F.col("split").alias("_split"), F.col("window_start").alias("_ws"), F.col("window_end").alias("_we")
+    )
+    agrees = (
+        (F.col("split") == F.col("_split")) & (F.col("bands") == bands) & (F.col("segments") == segments)
+        & (F.col("window_start") == F.col("_ws")) & (F.col("window_end") == F.col("_we")) & (F.col("path") != "")
+    )
+    rows = completed.join(wanted, "frame_id").groupBy("frame_id")
+    return rows.agg(F.bool_and(F.coalesce(agrees, F.lit(False))).alias("ok")).where("ok").select("frame_id")
+
+
 def pending_frames(planned: DataFrame, completed: DataFrame, bands: str, segments: str) -> DataFrame:
     """Planned frames without a completed manifest that agrees in split, bands, segments and paths."""
-    wanted = planned.select("frame_id", "split", "window_start", "window_end")
-    rows = completed.join(wanted.select(
-        "frame_id", F.col("split").alias("_split"), F.col("window_start").alias("_ws"), F.col("window_end").alias("_we")
-    ), "frame_id")
-    consistent = rows.groupBy("frame_id").agg(
-        F.bool_and(
-            (F.col("split") == F.col("_split")) & (F.col("bands") == bands) & (F.col("segments") == segments)
-            & (F.col("window_start") == F.col("_ws")) & (F.col("window_end") == F.col("_we"))
-            & F.col("path").isNotNull() & (F.col("path") != "")
-        ).alias("ok")
-    ).where("ok").select("frame_id")
-    return planned.join(consistent, "frame_id", "left_anti")
+    return planned.join(complete_frames(planned, completed, bands, segments), "frame_id", "left_anti")
+
 
+def resumed_manifest(planned: DataFrame, completed: DataFrame, redone: DataFrame, bands: str, segments: str) -> DataFrame:
+    """The manifest after a resumed build: rows of complete frames as they were, all others from ``redone``.
 
+    Rows of incomplete or unplanned frames go, and so do redone rows of frames that needed no work.
+    """
+    whole = complete_frames(planned, completed, bands, segments)
+    fresh = redone.join(planned.select("frame_id"), "frame_id", "left_semi").join(whole, "frame_id", "left_anti")
+    kept = completed.join(whole, "frame_id", "left_semi").withColumn("kept", F.lit(True))
+    return kept.unionByName(fresh.withColumn("kept", F.lit(False)))

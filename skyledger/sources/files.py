@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,6 +150,66 @@ def write_versioned(df: DataFrame, root: str, version: str, *partition_by: str)
     return path
 
 
+_LOG = "sequence bigint, version string, path string, rows bigint"
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """The published versions of a table, oldest first by ``sequence``; no rows where there is none yet."""
+    try:
+        return spark.read.schema(_LOG).parquet(f"{root.rstrip('/')}/_published")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the version published last."""
+    last = versions(spark, root).orderBy(F.desc("sequence")).first()
+    if last is None:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return spark.read.parquet(last["path"])
+
+
+def faults(df: DataFrame, keys: Sequence[str], required: Sequence[str]) -> dict[str, int]:
+    """Rows that break a rule: nulls in required columns (the keys included) and rows beyond one a key."""
+    needed = list(dict.fromkeys([*keys, *required]))
+    absent = [c for c in needed if c not in df.columns]
+    if absent:
+        raise ValueError(f"missing columns: {', '.join(absent)}")
+    nulls = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in needed])
+    out = nulls.first().asDict()
+    if keys:
+        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        out["repeated"] = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
+    return out
+
+
+def publish(
+    df: DataFrame, root: str, version: str, partition_by: Sequence[str] = (), keys: Sequence[str] = (), required: Sequence[str] = ()
+) -> str:
+    """Write a new version, check the rows that are on disk, and only then make it the current one.
+
+    The rows go to a folder of this attempt; a write or a check that fails leaves the published
+    versions as they were, and a later attempt does not meet its remains. Publishing appends one row
+    to the log, which Spark commits as one file. Old versions stay readable. A table without rows is
+    refused. One writer at a time publishes to a root.
+    """
+    spark, log = df.sparkSession, f"{root.rstrip('/')}/_published"
+    known = versions(spark, root)
+    if known.where(F.col("version") == version).limit(1).count():
+        raise ValueError(f"version {version} is already published")
+    path = write_versioned(df, root, f"{version}-{uuid.uuid4().hex[:12]}", *partition_by)
+    found = faults(spark.read.schema(df.schema).parquet(path), keys, required)
+    rows = found.pop("rows")
+    broken = {k: n for k, n in found.items() if n}
+    if broken or not rows:
+        raise ValueError(f"version {version} is not published: {broken or 'no rows'}")
+    number = known.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("n")).first()["n"] + 1
+    spark.createDataFrame([(number, version, path, rows)], _LOG).coalesce(1).write.mode("append").parquet(log)
+    return path
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free content hash: row count and summed 60-bit md5 heads of the rows.
 

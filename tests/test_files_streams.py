@@ -4,6 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import planning
 from skyledger.session import scratch_path
 from skyledger.sources import files
 from skyledger.streaming import ingest
@@ -93,3 +94,43 @@ def test_stream_dedup_and_join(spark):
         ingest.label_join(frames, ingest.strike_stream(spark, src, schema)), scratch_path(spark, "o"), scratch_path(spark, "c")
     )
     assert [r.ts for r in pairs.collect()] == [at(12)]
+
+
+def test_a_broken_publication_leaves_the_published_version(spark, tmp_path):
+    root = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        files.current(spark, root)
+    good = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("split"))
+    checks = {"partition_by": ["split"], "keys": ["id"], "required": ["split"]}
+    files.publish(good, root, "v1", **checks)
+
+    torn = good.withColumn("id", F.when(F.col("id") == 99, F.raise_error(F.lit("disk gone")).cast("bigint")).otherwise(F.col("id")))
+    for rows, error in (
+        (torn, Exception), (good.union(good.limit(1)), ValueError), (good.where("false"), ValueError),
+        (good.withColumn("split", F.when(F.col("id") != 5, F.col("split"))), ValueError), (good.drop("id"), ValueError),
+    ):
+        with pytest.raises(error):
+            files.publish(rows, root, "v2", **({**checks, "partition_by": []}))
+        assert files.current(spark, root).count() == 100
+    with pytest.raises(ValueError, match="already"):
+        files.publish(good, root, "v1", **checks)
+
+    files.publish(good.where("id < 10"), root, "v2", **checks)  # the remains of broken attempts are not in its way
+    assert files.current(spark, root).count() == 10
+    log = files.versions(spark, root).orderBy("sequence").collect()
+    assert [(r.sequence, r.version, r.rows) for r in log] == [(1, "v1", 100), (2, "v2", 10)]
+    assert spark.read.parquet(log[0].path).count() == 100
+
+
+def test_resumed_manifest_drops_stale_rows(spark):
+    kinds = "frame_id string, split string, window_start int, window_end int"
+    planned = spark.createDataFrame([(f, "train", 0, 10) for f in "abcd"], kinds)
+    row = kinds + ", bands string, segments string, path string"
+    done = spark.createDataFrame([
+        ("a", "train", 0, 10, "B", "S", "a1"), ("a", "train", 0, 10, "B", "S", "a2"), ("b", "train", 0, 10, "B", "S", "b1"),
+        ("b", "train", 0, 10, "B", "S", None), ("c", "val", 0, 10, "B", "S", "c1"), ("z", "train", 0, 10, "B", "S", "z1"),
+    ], row)
+    redone = spark.createDataFrame([(f, "train", 0, 10, "B", "S", f"{f}9") for f in "abcdz"], row)
+    got = planning.resumed_manifest(planned, done, redone, "B", "S").collect()
+    assert sorted((r.path, r.kept) for r in got) == [("a1", True), ("a2", True), ("b9", False), ("c9", False), ("d9", False)]
+    assert planning.pending_frames(planned, done.where("false"), "B", "S").count() == 4
