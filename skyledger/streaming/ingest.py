@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import timegrid
+from skyledger.session import cut
 
 LATENESS = "30 minutes"
 
@@ -58,27 +60,45 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+_LEDGER = "frame_time timestamp, day date, batch bigint"
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What the ledger holds; no rows before its first batch. A ledger that is there must be readable."""
+    try:
+        return spark.read.schema(_LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LEDGER)
+
+
+def known_frames(spark: SparkSession, path: str, batch_id: int, days: list) -> DataFrame:
+    """Frames that other batches wrote on these days; only the folders of the days are read."""
+    rows = _ledger(spark, path)
+    return rows.where(F.col("day").isin(days) & (F.col("batch") != batch_id)).select("frame_time", "day")
 
 
 def append_new_frames(frames: DataFrame, ledger: str, checkpoint: str) -> DataFrame:
     """Append frames the ledger does not hold yet; safe to restart and to replay a batch.
 
-    Each batch owns one sub-folder of the ledger, so a replay overwrites its own rows only.
+    The ledger is partitioned by day and batch. A batch is compared with the days it touches (at most
+    144 frames each), however long the ledger is and however late a frame arrives; a replay
+    overwrites its own folders only, since the same batch has the same days.
     """
     spark = frames.sparkSession
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("frame_time").distinct()
-        if _exists(spark, ledger):  # a ledger that is there must be readable
-            done = spark.read.parquet(ledger).where(F.col("batch") != batch_id).select("frame_time")
-            new = new.join(done, "frame_time", "left_anti")
-        new.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        new = cut(batch.select("frame_time", F.to_date("frame_time").alias("day")).where("frame_time is not null").distinct())
+        days = [r["day"] for r in new.select("day").distinct().collect()]  # calendar days, not rows
+        if not days:
+            return
+        fresh = new.join(known_frames(spark, ledger, batch_id, days), ["frame_time", "day"], "left_anti")
+        out = fresh.withColumn("batch", F.lit(batch_id).cast("bigint")).repartition("day")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(ledger)
 
     query = (
         frames.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(ledger).select("frame_time")
+    return _ledger(spark, ledger).select("frame_time")

@@ -82,6 +82,19 @@ def test_stream_ledger_restarts(spark):
     assert run() == [at(0), at(20), at(40)]
 
 
+def test_a_batch_reads_its_own_days_of_the_ledger(spark):
+    ledger = scratch_path(spark, "led")
+    assert ingest.known_frames(spark, ledger, 3, [BASE.date()]).count() == 0
+    rows = spark.range(300).select((F.lit(BASE) + F.make_dt_interval(days=F.col("id"))).alias("frame_time"))
+    old = rows.withColumns({"day": F.to_date("frame_time"), "batch": (F.col("frame_time") == F.lit(BASE)).cast("bigint")})
+    old.coalesce(1).write.partitionBy("day", "batch").parquet(ledger)
+    days = [(BASE + timedelta(days=d)).date() for d in (0, 7, 299)]
+    assert ingest.known_frames(spark, ledger, 3, days).count() == 3
+    assert ingest.known_frames(spark, ledger, 1, days).count() == 2  # a replay ignores its own rows
+    scan = ingest.known_frames(spark, ledger, 3, days)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "day#" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_stream_dedup_and_join(spark):
     src = scratch_path(spark, "src")
     schema = strikes(spark, [(0, 1.0, 100.0)]).schema
