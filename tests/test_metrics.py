@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -73,6 +74,25 @@ def test_bootstrap_of_one_cluster_is_the_estimate(spark):
     assert got["accuracy"] == (0.5, 0.5, 20)
 
 
+def test_replicates_meet_draws_as_vectors_not_as_rows(spark):
+    # repeated clusters, two groups, a null cluster (it is drawn but has no rows to weigh)
+    raw = [("a", f"c{i % 7}", i % 3 % 2, (i % 5) / 5) for i in range(60)] + [("b", None if i < 3 else f"c{i}", i % 2, i / 9) for i in range(9)]
+    df = spark.createDataFrame(raw, "run string, c string, label int, probability double").withColumn("threshold", F.lit(0.5))
+    counts = metrics.score_counts(df.withColumn("cluster", F.col("c")), ["run", "cluster", "threshold"])
+    clusters, draws = metrics.bootstrap_draws(df, ["run"], "c", 30, "boot")
+    got = metrics.clustered_counts(counts, clusters, draws, ["run", "threshold", "score"], 30)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    times, named = collections.Counter((r.id, r.replicate) for r in draws.collect()), {r.id: (r.run, r.cluster) for r in clusters.collect()}
+    assert sum(times.values()) == 30 * len(named) == 30 * 14
+    want = collections.Counter()
+    for (number, replicate), n in times.items():
+        for run, c, label, p in raw:
+            if (run, c) == named[number] and c is not None:
+                want[run, p, replicate, label] += n
+    have = {(r.run, r.score, r.replicate, y): v for r in got.collect() for y, v in ((1, r.pos), (0, r.neg)) if v}
+    assert have == dict(want)
+
+
 def test_temperature(spark):
     # logits twice too large: half the odds of the labels
     pairs = [(1, 2.0)] * 73 + [(0, 2.0)] * 27 + [(0, -2.0)] * 73 + [(1, -2.0)] * 27
