@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import geo, timegrid
+from skyledger.session import cut
 
 CELL, SUB = 0.75, 0.02
 QUERY = ["frame_time", "lat", "lon", "start_min", "end_min", "margin_km"]
@@ -179,26 +180,38 @@ def nearest(asked: DataFrame, strikes: DataFrame, radius: float = geo.RADIUS_KM)
     """Distance and signed minutes of the nearest event in the window, per distinct query.
 
     Branch and bound: cells and then sub-cells whose lower distance bound exceeds the best
-    upper bound of the query are dropped before single events are read.
+    upper bound of the query are dropped before single events are read. A window's cells, and a
+    cell's sub-cells, are arrays that a query filters in its own row; only what is kept becomes rows.
     """
     points = _points(strikes)
-    queries = asked.select(*QUERY).distinct().join(_windows(asked), WINDOW)
-    per_query = Window.partitionBy(*QUERY)
+    nested = cut(_cells(points))
+    windows = _windows(asked)
+    extent = F.struct("bin", "cy", "cx", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "t_lo", "t_hi")
+    cells = windows.join(nested.drop("subs", "n"), "bin").groupBy(*WINDOW, "t0", "t1").agg(F.collect_list(extent).alias("cells"))
+
+    def kept(array: str) -> Column:
+        """Parts of the array that may hold the nearest event."""
+        def bounded(c: Column) -> Column:
+            lower, upper = geo.box_distance_bounds(F.col("lat"), F.col("lon"), *[c[e] for e in ("lat_lo", "lat_hi", "lon_lo", "lon_hi")], radius)
+            # an upper bound only counts when the extent surely holds an event of the window
+            sure = (c["t_lo"] >= F.col("t0")) & (c["t_hi"] < F.col("t1"))
+            return F.struct(c.alias("c"), lower.alias("lower"), F.when(sure, upper).alias("upper"))
+
+        live = F.filter(array, lambda c: (c["t_hi"] >= F.col("t0")) & (c["t_lo"] < F.col("t1")))
+        def within(rows: Column, best: Column) -> Column:
+            return F.filter(rows, lambda x: best.isNull() | (x["lower"] <= best + SLACK_KM))
+
+        # lambdas bind the bounds and the best of them, so that each is found once
+        return F.flatten(F.transform(F.array(F.transform(live, bounded)), lambda rows: F.flatten(F.transform(
+            F.array(F.array_min(F.transform(rows, lambda x: x["upper"]))),
+            lambda best: F.transform(within(rows, best), lambda x: x["c"]),
+        ))))
 
-    def bounded(df: DataFrame) -> DataFrame:
-        lower, upper = geo.box_distance_bounds(*[F.col(c) for c in ("lat", "lon", "lat_lo", "lat_hi", "lon_lo", "lon_hi")], radius)
-        # an upper bound only counts when the extent surely holds an event of the window
-        sure = (F.col("t_lo") >= F.col("t0")) & (F.col("t_hi") < F.col("t1"))
-        return (
-            df.where((F.col("t_hi") >= F.col("t0")) & (F.col("t_lo") < F.col("t1")))
-            .withColumns({"_lower": lower, "_upper": F.when(sure, upper)})
-            .withColumn("_best", F.min("_upper").over(per_query))
-            .where(F.col("_best").isNull() | (F.col("_lower") <= F.col("_best") + SLACK_KM))
-        )
-
-    cells = bounded(queries.join(_cells(points), "bin"))
     base = [*QUERY, "t0", "t1", "bin"]
-    subs = bounded(cells.select(*base, F.explode("subs").alias("s")).select(*base, "s.*")).select(*base, "sy", "sx")
+    near = asked.select(*QUERY).distinct().join(cells, WINDOW).withColumn("c", F.explode(kept("cells"))).select(
+        *QUERY, "t0", "t1", "c.bin", "c.cy", "c.cx")
+    inner = near.join(nested.select("bin", "cy", "cx", "subs"), ["bin", "cy", "cx"])
+    subs = inner.withColumn("s", F.explode(kept("subs"))).select(*base, "s.sy", "s.sx")
     km = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), radius)
     found = subs.join(points, ["bin", "sy", "sx"]).where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
     best = found.groupBy(*QUERY).agg(F.min(F.struct(km.alias("km"), "t", "p_lat", "p_lon")).alias("b"))

@@ -84,3 +84,13 @@ def test_label_exists(spark):
     patches = spark.createDataFrame([(v,) for v in (1.5, 1.51, 2.49, 2.5, 3.0, 4.41, 5.39, 5.4)], "lat double")
     got = {r.lat: r.label for r in joins.label_exists(patches, events).collect()}
     assert got == {v: int(abs(v - 2.0) < 0.5 or abs(v - 4.9) < 0.5) for v in got}
+
+
+def test_nearest_sends_only_kept_cells(spark):
+    # one query and 48 cells with an event each: one or two cells may hold the nearest
+    events = strikes(spark, [(5, 0.3 + 0.75 * a, 0.3 + 0.75 * o) for a in range(6) for o in range(8)])
+    df = spark.createDataFrame([("c", at(0), 0.31, 0.31)], "candidate_id string, frame_time timestamp, lat double, lon double")
+    asked = joins.with_query(df, -20, 30, 0.0)
+    found = joins.nearest(asked, events)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # no query meets all cells as rows
+    assert abs(found.first().nearest_distance_km - km(0.3, 0.3, 0.31, 0.31)) < 1e-6
