@@ -46,6 +46,11 @@ def with_images(frames: DataFrame, images: DataFrame, pixels: DataFrame) -> Data
     return cut(seen)  # read several times, and a table is one row of a frame
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that are few bytes but much work, spread over all tasks: a number that is given is not coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def covered(placed: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows whose crop lost at most ``MAX_BLACK`` of its pixels; ``dark`` is dropped.
 
@@ -55,12 +60,49 @@ def covered(placed: DataFrame, size: int = SIZE) -> DataFrame:
     return cut(placed.where(raster.dark_pixels(F.col("crop"), F.col("dark")) <= MAX_BLACK * size * size).drop("dark"))
 
 
+# a grid cell is tested in PARTS x PARTS parts; all their bits set mean that no centre of the cell is clear
+PARTS = 5
+WHOLE = 2 ** (PARTS * PARTS) - 1
+BOX = SIZE * DEGREES / 2 + NEGATIVE_WINDOW[2] / geo.KM_PER_DEGREE
+
+
+def _cell_key(row: Column, col: Column) -> Column:
+    return (row * 1000 + col).cast("int")
+
+
+def blocked_parts(frames: DataFrame, strikes: DataFrame, mask=geo.MASK, tile: float = 0.25) -> DataFrame:
+    """(frame_time, blocked): per grid cell a bit for each part that lies whole in the box of an event of the window.
+
+    No draw in such a part is clear. One event stands for its tile and ten minutes, so that crowds
+    cost no more; what it leaves open is still tested exactly.
+    """
+    def reach(value: str, low: float, high: float) -> Column:
+        """Cells (number, bits of their parts) that the event's box covers along one axis."""
+        cells = []
+        for i in range(math.ceil((high - low) / GRID)):
+            a, b = low + i * GRID, min(low + (i + 1) * GRID, high)
+            ends = [(a + (b - a) * k / PARTS, a + (b - a) * (k + 1) / PARTS) for k in range(PARTS)]
+            bits = sum(F.when(F.greatest(F.abs(F.col(value) - p), F.abs(F.col(value) - q)) <= BOX - 1e-9, 1 << k).otherwise(0) for k, (p, q) in enumerate(ends))
+            cells.append(F.when(bits > 0, F.struct(F.lit(i).alias("i"), bits.alias("bits"))))
+        return F.array_compact(F.array(*cells))
+
+    spot = [timegrid.slot_number(F.col("ts")).alias("s"), F.floor(F.col("lat") / tile).alias("a"), F.floor(F.col("lon") / tile).alias("o")]
+    events = strikes.groupBy(*spot).agg(F.min(F.struct("ts", "lat", "lon")).alias("e")).select("e.*")
+    spans = cut(events.select("ts", reach("lat", mask.lat_min, mask.lat_max).alias("rows"), reach("lon", mask.lon_min, mask.lon_max).alias("cols")))
+    near = joins.window_join(dealt(frames.select("frame_time").distinct()), spans, *NEGATIVE_WINDOW[:2])
+    cells = near.withColumn("r", F.explode("rows")).withColumn("c", F.explode("cols"))
+    bits = sum(F.when(F.getbit(F.col("r.bits"), F.lit(k)) == 1, F.shiftleft(F.col("c.bits"), PARTS * k)).otherwise(0) for k in range(PARTS))
+    masks = cells.groupBy("frame_time", _cell_key(F.col("r.i"), F.col("c.i")).alias("cell")).agg(F.bit_or(bits).alias("bits"))
+    return masks.groupBy("frame_time").agg(F.map_from_entries(F.collect_list(F.struct("cell", "bits"))).alias("blocked"))
+
+
 def _levels(mask=geo.MASK) -> Column:
     """Cells to try for a target, without those that cannot hold a usable centre.
 
-    A cell is dropped when it misses the mask, when all its centres fall outside the image, or
-    when the target is itself an event of the frame whose box covers the whole cell. Every
-    draw in such a cell fails, so dropping it changes no result.
+    A cell is dropped when it misses the mask, when all its centres fall outside the image,
+    when the target is itself an event of the frame whose box covers the whole cell, or when
+    the events of the window block all its parts. Every draw in such a cell fails, so dropping
+    it changes no result.
     """
     row = F.floor((F.col("t_lat") - mask.lat_min) / GRID)
     col = F.floor((F.col("t_lon") - mask.lon_min) / GRID)
@@ -75,11 +117,14 @@ def _levels(mask=geo.MASK) -> Column:
         reachable = (x_high >= half) & (x_low < mask.width - half) & (y_high >= half) & (y_low < mask.height - half)
         reach_lat = F.greatest(F.abs(lat_low - F.col("t_lat")), F.abs(lat_high - F.col("t_lat")))
         reach_lon = F.greatest(F.abs(lon_low - F.col("t_lon")), F.abs(lon_high - F.col("t_lon")))
-        box = SIZE * DEGREES / 2 + NEGATIVE_WINDOW[2] / geo.KM_PER_DEGREE
-        smothered = F.col("own") & (reach_lat <= box) & (reach_lon <= box)
+        smothered = F.col("own") & (reach_lat <= BOX) & (reach_lon <= BOX)
+        blocked = F.coalesce(F.try_element_at("blocked", _cell_key(row + dy, col + dx)), F.lit(0))
         cells.append(F.when(
-            (lat_low < lat_high) & (lon_low < lon_high) & reachable & ~smothered,
-            F.struct(F.lit(level).alias("level"), lat_low.alias("la"), lat_high.alias("lb"), lon_low.alias("oa"), lon_high.alias("ob")),
+            (lat_low < lat_high) & (lon_low < lon_high) & reachable & ~smothered & (blocked != WHOLE),
+            F.struct(
+                F.lit(level).alias("level"), lat_low.alias("la"), lat_high.alias("lb"), lon_low.alias("oa"), lon_high.alias("ob"),
+                blocked.alias("blocked"),
+            ),
         ))
     return F.array_compact(F.array(*cells))
 
@@ -88,13 +133,15 @@ def _usable(targets: DataFrame, strikes: DataFrame, first: int, last: int | None
     """Usable draws ``low..high`` in the ``first..last`` live cells of each target."""
     cells = F.slice("levels", first, last - first + 1) if last else F.slice("levels", first, len(OFFSETS))
     spread = (
-        targets.withColumn("c", F.explode(cells))
+        dealt(targets).withColumn("c", F.explode(cells))
         .withColumn("draw", F.explode(F.sequence(F.lit(low), F.lit(high))))
     )
     key = [F.unix_seconds("frame_time"), F.col("number"), F.col("c.level"), F.col("draw")]
-    lat = F.col("c.la") + (F.col("c.lb") - F.col("c.la")) * uniform("mla", *key)
-    lon = F.col("c.oa") + (F.col("c.ob") - F.col("c.oa")) * uniform("mlo", *key)
-    drawn = spread.select("frame_time", "number", "dark", F.col("c.level").alias("level"), "draw", lat.alias("lat"), lon.alias("lon"))
+    up, along = uniform("mla", *key), uniform("mlo", *key)
+    lat = F.col("c.la") + (F.col("c.lb") - F.col("c.la")) * up
+    lon = F.col("c.oa") + (F.col("c.ob") - F.col("c.oa")) * along
+    part = (F.floor(up * PARTS) * PARTS + F.floor(along * PARTS)).cast("int")
+    drawn = spread.where(F.getbit(F.col("c.blocked"), part) == 0).select("frame_time", "number", "dark", F.col("c.level").alias("level"), "draw", lat.alias("lat"), lon.alias("lon"))
     half = SIZE // 2
     mask = geo.MASK
     inside = (
@@ -120,7 +167,8 @@ def matched_negatives(targets: DataFrame, strikes: DataFrame) -> DataFrame:
     of their ``n`` targets, which always suffices.
     """
     key = ["frame_time", "number"]
-    targets = cut(targets.withColumn("levels", _levels()))
+    targets = cut(targets)
+    targets = cut(targets.join(blocked_parts(targets, strikes), "frame_time", "left").withColumn("levels", _levels()).drop("blocked"))
     order = F.struct("level", "draw", "lat", "lon", "x", "y", "crop")
     stages = [(1, 1, 1, 20), (1, 2, 1, DRAWS), (1, None, 1, DRAWS)]
     waiting, found = targets, None

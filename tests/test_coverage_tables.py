@@ -1,11 +1,12 @@
 """Summed-area tables of black pixels, and what follows from them for crops and frames."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import raster
+from skyledger.operators import joins, raster
 from skyledger.plans import labels
 
 
@@ -71,3 +72,23 @@ def test_frames_without_an_image_fail(spark):
     strikes = spark.createDataFrame([], "ts timestamp, lat double, lon double, solution_key string")
     rows = labels.natural_labels(seen, strikes).groupBy("outcome").count().collect()
     assert {r["outcome"]: r["count"] for r in rows} == {"negative": 12, "failed": 1}
+
+
+def test_blocked_parts_hold_no_clear_centre_and_drop_cells(spark):
+    moment = datetime(2024, 1, 1, 0, 10)
+    events = [(f"s{i}", moment + timedelta(minutes=m), la, lo) for i, (m, la, lo) in enumerate([
+        (0, 3.9, 101.9), (-25, 2.9, 103.9), (-20, 6.79, 104.39), (29, 1.2, 99.7), (30, 5.0, 103.0), (5, None, 102.0), (3, 3.9, 101.9)])]
+    strikes = spark.createDataFrame(events, "solution_key string, ts timestamp, lat double, lon double")
+    frame = spark.createDataFrame([(moment,)], "frame_time timestamp")
+    blocked = labels.blocked_parts(frame, strikes).first()["blocked"]
+    # the cell of (3.9, 101.9) lies whole in the box of its event; events outside of the window block nothing
+    assert blocked[5 * 1000 + 4] == labels.WHOLE and 3 * 1000 + 8 not in blocked and 7 * 1000 + 6 not in blocked
+    centres = [
+        (moment, r, c, k, 1.2 + (r + (k // 5 + v) / 5) * 0.5, 99.7 + (c + (k % 5 + v) / 5) * 0.5)
+        for r in range(11) for c in range(9) for k in range(25) for v in (0.001, 0.999) if blocked.get(r * 1000 + c, 0) >> k & 1
+    ]
+    df = spark.createDataFrame(centres, "frame_time timestamp, r int, c int, k int, lat double, lon double")
+    assert len(centres) > 500 and joins.patch_clear(df, strikes, *labels.NEGATIVE_WINDOW).where("clear").count() == 0
+    target = frame.selectExpr("frame_time", "3.9D as t_lat", "101.9D as t_lon", "false as own")
+    seen = target.join(labels.blocked_parts(frame, strikes), "frame_time").select(labels._levels().alias("levels")).first()["levels"]
+    assert 0 not in [x["level"] for x in seen] and len(seen) > 0
