@@ -242,7 +242,8 @@ def scan_predictions(spark: SparkSession, root: str) -> DataFrame:
         .withColumn("run_name", F.regexp_extract("_metadata.file_path", "run_name=([^/]+)", 1))
     )
     threshold = rows.groupBy("run_name").agg(F.min("threshold").alias("threshold"))
-    return rows.drop("threshold").join(threshold, "run_name")
+    # one row per run: the predictions stay where they are read
+    return rows.drop("threshold").join(F.broadcast(threshold), "run_name")
 
 
 def write_json_ledger(ledger: DataFrame, root: str, metadata: dict[str, str]) -> DataFrame:
