@@ -1,6 +1,7 @@
 """Baseline models whose session, number or size once stopped them."""
 
 from functools import partial
+from threading import Barrier
 
 import pytest
 from pyspark.sql import Observation
@@ -25,3 +26,16 @@ def test_models_score_in_an_observed_session(spark, rows, fit):
     assert seen.get == {"n": 120}
     scored = learning.score(fit(rows.where("split = 'train'"), ["lat", "lon"]), rows)
     assert scored.where("probability between 0 and 1").count() == 120
+
+
+def test_models_do_not_wait_for_each_other(spark, rows, tmp_path):
+    train, meet = rows.where("split = 'train'"), Barrier(2, timeout=60)
+
+    def fit(features):
+        meet.wait()
+        return learning.fit_logistic(train, features)
+
+    models = [("a", partial(fit, ["lat"])), ("b", partial(fit, ["lat", "lon"]))]
+    table = learning.write_scores(models, rows.where("split = 'val'"), ["lat"], str(tmp_path / "scores"))
+    assert table.columns == ["model", "lat", "label", "split", "probability"]
+    assert {r["model"]: r["count"] for r in table.groupBy("model").count().collect()} == {"a": 40, "b": 40}
