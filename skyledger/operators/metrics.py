@@ -188,7 +188,7 @@ def _partitions(df: DataFrame) -> int:
 
 
 #: Counted rows and draws that one task weighs together, and clusters and rows that it holds as a matrix at a time.
-BUCKET_ROWS, BUCKET_DRAWS, BLOCK = 20_000, 8_000_000, 4096
+BUCKET_ROWS, BUCKET_DRAWS, BLOCK = 5_000, 4_000_000, 4096
 
 
 def _weigh(cells: Sequence[str], repeats: int, buckets: int):
@@ -265,7 +265,8 @@ def clustered_counts(counts: DataFrame, clusters: DataFrame, draws: DataFrame, c
     known = cut(counts.join(clusters, [*keys, "cluster"]).select(
         *cells, "id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pos", "neg")]
     ))
-    buckets = max(_partitions(counts), -(-known.count() // BUCKET_ROWS), -(-clusters.count() * repeats // BUCKET_DRAWS))
+    rows = known.count()
+    buckets = max(_partitions(counts), -(-rows // BUCKET_ROWS), -(-clusters.count() * repeats // BUCKET_DRAWS))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*cells).schema.fields)
     schema = f"{kinds}, pos array<bigint>, neg array<bigint>"
     place = F.pmod("id", F.lit(buckets)).alias("_bucket")
@@ -273,7 +274,8 @@ def clustered_counts(counts: DataFrame, clusters: DataFrame, draws: DataFrame, c
     draw = (F.floor(F.col("id") / buckets) * repeats + F.col("replicate") - 1).alias("draw")
     left, right = known.select("*", place).groupBy("_bucket"), draws.select(draw, place).groupBy("_bucket")
     parts = left.cogroup(right).applyInArrow(_weigh(list(cells), repeats, buckets), schema)
-    spread = F.pmod(F.xxhash64(*cells), F.lit(_partitions(counts))).alias("_bucket")
+    # a bucket sends a vector for each of its rows at most
+    spread = F.pmod(F.xxhash64(*cells), F.lit(max(_partitions(counts), -(-rows // BUCKET_ROWS)))).alias("_bucket")
     summed = parts.select("*", spread).groupBy("_bucket").applyInArrow(_add(list(cells)), schema)
     long = summed.select(*cells, F.posexplode(F.arrays_zip("pos", "neg")).alias("_r", "_s"))
     return long.select(*cells, (F.col("_r") + 1).alias("replicate"), "_s.pos", "_s.neg").where(F.col("pos") + F.col("neg") > 0)

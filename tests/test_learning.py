@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from skyledger.operators import learning
+from skyledger.operators import learning, metrics
 
 
 @pytest.fixture
@@ -39,3 +39,26 @@ def test_models_do_not_wait_for_each_other(spark, rows, tmp_path):
     table = learning.write_scores(models, rows.where("split = 'val'"), ["lat"], str(tmp_path / "scores"))
     assert table.columns == ["model", "lat", "label", "split", "probability"]
     assert {r["model"]: r["count"] for r in table.groupBy("model").count().collect()} == {"a": 40, "b": 40}
+
+
+def test_replicates_are_summed_in_bounded_groups(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    add = metrics._add
+
+    def counted(cells):
+        step = add(cells)
+
+        def one(table):
+            if table.num_rows > 60:
+                sizes.add(1)
+            return step(table)
+
+        return one
+
+    monkeypatch.setattr(metrics, "_add", counted)
+    monkeypatch.setattr(metrics, "BUCKET_ROWS", 10)
+    df = spark.range(400).select(
+        F.lit("r").alias("run"), (F.col("id") % 40).cast("string").alias("c"), (F.col("id") % 2).cast("int").alias("label"),
+        (F.col("id") / 400).alias("probability"), F.lit(0.5).alias("threshold"))
+    got = metrics.clustered_bootstrap(df, ["run"], "c", repeats=5, metrics=["roc_auc"]).collect()
+    assert len(got) == 1 and sizes.value == 0
