@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.operators.components import connected_components
-from skyledger.session import cut
+from skyledger.session import packed, partitions_for
 
-#: Rounds of pivots in cells, and pivots of a cell in each (0: every node meets one pivot of all its cells); what is left is for the caller.
-ROUNDS = (0, 4, 4)
+#: Rounds of pivots: the pivots of a cell in each, and the most that a node meets, over all its cells; what is left is for the caller.
+ROUNDS = (1, 4, 4)
 
 
 def members_of(links: DataFrame) -> DataFrame:
@@ -25,11 +25,12 @@ def _labels(links: DataFrame) -> DataFrame:
 
     Every node takes the smallest of its pivots and then follows theirs, some steps far.
     """
-    up = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("comp", "node").alias("comp"))
+    few = partitions_for(links.count())
+    up = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("comp", "node").alias("comp")).coalesce(few)
     for _ in range(2):
         ahead = up.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
-        up = up.join(ahead, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"))
-    return cut(up)
+        up = up.join(ahead, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp")).coalesce(few)
+    return packed(up)
 
 
 def _mixed(cells: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -43,33 +44,32 @@ def _mixed(cells: DataFrame, comps: DataFrame | None) -> DataFrame:
 def pivot_rounds(cells: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
     """Links found with the pivots of ``cells(key, node)``, and the cells that still span several components.
 
-    ``meet`` gives the linked ones of pairs (a, b). Pivots come from the smallest components and
-    are the same in all cells of a group; nodes of a pivot's own component need not meet it, and
-    a pivot that has met its whole cell leaves it.
+    ``meet`` gives the linked ones of pairs (a, b). Pivots come from the smallest components, by an
+    order that is the same in all cells of a round; nodes of a pivot's own component need not meet it.
+    A node meets as many pivots as a cell has, however many cells hold it, so the pairs of a round grow
+    with the nodes and not with the sizes of their cells.
     """
-    links = asked = comps = None
-    for pivots in ROUNDS:
-        cells = cut(_mixed(cells, comps))
+    links = comps = None
+    for turn, pivots in enumerate(ROUNDS):
+        cells = packed(_mixed(cells, comps))
         if cells.isEmpty():
             break
+        few = partitions_for(cells.count())
         sizes = cells.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
-        draw = F.xxhash64("node", F.lit(3))
-        taken = cells.join(sizes, "comp").groupBy("key", F.pmod(draw, F.lit(max(pivots, 1))).alias("_k")).agg(
+        draw = F.xxhash64("node", F.lit(3 + turn))
+        taken = cells.join(sizes, "comp").coalesce(few).groupBy("key", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
             F.min(F.struct("_size", draw.alias("_o"), "node", "comp")).alias("_p"))
-        taken = cut(taken.select("key", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_comp")))
-        pairs = cells.join(taken, "key").where("comp <> _comp").select(F.col("node").alias("a"), "b").distinct()
-        if not pivots:
-            pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(3)).alias("_o"), "b")).alias("_b")).select("a", "_b.b")
-        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
-        asked = pairs if asked is None else asked.unionAll(pairs)
-        found = cut(meet(pairs))
-        links = found if links is None else cut(links.unionAll(found))
+        taken = taken.select("key", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_comp"))
+        order = F.xxhash64("b", F.lit(3 + turn))
+        pairs = cells.join(taken, "key").where("comp <> _comp").select(F.col("node").alias("a"), "b").groupBy(
+            "a", F.pmod(order, F.lit(pivots)).alias("_k")).agg(F.min(F.struct(order.alias("_o"), "b")).alias("_b")).select("a", "_b.b")
+        found = meet(packed(pairs))
+        links = packed(found if links is None else links.unionAll(found))
         comps = _labels(links)
         cells = cells.select("key", "node")
-        cells = cells if not pivots else cells.join(taken.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
     else:
         cells = _mixed(cells, comps)
-    return links, cut(cells.select("key", "node"))
+    return links, packed(cells.select("key", "node"))
 
 
 def once(cells: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.cells import blocked, members_of, once, pivot_rounds
 from skyledger.llm.words import lowered_words, rows, scramble, shingle_set
-from skyledger.session import cut
+from skyledger.session import cut, packed
 
 BANDS, WIDTH = 32, 5
 #: Places compared between two looks at the posterior.
@@ -213,12 +213,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, share: Fraction = Fraction(4
     # only band values that several nodes have
     banded = held.select(F.explode("keys").alias("key"), F.col("_id").alias("node"))
     shared = banded.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key")
-    cells = cut(banded.join(shared, "key").distinct())
+    cells = packed(banded.join(shared, "key").distinct())
+    # signatures and texts of nodes with a candidate, which every round sends again
+    wanted = cells.select(F.col("node").alias("_id")).distinct()
+    held, texts = cut(held.select("_id", "sig").join(wanted, "_id")), cut(texts.join(wanted, "_id"))
     bounds = least_matches(share, bands * width, miss)
 
     def meet(pairs: DataFrame) -> DataFrame:
         one, two = held.select(F.col("_id").alias("a"), "sig"), held.select(F.col("_id").alias("b"), F.col("sig").alias("_sig"))
-        passed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "sig", "_sig").mapInArrow(_prune(bounds), "a bigint, b bigint").distinct())
+        passed = packed(pairs.join(one, "a").join(two, "b").select("a", "b", "sig", "_sig").mapInArrow(_prune(bounds), "a bigint, b bigint").distinct())
         mine, its = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_mine")), texts.select(F.col("_id").alias("b"), "_text")
         return passed.join(mine, "a").join(its, "b").select("a", "b", "_mine", "_text").mapInArrow(_verify(share, size), "a bigint, b bigint").distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import geo, timegrid
 from skyledger.operators.ranking import global_rank
-from skyledger.session import cut
+from skyledger.session import cut, packed, partitions_for
 
 
 def _is_star_forest(pairs: DataFrame, keys: list[str]) -> bool:
@@ -29,20 +29,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
     large-star and small-star steps (Kiveris et al. 2014) contract every component to a star
     in O(log^2 n) rounds; each round is two aggregations and joins over edges, checkpointed.
     A vertex with very many edges only meets its one minimum in a join, so AQE may split it.
+    Rounds over few edges run in few partitions.
     """
     keys = list(keys)
-    pairs = cut(edges.select(
+    pairs = packed(edges.select(
         *keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).where("a <> b").distinct())
     while not _is_star_forest(pairs, keys):
+        few = partitions_for(pairs.count())
         both = pairs.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             pairs.select(*keys, F.col("b").alias("u"), F.col("a").alias("v"))
         )
         lowest = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(lowest, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
+        large = both.join(lowest, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("a"), F.col("m").alias("b")).coalesce(few)
         roots = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
         small = large.join(roots, [*keys, "a"]).where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = cut(small.unionAll(roots.select(*keys, "a", F.col("m").alias("b"))).distinct())
+        pairs = packed(small.unionAll(roots.select(*keys, "a", F.col("m").alias("b"))).coalesce(2 * few).distinct())
     labels = pairs.select(*keys, F.col("a").alias("id"), F.col("b").alias("_root"))
     return nodes.select(*keys, "id").join(labels, [*keys, "id"], "left").select(
         *keys, "id", F.coalesce("_root", "id").alias("component")

@@ -60,6 +60,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of a small table, about, and the partitions it keeps at least.
+PACK, FEW = 1 << 16, 8
+
+
+def partitions_for(rows: int) -> int:
+    """Partitions that a table of so many short rows needs."""
+    return max(FEW, -(-rows // PACK))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``cut``, then in no more partitions than the rows (short ones) need: each partition is files of every later shuffle."""
+    out = cut(df)
+    return out.coalesce(partitions_for(out.count()))
+
+
 #: Independent steps whose jobs are submitted together; each may hold a model in the driver.
 AT_ONCE = 3
 
