@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from skyledger.operators.components import connected_components
 from skyledger.session import packed, partitions_for
 
-#: Rounds of pivots: the pivots of a cell in each, and the most that a node meets, over all its cells; what is left is for the caller.
-ROUNDS = (1, 4, 4)
+#: Rounds of pivots: the pivots of a cell in each, and the most that a node meets, over all its cells (0 counts as 1); what is left is for the caller.
+ROUNDS = (0, 4, 4)
 
 
 def members_of(links: DataFrame) -> DataFrame:
@@ -57,12 +57,12 @@ def pivot_rounds(cells: DataFrame, meet: Callable[[DataFrame], DataFrame]) -> tu
         few = partitions_for(cells.count())
         sizes = cells.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
         draw = F.xxhash64("node", F.lit(3 + turn))
-        taken = cells.join(sizes, "comp").coalesce(few).groupBy("key", F.pmod(draw, F.lit(pivots)).alias("_k")).agg(
+        taken = cells.join(sizes, "comp").coalesce(few).groupBy("key", F.pmod(draw, F.lit(max(pivots, 1))).alias("_k")).agg(
             F.min(F.struct("_size", draw.alias("_o"), "node", "comp")).alias("_p"))
         taken = taken.select("key", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_comp"))
         order = F.xxhash64("b", F.lit(3 + turn))
         pairs = cells.join(taken, "key").where("comp <> _comp").select(F.col("node").alias("a"), "b").groupBy(
-            "a", F.pmod(order, F.lit(pivots)).alias("_k")).agg(F.min(F.struct(order.alias("_o"), "b")).alias("_b")).select("a", "_b.b")
+            "a", F.pmod(order, F.lit(max(pivots, 1))).alias("_k")).agg(F.min(F.struct(order.alias("_o"), "b")).alias("_b")).select("a", "_b.b")
         found = meet(packed(pairs))
         links = packed(found if links is None else links.unionAll(found))
         comps = _labels(links)
