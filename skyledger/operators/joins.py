@@ -54,14 +54,15 @@ def _cell(value: Column, size: float) -> Column:
 
 def _points(strikes: DataFrame) -> DataFrame:
     """Distinct (instant, place) with its number of copies, bin, cell and sub-cell."""
-    return (
-        strikes.groupBy("ts", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            timegrid.slot_number(F.col("ts")).alias("bin"), _cell(F.col("lat"), CELL).alias("cy"),
-            _cell(F.col("lon"), CELL).alias("cx"), _cell(F.col("lat"), SUB).alias("sy"),
-            _cell(F.col("lon"), SUB).alias("sx"), F.unix_micros("ts").alias("t"),
-            F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "n",
-        )
+    return _placed(strikes.groupBy("ts", "lat", "lon").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _placed(events: DataFrame) -> DataFrame:
+    return events.select(
+        timegrid.slot_number(F.col("ts")).alias("bin"), _cell(F.col("lat"), CELL).alias("cy"),
+        _cell(F.col("lon"), CELL).alias("cx"), _cell(F.col("lat"), SUB).alias("sy"),
+        _cell(F.col("lon"), SUB).alias("sx"), F.unix_micros("ts").alias("t"),
+        F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "n",
     )
 
 
@@ -269,16 +270,108 @@ def min_distance_filter(
     return asked.join(blocked, QUERY, "left_anti")
 
 
-def contamination_audit(negatives: DataFrame, strikes: DataFrame, windows: list[tuple[str, int, int, float]]) -> DataFrame:
-    """Negatives hit under each named window."""
+def _sure_cells(frames: DataFrame, cells: DataFrame, windows: list[tuple[str, int, int, float]]) -> DataFrame:
+    """Per frame, a map from the number of each window to extents of cells whose events of some bins all lie in it.
+
+    The bins of a cell are merged, so the size depends on the area and not on the number of events.
+    """
+    numbered = F.array(*[
+        F.struct(F.lit(i).alias("w"), F.lit(a).alias("start_min"), F.lit(b).alias("end_min")) for i, (_, a, b, _m) in enumerate(windows)
+    ])
+    asked = frames.withColumn("_w", F.explode(numbered)).select("frame_time", "_w.*")
+    spans = asked.join(_windows(asked), WINDOW).join(cells, "bin").where((F.col("t_lo") >= F.col("t0")) & (F.col("t_hi") < F.col("t1")))
+    merged = spans.groupBy("frame_time", "w", "cy", "cx").agg(*_extent("merged")[:4])
+    held = merged.groupBy("frame_time", "w").agg(F.collect_list(F.struct("lat_lo", "lat_hi", "lon_lo", "lon_hi")).alias("held"))
+    return held.groupBy("frame_time").agg(F.map_from_entries(F.collect_list(F.struct("w", "held"))).alias("_held"))
+
+
+def _covers(part: Column, dlat: Column, dlon: Column) -> Column:
+    lat, lon = F.col("lat"), F.col("lon")
+    return (
+        (F.abs(part["lat_lo"] - lat) <= dlat) & (F.abs(part["lat_hi"] - lat) <= dlat)
+        & (F.abs(part["lon_lo"] - lon) <= dlon) & (F.abs(part["lon_hi"] - lon) <= dlon)
+    )
+
+
+def surely_hit(
+    places: DataFrame, cells: DataFrame, windows: list[tuple[str, int, int, float]], size: int = 64, degrees_per_pixel: float = 0.02
+) -> DataFrame:
+    """``places`` with ``sure``: for each window, whether a whole cell of events lies in the box."""
+    held = _sure_cells(places.select("frame_time").distinct(), cells, windows)
+
+    def sure(i: int, margin: float) -> Column:
+        half = geo.box_half_degrees(F.col("lat"), size, degrees_per_pixel, F.lit(float(margin)))
+        return F.coalesce(F.exists(F.col("_held")[i], lambda c: _covers(c, *half)), F.lit(False))
+
+    return places.join(held, "frame_time", "left").select(
+        *places.columns, F.array(*[sure(i, m) for i, (_, _a, _b, m) in enumerate(windows)]).alias("sure")
+    )
+
+
+def contamination_audit(
+    negatives: DataFrame, strikes: DataFrame, windows: list[tuple[str, int, int, float]], size: int = 64, degrees_per_pixel: float = 0.02
+) -> DataFrame:
+    """Negatives hit under each named window.
+
+    One event in the box is enough, so nothing is counted: a whole cell, then a whole sub-cell inside
+    the box settles a place, and single events are read only for places that no cell has settled.
+    """
+    nested = cut(_cells(_placed(strikes.withColumn("n", F.lit(1)))))
+    flagged = cut(surely_hit(negatives.select("frame_time", "lat", "lon"), nested.drop("subs", "n"), windows, size, degrees_per_pixel))
+    places = flagged.where(F.exists("sure", lambda s: ~s)).groupBy("frame_time", "lat", "lon", "sure").agg(F.count(F.lit(1)).alias("copies"))
     table = F.array(*[
-        F.struct(F.lit(n).alias("window"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(m)).alias("m"))
-        for n, a, b, m in windows
+        F.struct(
+            F.lit(i).alias("w"), F.lit(a).alias("start_min"), F.lit(b).alias("end_min"), F.lit(float(m)).alias("margin_km"),
+            F.col("sure")[i].alias("sure"),
+        ) for i, (_, a, b, m) in enumerate(windows)
     ])
-    spread = negatives.withColumn("_w", F.explode(table))
-    tested = patch_clear(spread, strikes, F.col("_w.a"), F.col("_w.b"), F.col("_w.m"))
-    return tested.groupBy(F.col("_w.window").alias("window")).agg(
-        F.count(F.lit(1)).alias("negatives"), F.count_if(~F.col("clear")).alias("contaminated")
+    tested = places.select("frame_time", "lat", "lon", "copies", F.explode(table).alias("_w")).select(
+        "frame_time", "lat", "lon", "copies", "_w.*").where("not sure")
+
+    dlat, dlon = geo.box_half_degrees(F.col("lat"), size, degrees_per_pixel, F.col("margin_km"))
+    eps = 1e-9
+
+    def span(value: str, half: str) -> Column:
+        return F.sequence(
+            F.floor((F.col(value) - F.col(half) - eps) / CELL).cast("int"),
+            F.floor((F.col(value) + F.col(half) + eps) / CELL).cast("int"),
+        )
+
+    key = ["frame_time", "lat", "lon", "w", "copies"]
+    base = [*key, "dlat", "dlon", "t0", "t1", "bin"]
+    asked = tested.withColumns({
+        "dlat": dlat, "dlon": dlon,
+        "t0": F.unix_micros(timegrid.plus_minutes(F.col("frame_time"), F.col("start_min"))),
+        "t1": F.unix_micros(timegrid.plus_minutes(F.col("frame_time"), F.col("end_min"))),
+    })
+    spread = (
+        asked.withColumn("bin", F.explode(F.sequence(F.floor(F.col("t0") / 600_000_000), F.floor((F.col("t1") - 1) / 600_000_000))))
+        .withColumn("cy", F.explode(span("lat", "dlat"))).withColumn("cx", F.explode(span("lon", "dlon"))).select(*base, "cy", "cx")
+    )
+    near = F.exists("subs", lambda s: _inside(s))
+    edge = F.transform(
+        F.filter("subs", lambda s: ~_inside(s) & ~_outside(s)), lambda s: F.struct(s["sy"].alias("sy"), s["sx"].alias("sx"))
+    )
+    seen = cut(
+        spread.join(nested, ["bin", "cy", "cx"]).where(~_outside()).withColumn("_near", F.coalesce(near, F.lit(False)))
+        .select(*base, "_near", F.when(~F.col("_near"), edge).alias("_open")).where(F.col("_near") | (F.size("_open") > 0))
+    )
+    settled = seen.where("_near").select(*key).distinct()
+    # what one cell has settled needs no single events of the others
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(f"o.{c}") == F.col(f"s.{c}"))
+    left = seen.where("not _near").alias("o").join(settled.alias("s"), same, "left_anti")
+    parts = left.select(*base, F.explode("_open").alias("s")).select(*base, "s.sy", "s.sx")
+    single = parts.join(_points(strikes).drop("cy", "cx"), ["bin", "sy", "sx"]).where(
+        (F.abs(F.col("p_lat") - F.col("lat")) <= F.col("dlat")) & (F.abs(F.col("p_lon") - F.col("lon")) <= F.col("dlon"))
+        & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))
+    )
+    more = settled.unionByName(single.select(*key)).distinct().select("w", F.lit(0).alias("n"), F.col("copies").alias("k"))
+    found = flagged.select(F.posexplode("sure").alias("w", "_sure")).select("w", F.lit(1).alias("n"), F.col("_sure").cast("bigint").alias("k"))
+    names = F.array(*[F.lit(n) for n, *_ in windows])
+    return found.unionByName(more).groupBy(names[F.col("w")].alias("window")).agg(
+        F.sum("n").alias("negatives"), F.sum("k").alias("contaminated")
     )
 
 

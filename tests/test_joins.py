@@ -94,3 +94,38 @@ def test_nearest_sends_only_kept_cells(spark):
     found = joins.nearest(asked, events)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # no query meets all cells as rows
     assert abs(found.first().nearest_distance_km - km(0.3, 0.3, 0.31, 0.31)) < 1e-6
+
+
+AUDITED = [("near", 0, 10, 10.0), ("wide", -20, 30, 10.0), ("shifted", -7, 13, 0.0), ("again", 0, 10, 10.0)]
+
+
+def test_contamination_audit_is_plain_counting(spark):
+    rng = random.Random(5)
+    places = [(rng.randrange(0, 80, 10), rng.uniform(1, 4), rng.uniform(100, 103)) for _ in range(150)]
+    events = [(rng.uniform(-30, 110), rng.choice([1.5, rng.uniform(1, 4)]), rng.uniform(100, 103)) for _ in range(60)]
+    events += events[:9]
+    negatives = spark.createDataFrame(
+        [(at(m), la, lo) for m, la, lo in [*places, *places[:5]]] + [(None, 2.0, 101.0), (at(0), None, 101.0), (at(0), 2.0, None)],
+        "frame_time timestamp, lat double, lon double",
+    )
+    blank = spark.createDataFrame([(None, 2.0, 101.0), (at(5), None, 101.0), (at(5), 2.0, None)], "ts timestamp, lat double, lon double")
+    strong = strikes(spark, events).drop("solution_key").unionByName(blank)
+
+    def hit(m, la, lo, a, b, margin):
+        dlat = 0.64 + margin / 111.32
+        dlon = 0.64 + margin / (111.32 * max(math.cos(math.radians(la)), 0.1))
+        return any(m + a <= t < m + b and abs(y - la) <= dlat and abs(x - lo) <= dlon for t, y, x in events)
+
+    got = {r["window"]: (r.negatives, r.contaminated) for r in joins.contamination_audit(negatives, strong, AUDITED).collect()}
+    assert got == {n: (158, sum(hit(*p, a, b, m) for p in [*places, *places[:5]])) for n, a, b, m in AUDITED}
+    assert 0 < got["near"][1] < got["wide"][1] < 155
+
+
+def test_whole_cells_settle_places(spark):
+    """Places in a crowd need no single events: a whole cell of the bin lies in their box."""
+    rng = random.Random(6)
+    crowd = strikes(spark, [(rng.uniform(0, 10), rng.uniform(1.51, 2.24), rng.uniform(100.51, 101.24)) for _ in range(400)])
+    cells = joins._cells(joins._points(crowd)).drop("subs", "n")
+    places = spark.createDataFrame([(at(0), 1.9, 100.9), (at(0), 3.5, 100.9), (at(30), 1.9, 100.9)], "frame_time timestamp, lat double, lon double")
+    rows = {(r.frame_time, r.lat): r.sure for r in joins.surely_hit(places, cells, AUDITED).collect()}
+    assert rows == {(at(0), 1.9): [True] * 4, (at(0), 3.5): [False] * 4, (at(30), 1.9): [False, False, False, False]}
