@@ -1,10 +1,12 @@
 """Tables of one row per run never send the predictions of a run to one task."""
 
 import datetime
+import re
 
 import pytest
 
 import __spark_entry__ as entry_module
+from skyledger.catalog import verify
 
 
 @pytest.fixture
@@ -29,3 +31,11 @@ def test_runs_are_broadcast(spark, lineitem, name):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert {r.run_name for r in got.collect()} == {"O", "F"}
+
+
+def test_thresholds_are_broadcast(spark, lineitem):
+    got = verify.frozen(spark, lineitem)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the join with the thresholds is the first one from the top; its kind decides where what follows is grouped
+    assert re.search(r"\w+Join\b", plan)[0] == "BroadcastHashJoin"
+    assert got.count() == 400
