@@ -44,10 +44,13 @@ def stream_ledger(spark, sf):
 @query("stream_label_join", sql_with("strikes", """+f as (select solution_key as candidate_id, time_bucket(interval '10 minutes', ts) as frame_time from strikes where event_type = 'error')
 select candidate_id, frame_time, s.solution_key, s.ts from f join strikes s on s.kind = 'Ground' and time_bucket(interval '10 minutes', s.ts) = frame_time"""))
 def stream_label_join(spark, sf):
+    def errors(rows):
+        return rows.where("event_type = 'error'").select(
+            F.col("solution_key").alias("candidate_id"), timegrid.floor_slot(F.col("ts")).alias("frame_time")
+        )
+
     schema = A.table(spark, sf, "events").schema
     raw = ingest.strike_stream(spark, f"{sf}/{{events}}.parquet", schema)
-    frames = A.shape_strikes(raw).where("event_type = 'error'").select(
-        F.col("solution_key").alias("candidate_id"), timegrid.floor_slot(F.col("ts")).alias("frame_time")
-    )
-    strikes = _strikes(spark, sf).select("solution_key", "ts")
-    return ingest.run_to_table(ingest.label_join(frames, strikes), scratch_path(spark, "pairs"), scratch_path(spark, "cp"))
+    pairs = ingest.label_join(errors(A.shape_strikes(raw)), _strikes(spark, sf).select("solution_key", "ts"))
+    partitions = ingest.label_join_partitions(errors(A.strikes(spark, sf)), A.ground(spark, sf))
+    return ingest.run_to_table(pairs, scratch_path(spark, "pairs"), scratch_path(spark, "cp"), partitions)

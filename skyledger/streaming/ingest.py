@@ -49,13 +49,38 @@ def label_join(frames: DataFrame, strikes: DataFrame) -> DataFrame:
     ).drop("slot", "strike_slot")
 
 
-def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process everything available, exactly once, into a parquet table and read it back."""
+#: Pairs that one task of a label join should write, about.
+PAIRS = 1 << 21
+
+
+def label_join_partitions(frames: DataFrame, strikes: DataFrame) -> int:
+    """Partitions for the label join of what has arrived so far (static tables), from its pairs.
+
+    A stream keeps its partitions, and its pairs grow faster than its rows as more events fall into
+    a slot. No more partitions than slots with pairs: a slot is not split.
+    """
+    f = frames.groupBy(timegrid.slot_number(F.col("frame_time")).alias("slot")).agg(F.count(F.lit(1)).alias("f"))
+    s = strikes.groupBy(timegrid.slot_number(F.col("ts")).alias("slot")).agg(F.count(F.lit(1)).alias("s"))
+    size = f.join(s, "slot").agg(F.count(F.lit(1)).alias("slots"), F.coalesce(F.sum(F.col("f") * F.col("s")), F.lit(0)).alias("pairs")).first()
+    least = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(size["slots"], -(-size["pairs"] // PAIRS)))
+
+
+def run_to_table(stream: DataFrame, out: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
+    """Process everything available, exactly once, into a parquet table and read it back.
+
+    A new stream keeps ``partitions`` (else those of the session) in its checkpoint.
+    """
     spark = stream.sparkSession
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions or kept))  # a stream copies the settings as it starts
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

@@ -1,3 +1,4 @@
+import json
 import os
 from datetime import timedelta
 
@@ -147,3 +148,25 @@ def test_resumed_manifest_drops_stale_rows(spark):
     got = planning.resumed_manifest(planned, done, redone, "B", "S").collect()
     assert sorted((r.path, r.kept) for r in got) == [("a1", True), ("a2", True), ("b9", False), ("c9", False), ("d9", False)]
     assert planning.pending_frames(planned, done.where("false"), "B", "S").count() == 4
+
+
+def test_label_join_partitions_follow_the_pairs(spark, tmp_path, monkeypatch):
+    frames = spark.createDataFrame([(f"c{i}", at(10 * (i % 20))) for i in range(100)], "candidate_id string, frame_time timestamp")
+    strikes = spark.createDataFrame([(f"s{i}", at(i % 300)) for i in range(600)], "solution_key string, ts timestamp")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ingest.label_join_partitions(frames, strikes) == least
+    assert ingest.label_join_partitions(frames.where("false"), strikes) == least
+    monkeypatch.setattr(ingest, "PAIRS", 2000 // (least + 3))
+    # 20 slots with 5 frames and 20 strikes each
+    assert ingest.label_join_partitions(frames, strikes) == least + 4
+    monkeypatch.setattr(ingest, "PAIRS", 1)
+    assert ingest.label_join_partitions(frames, strikes) == 20
+
+    frames.write.parquet(f"{tmp_path}/frames")
+    strikes.write.parquet(f"{tmp_path}/strikes")
+    joined = ingest.label_join(*[spark.readStream.schema(t.schema).parquet(f"{tmp_path}/{n}") for t, n in ((frames, "frames"), (strikes, "strikes"))])
+    got = ingest.run_to_table(joined, f"{tmp_path}/out", f"{tmp_path}/cp", least + 3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(least)
+    kept = json.loads((tmp_path / "cp" / "offsets" / "0").read_text().splitlines()[1])["conf"]
+    assert kept["spark.sql.shuffle.partitions"] == str(least + 3)
+    assert got.count() == 100 * 20
