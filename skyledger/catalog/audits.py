@@ -14,6 +14,7 @@ from skyledger.functions import geo, timegrid
 from skyledger.functions.hashing import uniform
 from skyledger.operators import drift, gates, joins, metrics, planning, summaries
 from skyledger.operators.ranking import first_per_key
+from skyledger.session import cut
 from skyledger.sources import adapters as A
 from skyledger.sources import files
 
@@ -380,11 +381,13 @@ def facts(spark, sf):
         F.max(F.when(F.col("kind") == "path", F.col("within_split_repeats"))).cast("double").alias("paths"),
     )
     test = A.predictions(spark, sf).where("split = 'test'").withColumn("mo", F.month("date"))
-    auc = metrics.areas(metrics.score_counts(test, ["run_name"]), ["run_name"]).agg(
+    by_month = metrics.score_counts(test, ["run_name", "mo"])
+    whole = cut(by_month.groupBy("run_name", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    auc = metrics.areas(whole, ["run_name"]).agg(
         F.max(F.when(F.col("run_name") == "F", F.col("roc_auc"))).alias("geo_auc"),
         F.max(F.when(F.col("run_name") == "O", F.col("roc_auc"))).alias("image_auc"),
     )
-    monthly = metrics.areas(metrics.score_counts(test, ["run_name", "mo"]), ["run_name", "mo"]).agg(
+    monthly = metrics.areas(by_month, ["run_name", "mo"]).agg(
         (F.min(F.when(F.col("run_name") == "O", F.col("roc_auc"))) - F.max(F.when(F.col("run_name") == "F", F.col("roc_auc")))).alias("stability")
     )
     checks = manifest_checks(spark, sf).where(F.col("check").isin("split_mismatch", "image_after_strike")).agg(
