@@ -41,6 +41,15 @@ def test_models_do_not_wait_for_each_other(spark, rows, tmp_path):
     assert {r["model"]: r["count"] for r in table.groupBy("model").count().collect()} == {"a": 40, "b": 40}
 
 
+def test_many_training_rows_are_spread_over_the_cores(spark, rows, monkeypatch):
+    monkeypatch.setattr(learning, "FEW_ROWS", 10, raising=False)
+    sizes, fit = [], learning.Pipeline.fit
+    monkeypatch.setattr(learning.Pipeline, "fit", lambda self, df: sizes.append(df.rdd.glom().map(len).collect()) or fit(self, df))
+    learning.fit_forest(rows.where("split = 'train'").coalesce(1), ["lat", "lon"], trees=2)
+    # 80 rows of two labels that come from one task, on four cores
+    assert sum(sizes[0]) == 80 and max(sizes[0]) < 40
+
+
 def test_replicates_are_summed_in_bounded_groups(spark, monkeypatch):
     sizes = spark.sparkContext.accumulator(0)
     add = metrics._add
