@@ -1,6 +1,8 @@
 import collections
 import random
 
+import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,26 @@ def test_replicates_meet_draws_as_vectors_not_as_rows(spark):
     assert have == dict(want)
 
 
+def test_draws_travel_as_about_a_byte_each(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PIECE", 100)
+    df = spark.range(900).select(F.when(F.col("id") < 10, "a").otherwise("b").alias("run"), F.col("id").cast("string").alias("c"))
+    _, draws = metrics.bootstrap_draws(df, ["run"], "c", 20, "boot")
+    want = collections.Counter((r.id, r.replicate) for r in draws.collect())
+    packed = draws.mapInArrow(metrics._pack(2), "_bucket bigint, replicate int, places binary").toArrow()
+    assert sum(want.values()) == 20 * 900 and sum(len(v) for v in packed["places"].to_pylist()) < 2 * 20 * 900
+    have = {}
+    for bucket in (0, 1):
+        times = metrics._times(packed.filter(pc.equal(packed["_bucket"], bucket)), 20, 451)
+        have |= {(place * 2 + bucket, r + 1): int(times[place, r]) for place, r in zip(*times.nonzero())}
+    assert have == dict(want)
+
+
+def test_sums_of_any_size_and_sign_survive_narrowing():
+    sums = np.array([[0, 127], [-1, 128], [2**31, -2**31], [2**62, 0]])
+    vectors = metrics._narrow(sums).to_pylist()
+    assert (metrics._wide(vectors) == sums).all() and [len(v) for v in vectors] == [3, 5, 17, 17]
+
+
 def test_temperature(spark):
     # logits twice too large: half the odds of the labels
     pairs = [(1, 2.0)] * 73 + [(0, 2.0)] * 27 + [(0, -2.0)] * 73 + [(1, -2.0)] * 27
