@@ -307,25 +307,95 @@ def natural_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
     return labelled.unionByName(failed)
 
 
+# columns of parts of the study area, so that the parts of a row are the bits of one number
+COLUMNS = 60
+
+
+def _rows_of(mask) -> tuple[float, int]:
+    """Side of a part in degrees and the number of rows of parts."""
+    side = (mask.lon_max - mask.lon_min) / COLUMNS
+    return side, math.ceil((mask.lat_max - mask.lat_min) / side)
+
+
+def near_parts(frames: DataFrame, strikes: DataFrame, start_min: int, end_min: int, km: float, radius: float = geo.RADIUS_KM_V1, mask=geo.MASK) -> DataFrame:
+    """(frame_time, near): per row of parts the bits of those that lie whole within ``km`` of an event of the window.
+
+    One event stands for its part and ten minutes, so that crowds cost no more; what it leaves open is
+    still tested exactly.
+    """
+    side, rows = _rows_of(mask)
+    turn, lat, lon = km / radius, F.col("lat"), F.col("lon")
+    spot = [timegrid.slot_number(F.col("ts")).alias("s"), F.floor((lat - mask.lat_min) / side).alias("a"), F.floor((lon - mask.lon_min) / side).alias("o")]
+    events = strikes.where("abs(lat) <= 90 and abs(lon) <= 360").groupBy(*spot).agg(F.min(F.struct("ts", "lat", "lon")).alias("e")).select("e.*")
+
+    def row(value: Column) -> Column:
+        return F.floor((value - mask.lat_min) / side).cast("int")
+
+    spread = events.withColumns({
+        "_a": F.greatest(row(lat - math.degrees(turn)), F.lit(0)), "_b": F.least(row(lat + math.degrees(turn)), F.lit(rows - 1)),
+    }).where("_a <= _b").withColumn("row", F.explode(F.sequence("_a", "_b")))
+    low, high = F.lit(mask.lat_min) + F.col("row") * side, F.lit(mask.lat_min) + (F.col("row") + 1) * side
+    up = F.sin(F.radians(F.greatest(F.abs(low - lat), F.abs(high - lat))) / 2)
+    lean = F.cos(F.radians(lat)) * F.when((low <= 0) & (high >= 0), 1.0).otherwise(F.greatest(F.cos(F.radians(low)), F.cos(F.radians(high))))
+    room = F.lit(math.sin(turn / 2) ** 2) - up * up
+    wide = F.degrees(F.asin(F.sqrt(F.least(room / lean, F.lit(1.0)))) * 2) - 1e-6
+    first = F.greatest(F.ceil((lon - wide - mask.lon_min) / side), F.lit(0)).cast("int")
+    last = F.least(F.floor((lon + wide - mask.lon_min) / side) - 1, F.lit(COLUMNS - 1)).cast("int")
+    reach = spread.where(room > 0).select("ts", "row", first.alias("c"), (last - first + 1).alias("n")).where("n > 0")
+    one = F.lit(1).cast("bigint")
+    run = F.call_function("shiftleft", one, F.col("n")) - 1
+    spans = reach.select("ts", "row", F.call_function("shiftleft", run, F.col("c")).alias("bits"))
+    # events of one instant reach a row together
+    spans = cut(spans.groupBy("ts", "row").agg(F.bit_or("bits").alias("bits")))
+    found = joins.window_join(frames.select("frame_time").distinct(), spans, start_min, end_min)
+    masks = found.groupBy("frame_time", "row").agg(F.bit_or("bits").alias("bits"))
+    held = masks.groupBy("frame_time").agg(F.map_from_entries(F.collect_list(F.struct("row", "bits"))).alias("_held"))
+    return held.select("frame_time", F.transform(
+        F.sequence(F.lit(0), F.lit(rows - 1)), lambda k: F.coalesce(F.try_element_at("_held", k), F.lit(0).cast("bigint"))
+    ).alias("near"))
+
+
+def _open_parts(mask) -> Column:
+    """Whether a frame's ``near`` leaves a part open in which a centre can be drawn."""
+    side, rows = _rows_of(mask)
+    half, tall, wide = SIZE // 2, mask.lat_max - mask.lat_min, mask.lon_max - mask.lon_min
+
+    def part(degrees: float, most: int) -> int:
+        return min(max(math.floor(degrees / side), 0), most - 1)
+
+    top, bottom = part(tall * (1 - half / (mask.height - 1)) + 1e-9, rows), part(tall * (1 - (mask.height - half) / (mask.height - 1)) - 1e-9, rows)
+    left, right = part(wide * half / (mask.width - 1) - 1e-9, COLUMNS), part(wide * (mask.width - half) / (mask.width - 1) + 1e-9, COLUMNS)
+    wanted = F.lit(sum(1 << c for c in range(left, right + 1))).cast("bigint")
+    return F.exists(F.slice("near", bottom + 1, top - bottom + 1), lambda bits: bits.bitwiseAND(wanted) != wanted)
+
+
 def random_negatives(
     frames: DataFrame, strikes: DataFrame, quota: int, attempts: int, min_km: float = 30.0, seed: str = "rn", mask=geo.MASK
 ) -> DataFrame:
     """First ``quota`` random centres per frame that are far from the frame's strikes and covered.
 
-    Attempts are drawn in growing batches for the frames that still lack centres.
+    Attempts are drawn in growing batches for the frames that still lack centres. Draws in a part of the
+    area that lies whole within ``min_km`` of a strike fail, and are dropped before they are tested.
     """
-    half, waiting, found, low = SIZE // 2, frames.where("readable"), None, 1
+    half, found, low = SIZE // 2, None, 1
+    side, rows = _rows_of(mask)
+    near = near_parts(frames.where("readable"), strikes, 0, 10, min_km, mask=mask)
+    waiting = frames.where("readable").join(near, "frame_time", "left")
+    waiting = cut(waiting.where(F.col("near").isNull() | _open_parts(mask)))
     batch = 4 * quota
     while True:
         high = min(low + batch - 1, attempts)
-        drawn = waiting.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        drawn = dealt(waiting).withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high))))
         key = [F.unix_seconds("frame_time"), F.col("attempt")]
         drawn = drawn.withColumns({
             "x": (F.floor(uniform(f"{seed}x", *key) * (mask.width - 2 * half)) + half).cast("int"),
             "y": (F.floor(uniform(f"{seed}y", *key) * (mask.height - 2 * half)) + half).cast("int"),
         })
         lat, lon = geo.to_lonlat(F.col("x"), F.col("y"), mask)
-        placed = drawn.withColumns({"lat": lat, "lon": lon, "crop": geo.crop(F.col("x"), F.col("y"), SIZE)})
+        row = F.least(F.greatest(F.floor((F.col("lat") - mask.lat_min) / side), F.lit(0)), F.lit(rows - 1)).cast("int")
+        column = F.least(F.greatest(F.floor((F.col("lon") - mask.lon_min) / side), F.lit(0)), F.lit(COLUMNS - 1)).cast("int")
+        is_near = F.coalesce(F.getbit(F.try_element_at("near", row + 1), column) == 1, F.lit(False))
+        placed = drawn.withColumns({"lat": lat, "lon": lon}).where(~is_near).drop("near").withColumn("crop", geo.crop(F.col("x"), F.col("y"), SIZE))
         good = joins.min_distance_filter(covered(placed), strikes, 0, 10, min_km)
         good = cut(good.select("frame_time", "attempt", "x", "y", "lat", "lon"))
         found = good if found is None else found.unionByName(good)

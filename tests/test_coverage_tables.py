@@ -1,7 +1,10 @@
 """Summed-area tables of black pixels, and what follows from them for crops and frames."""
 
 import random
-from datetime import datetime, timedelta
+from collections import Counter
+from datetime import datetime, timedelta, timezone
+from hashlib import md5
+from math import asin, cos, radians, sin, sqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +95,37 @@ def test_blocked_parts_hold_no_clear_centre_and_drop_cells(spark):
     target = frame.selectExpr("frame_time", "3.9D as t_lat", "101.9D as t_lon", "false as own")
     seen = target.join(labels.blocked_parts(frame, strikes), "frame_time").select(labels._levels().alias("levels")).first()["levels"]
     assert 0 not in [x["level"] for x in seen] and len(seen) > 0
+
+
+def test_draws_beside_strikes_fail_before_they_are_tested(spark, monkeypatch):
+    """Picks are those of the plain loop; a frame full of strikes is not drawn for, and of one half full few draws are tested."""
+    frames = [datetime(2024, 1, 1, 0, 10 * k) for k in range(4)]
+    lattice = [(1.25 + 0.2 * i, 99.75 + 0.2 * j) for i in range(28) for j in range(24)]
+    events = [(frames[0], *p) for p in lattice] + [(frames[1], *p) for p in lattice if p[1] < 102.2] + [(frames[2], 4.0, 102.0), (frames[2], None, 100.0)]
+    strikes = spark.createDataFrame(
+        [(f"s{i}", t + timedelta(minutes=i % 10), la, lo) for i, (t, la, lo) in enumerate(events)], "solution_key string, ts timestamp, lat double, lon double")
+    asked = spark.createDataFrame([(t, 1) for t in frames], "frame_time timestamp, image_id int")
+    none = spark.createDataFrame([], "image_id int, x int, y int, b08 int, b13 int, b15 int")
+    seen = labels.with_images(asked, spark.createDataFrame([(1, True)], "image_id int, readable boolean"), none)
+    tested, plain = [], joins.min_distance_filter
+    monkeypatch.setattr(joins, "min_distance_filter", lambda df, *a: tested.append(df.groupBy("frame_time").count().collect()) or plain(df, *a))
+    got = {(r["frame_time"], r["attempt"], r["x"], r["y"]) for r in labels.random_negatives(seen, strikes, 30, 700).collect()}
+
+    def draw(seed, t, attempt, size):
+        text = f"{seed}|{int(t.replace(tzinfo=timezone.utc).timestamp())}|{attempt}"
+        return int(int(md5(text.encode()).hexdigest()[:8], 16) / 2**32 * size) + 32
+
+    def far(t, x, y):
+        lat, lon = 6.8 - y / 279 * (6.8 - 1.2), 99.7 + x / 234 * (104.4 - 99.7)
+        near = [(a, b) for u, a, b in events if u == t and a is not None and abs(a - lat) < 0.3]
+        return all(2 * 6371.0 * asin(sqrt(sin(radians(a - lat) / 2) ** 2 + cos(radians(a)) * cos(radians(lat)) * sin(radians(b - lon) / 2) ** 2)) >= 30 for a, b in near)
+
+    want = set()
+    for t in frames:
+        places = [(t, k, draw("rnx", t, k, 171), draw("rny", t, k, 216)) for k in range(1, 701)]
+        want |= set([p for p in places if far(t, *p[2:])][:30])
+    assert got == want and {t for t, *_ in got} == set(frames[1:])
+    rows = Counter()
+    for call in tested:
+        rows.update({r["frame_time"]: r["count"] for r in call})
+    assert rows[frames[0]] == 0 and 30 <= rows[frames[1]] < 85
