@@ -5,7 +5,8 @@ nearest-event lookups go through a summary of the events per (bin, 0.75-degree c
 row nests the occupied 0.02-degree sub-cells with their true extents: whole sub-cells are
 counted or discarded by their extent, and single events are read only for the sub-cells an
 edge cuts through (or that may hold the nearest event). Inside one sub-cell that an edge cuts,
-each distinct query still meets each distinct event.
+each distinct query still meets each distinct event. Nearest-event queries try the cells around
+them first.
 """
 
 from __future__ import annotations
@@ -177,16 +178,79 @@ def with_query(candidates: DataFrame, start_min, end_min, margin_km) -> DataFram
     })
 
 
+#: Places that a cell of a window's grid holds on average at least, and those from which it counts as crowded.
+FULL, CROWD = 2, 64
+
+
+def _neighbours(y: Column, x: Column) -> Column:
+    """A cell and the eight around it."""
+    return F.explode(F.array(*[F.struct((y + a).alias("gy"), (x + b).alias("gx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+
+
+def _nearest_around(queries: DataFrame, strikes: DataFrame, radius: float) -> DataFrame:
+    """(``QUERY``, b): the nearest event of queries that find one nearer than all that lies outside of the nine cells around them.
+
+    Each window has a grid as fine as its places are dense. Queries beside a crowded cell are left out.
+    """
+    points = _points(strikes).where("p_lat is not null and p_lon is not null")
+    inside = _windows(queries).join(points, "bin").where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
+    # of the events at one place the first is the nearest
+    places = cut(inside.groupBy(*WINDOW, "p_lat", "p_lon").agg(F.min("t").alias("t")))
+    wide = F.greatest((F.col("lat_hi") - F.col("lat_lo")) * (F.col("lon_hi") - F.col("lon_lo")), F.lit(SUB * SUB))
+    step = F.lit(SUB) * F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.sqrt(wide * FULL / F.col("n")) / SUB)), F.lit(0)))
+    grids = places.groupBy(*WINDOW).agg(
+        F.count(F.lit(1)).alias("n"), *[end(c).alias(f"{c[2:]}_{tag}") for c in ("p_lat", "p_lon") for tag, end in (("lo", F.min), ("hi", F.max))]
+    ).where((F.col("lat_hi") <= 90) & (F.col("lat_lo") >= -90) & (F.col("lon_hi") <= 360) & (F.col("lon_lo") >= -360))
+    grids = cut(grids.select(*WINDOW, "lon_lo", "lon_hi", step.alias("step")))
+
+    def cell(value: str) -> Column:
+        return F.floor(F.col(value) / F.col("step"))
+
+    placed = places.join(grids.select(*WINDOW, "step"), WINDOW).select(*WINDOW, cell("p_lat").alias("gy"), cell("p_lon").alias("gx"), "t", "p_lat", "p_lon")
+    grid = [*WINDOW, "gy", "gx"]
+    crowds = cut(placed.groupBy(*grid).count().where(F.col("count") >= CROWD).select(*grid))
+    beside = crowds.select(*WINDOW, _neighbours(F.col("gy"), F.col("gx")).alias("c")).select(*WINDOW, "c.*").distinct()
+    calm = placed.join(crowds, grid, "left_anti").groupBy(*grid).agg(F.collect_list(F.struct("t", "p_lat", "p_lon")).alias("places"))
+    own = queries.join(grids, WINDOW).withColumns({"gy": cell("lat"), "gx": cell("lon")}).join(beside, grid, "left_anti")
+    lat, lon = F.col("lat"), F.col("lon")
+    up = F.least(lat - (F.col("gy") - 1) * F.col("step"), (F.col("gy") + 2) * F.col("step") - lat)
+    along = F.least(lon - (F.col("gx") - 1) * F.col("step"), (F.col("gx") + 2) * F.col("step") - lon, F.lit(90.0))
+    # what lies outside of the nine cells is beyond a parallel or a meridian; none is reached the other way round
+    clear = F.least(F.radians(up), F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(along)))) * radius
+    once = F.greatest(F.abs(lon - F.col("lon_lo")), F.abs(lon - F.col("lon_hi"))) <= 180
+    spread = own.where(once & (F.abs(lat) <= 90)).withColumns({"clear": clear, "_c": _neighbours(F.col("gy"), F.col("gx"))}).select(*QUERY, "clear", "_c.*")
+    found = spread.join(calm, grid).select(*QUERY, "clear", F.array_min(F.transform("places", lambda p: F.struct(
+        geo.haversine(p["p_lat"], p["p_lon"], F.col("lat"), F.col("lon"), radius).alias("km"), p["t"].alias("t"), p["p_lat"].alias("p_lat"), p["p_lon"].alias("p_lon"),
+    ))).alias("b"))
+    best = found.groupBy(*QUERY).agg(F.min("b").alias("b"), F.min("clear").alias("clear"))
+    return best.where(F.col("b.km") < F.col("clear") - SLACK_KM).select(*QUERY, "b")
+
+
 def nearest(asked: DataFrame, strikes: DataFrame, radius: float = geo.RADIUS_KM) -> DataFrame:
     """Distance and signed minutes of the nearest event in the window, per distinct query.
 
+    Most queries find it in the cells around them; the others search the whole window.
+    """
+    queries = asked.select(*QUERY).distinct()
+    around = cut(_nearest_around(queries, strikes, radius))
+    left = cut(queries.join(around, QUERY, "left_anti"))
+    best = around if left.isEmpty() else around.unionByName(_nearest_of_all(left, strikes, radius))
+    return best.select(
+        *QUERY, F.col("b.km").alias("nearest_distance_km"),
+        ((F.col("b.t") - F.unix_micros("frame_time")) / 60_000_000.0).alias("nearest_minutes"),
+    )
+
+
+def _nearest_of_all(queries: DataFrame, strikes: DataFrame, radius: float) -> DataFrame:
+    """(``QUERY``, b): the nearest event of the window.
+
     Branch and bound: cells and then sub-cells whose lower distance bound exceeds the best
     upper bound of the query are dropped before single events are read. A window's cells, and a
     cell's sub-cells, are arrays that a query filters in its own row; only what is kept becomes rows.
     """
     points = _points(strikes)
     nested = cut(_cells(points))
-    windows = _windows(asked)
+    windows = _windows(queries)
     extent = F.struct("bin", "cy", "cx", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "t_lo", "t_hi")
     cells = windows.join(nested.drop("subs", "n"), "bin").groupBy(*WINDOW, "t0", "t1").agg(F.collect_list(extent).alias("cells"))
 
@@ -209,17 +273,13 @@ def nearest(asked: DataFrame, strikes: DataFrame, radius: float = geo.RADIUS_KM)
         ))))
 
     base = [*QUERY, "t0", "t1", "bin"]
-    near = asked.select(*QUERY).distinct().join(cells, WINDOW).withColumn("c", F.explode(kept("cells"))).select(
+    near = queries.join(cells, WINDOW).withColumn("c", F.explode(kept("cells"))).select(
         *QUERY, "t0", "t1", "c.bin", "c.cy", "c.cx")
     inner = near.join(nested.select("bin", "cy", "cx", "subs"), ["bin", "cy", "cx"])
     subs = inner.withColumn("s", F.explode(kept("subs"))).select(*base, "s.sy", "s.sx")
     km = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"), radius)
     found = subs.join(points, ["bin", "sy", "sx"]).where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
-    best = found.groupBy(*QUERY).agg(F.min(F.struct(km.alias("km"), "t", "p_lat", "p_lon")).alias("b"))
-    return best.select(
-        *QUERY, F.col("b.km").alias("nearest_distance_km"),
-        ((F.col("b.t") - F.unix_micros("frame_time")) / 60_000_000.0).alias("nearest_minutes"),
-    )
+    return found.groupBy(*QUERY).agg(F.min(F.struct(km.alias("km"), "t", "p_lat", "p_lon")).alias("b"))
 
 
 def nearest_strike(candidates: DataFrame, strikes: DataFrame, start_min, end_min, radius: float = geo.RADIUS_KM) -> DataFrame:

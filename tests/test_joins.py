@@ -2,6 +2,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators import joins
@@ -96,6 +97,30 @@ def test_nearest_sends_only_kept_cells(spark):
     assert abs(found.first().nearest_distance_km - km(0.3, 0.3, 0.31, 0.31)) < 1e-6
 
 
+def test_nearest_is_found_around_most_queries(spark, monkeypatch):
+    """Results are those of all pairs; only queries far from all events, beside a crowd or over the date line search the whole window."""
+    rng = random.Random(8)
+    even = [(rng.uniform(-5, 15), rng.uniform(2, 4), rng.uniform(100, 102)) for _ in range(300)]
+    crowd = [(rng.uniform(0, 10), 5 + rng.uniform(0, 0.004), 103 + rng.uniform(0, 0.004)) for _ in range(90)]
+    copies = [(m, la, lo) for _, la, lo in even[:20] for m in (9, 1, 4)]
+    later = [(125, -20.0, -179.9), (126, -20.5, 179.5), (131, 85.0, 10.0)]
+    events = even + crowd + copies + later
+    asked = [(0, rng.uniform(2, 4), rng.uniform(100, 102)) for _ in range(150)] + [(0, 5.002, 103.002), (0, 2.5, 108.0), (120, -20.0, 179.95), (120, 89.0, -170.0)]
+    queries = asked + [(0, la, lo) for _, la, lo in copies[:6]] + asked[:3]
+    df = spark.createDataFrame([(f"c{i}", at(m), la, lo) for i, (m, la, lo) in enumerate(queries)] + [("none", at(0), None, 101.0)],
+                               "candidate_id string, frame_time timestamp, lat double, lon double")
+    searched, plain = [], joins._nearest_of_all
+    monkeypatch.setattr(joins, "_nearest_of_all", lambda left, *a: searched.append(left.count()) or plain(left, *a))
+    blank = spark.createDataFrame([(None, 3.0, 101.0), (at(5), None, 101.0), (at(5), 3.0, None)], "ts timestamp, lat double, lon double")
+    got = {r.candidate_id: r for r in joins.nearest_strike(df, strikes(spark, events).drop("solution_key").unionByName(blank), 0, 10).collect()}
+    for i, (m, la, lo) in enumerate(queries):
+        want = min((km(la, lo, a, b), t - m) for t, a, b in events if m <= t < m + 10)
+        assert got[f"c{i}"].nearest_distance_km == pytest.approx(want[0], abs=1e-6)
+        assert got[f"c{i}"].nearest_minutes == pytest.approx(want[1], abs=1e-4)
+    assert got["none"].nearest_distance_km is None and len(got) == len(queries) + 1
+    assert searched and searched[0] < 40
+
+
 AUDITED = [("near", 0, 10, 10.0), ("wide", -20, 30, 10.0), ("shifted", -7, 13, 0.0), ("again", 0, 10, 10.0)]
 
 
